@@ -7,10 +7,69 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import packing, simhash, wavelet
+from tamarisk.llm import capsim, lang_id, mixing, packing, quality, sharding, simhash, url_filter, warc, wavelet
 from tamarisk.llm.common import table
 
 
+def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = lang_id.held_out(F.col("doc_id"))
+    model = lang_id.fit(docs.filter(~held_out))
+    return lang_id.predict(docs, model, keep_columns=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, url_filter.hosts_with(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+OP2_SQL = """
+WITH h AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/'
+  END AS rule,
+  regexp_matches(host, 'pills|casino|poker|porn|viagra|lottery|loan') AS listed
+  FROM h
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict,
+       listed
+FROM r
+"""
+
+
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=["doc_id"])
+
+
+def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = capsim.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+
+
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = wavelet.read(wavelet.write(table(spark, sf_dir, "documents")))
     return read.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -26,9 +85,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+ALL = (op1_centroid_language, op2_url_cascade, op3_sampled_splitters, op4_fertility, op5_warc_dictionary, op6_cap_filters, op7_pfair_mix, op8_wavelet_tokens, op9_binary_packing, op10_simhash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_wavelet_tokens, op9_binary_packing, op10_simhash)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_cascade": OP2_SQL}
