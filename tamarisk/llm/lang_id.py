@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarisk.llm import common
+
 DIMENSIONS = 1 << 14
 #: Labelled texts of a language that the classifier is fitted on, about.
 SAMPLE = 400
@@ -145,24 +147,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(names, np.array(owner), idf, np.stack(centroids, 1), np.array(least))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """The columns named (all) with lang_pred, score, rejected."""
-    names = keep_columns if keep_columns is not None else docs.columns
-    added = T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields
-    if clash := {n.lower() for n in names} & {f.name for f in added}:
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows with lang_pred, score, rejected. Only the text goes to Python."""
+    added = T._parse_datatype_string("lang_pred string, score double, rejected boolean")
+    if clash := {n.lower() for n in docs.columns} & set(added.names):
         raise ValueError(f"columns that the prediction needs: {sorted(clash)}")
-    schema = T.StructType([*docs.select(*names).schema.fields, *added])
-    shared, extra = docs.sparkSession.sparkContext.broadcast(model), len(names)
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                found = shared.value.predict(some.column(extra).to_pylist())
-                columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*some.columns[:extra], *columns], names=[f.name for f in schema])
-
-    return docs.select(*names, F.col(text_col).alias("the text judged")).mapInArrow(predicted, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(added)
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found: list[tuple] = []
+            for at in range(0, len(texts), 128):
+                found += shared.value.predict(texts.slice(at, 128).to_pylist())
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=added.names)
+
+    name = common.fresh(docs, "predicted")
+    return docs.withColumn(name, predicted(F.col(text_col))).select(*docs.columns, name + ".*")
 
 
 def held_out(id_column: Column) -> Column:

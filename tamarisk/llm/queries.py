@@ -15,7 +15,7 @@ def op1_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = lang_id.held_out(F.col("doc_id"))
     model = lang_id.fit(docs.filter(~held_out))
-    return lang_id.predict(docs, model, keep_columns=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return lang_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=["doc_id"])
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
