@@ -19,14 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.judge(docs, keep_columns=COLUMNS).filter("kept").select(*COLUMNS)
+    return quality.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents far from every language learned go. The model learns from the
     labels of its own input."""
     model = lang_id.fit(docs.filter(~lang_id.held_out(F.col("doc_id"))))
-    return lang_id.predict(docs, model, keep_columns=COLUMNS).filter("not rejected").select(*COLUMNS)
+    return lang_id.predict(docs.select(*COLUMNS), model).filter("not rejected").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
