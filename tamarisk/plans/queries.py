@@ -226,7 +226,7 @@ def memory_summary(spark, d):
 
 def memory_stream(spark, d):
     """The store after a stream of the documents, as micro-batches left it."""
-    source = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parquet").filter("text is not null").select("doc_id", "text")
+    source = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parquet*").filter("text is not null").select("doc_id", "text")
     path = stream.place(spark)
     last = stream.run(source, f"{path}/store", f"{path}/progress", ["doc_id"])
     return stream.read(spark, f"{path}/store", last).select("block_id", "token_count", "access_count")
@@ -253,7 +253,7 @@ def route(spark, d):
 
 
 def plan_spans(spark, d):
-    return chat.plan_spans(_messages(spark, d), ["conv_id"]).select("conv_id", "msg", "block", "role", F.length("text").alias("n_chars"), "api", "total_turns")
+    return chat.plan_spans(_messages(spark, d), ["conv_id"]).select("conv_id", "msg", F.coalesce("block", F.lit(-1)).alias("block"), "role", F.length("text").alias("n_chars"), "api", "total_turns")
 
 
 def frozen_messages(spark, d):
@@ -273,7 +273,7 @@ def apply_compression(spark, d):
 
 
 def logprob_energy(spark, d):
-    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("embedding").alias("token_logprobs")).alias("logprobs"))).alias("choices")))
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("embedding").cast("array<double>").alias("token_logprobs")).alias("logprobs"))).alias("choices")))
     e = requests.logprob_energies(F.col("raw"))
     return read(spark, d, "embeddings").select("vec_id", reply.alias("raw")).select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 6).alias("energy_sum"), F.size(e).alias("n"))
 

@@ -182,16 +182,16 @@ def oracle_sql() -> dict[str, str]:
         "tokens_by_class": f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')} SELECT {_class_case(False)} AS class, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM tk GROUP BY 1",
         "word_counts": f"SELECT doc_id, {wc('text')} AS n_words, length(text) AS n_chars FROM documents",
         "block_hashes": f"SELECT doc_id, substr(sha256({norm('text')}), 1, 16) AS hash16, substr(sha256({norm('text')}), 1, 20) AS hash20, sha256({norm('text')}) AS hash64 FROM documents",
-        "chunk_df": f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')} " + per.format("max(chunks) AS chunks, sum(df) AS df_sum, max(df) AS df_max", "ck"),
+        "chunk_df": f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')} " + per.format("max(chunks) AS chunks, sum(df)::BIGINT AS df_sum, max(df) AS df_max", "ck"),
         "idf": f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')} " + per.format("round(sum(idf), 6) AS idf_sum, round(min(idf), 6) AS idf_min, round(max(idf), 6) AS idf_max", "ck"),
-        "frozen_tokens": FULL + per.format("sum(frozen::INT) AS n_frozen, count(*) AS n_tokens", "en"),
+        "frozen_tokens": FULL + per.format("sum(frozen::INT)::BIGINT AS n_frozen, count(*) AS n_tokens", "en"),
         "token_energy": FULL + per.format("round(sum(energy), 6) AS energy_sum, round(max(energy), 6) AS energy_max, round(min(energy), 6) AS energy_min", "en"),
-        "cutoff_half": FULL + f", {ranking('doc_id')} " + per.format("count(*) AS n_kept, sum(idx) AS idx_sum", "rk") .replace(" GROUP BY", " WHERE frozen OR rank <= greatest(1, ceil(m * 0.5)) GROUP BY"),
+        "cutoff_half": FULL + f", {ranking('doc_id')} " + per.format("count(*) AS n_kept, sum(idx)::BIGINT AS idx_sum", "rk") .replace(" GROUP BY", " WHERE frozen OR rank <= greatest(1, ceil(m * 0.5)) GROUP BY"),
         "reconstruct": f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')}, {rebuilt('doc_id', 'tk', 'true')} SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM rb",
-        "survivors": _quenched(BEST) + per.format("count(*) AS n_kept, sum(idx) AS idx_sum", "qr").replace(" GROUP BY", " WHERE kept GROUP BY"),
+        "survivors": _quenched(BEST) + per.format("count(*) AS n_kept, sum(idx)::BIGINT AS idx_sum", "qr").replace(" GROUP BY", " WHERE kept GROUP BY"),
         "dropped_tokens": _quenched(BEST) + f" SELECT {_class_case(False)} AS class, count(*) AS n_dropped, count(DISTINCT token) AS n_distinct FROM qr WHERE NOT kept GROUP BY 1",
-        "quench_summary": _quenched(BEST) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.total IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(kept, 0) AS tokens_kept, coalesce(total, 0) AS tokens_total, round(coalesce(1.0 - kept / total, 0.0), 6) AS compression_ratio, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
-        "schedule_curve": f"{FULL}, {ranking('doc_id')}, {quenching('doc_id')} SELECT tau AS step, count(*) AS n_texts, sum(keep * (m > 0)::INT + n - m) AS kept, round(avg(sim), 6) AS similarity FROM q3 GROUP BY tau",
+        "quench_summary": _quenched(BEST) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.total IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, coalesce(qc.total, 0) AS tokens_total, round(coalesce(1.0 - qc.kept / qc.total, 0.0), 6) AS compression_ratio, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
+        "schedule_curve": f"{FULL}, {ranking('doc_id')}, {quenching('doc_id')} SELECT tau AS step, count(*) AS n_texts, sum(keep * (m > 0)::INT + n - m)::BIGINT AS kept, round(avg(sim), 6) AS similarity FROM q3 GROUP BY tau",
         "profile_sweep": " UNION ALL ".join(f"SELECT * FROM ({_quenched(c)} SELECT '{name}' AS profile, count(DISTINCT doc_id) AS n_texts, count(*) AS tokens_total, count(*) FILTER (WHERE kept) AS tokens_kept, round(1.0 - count(*) FILTER (WHERE kept) / count(*), 6) AS ratio FROM qr)" for name, c in PROFILES.items()),
         "turn_temperature": f"SELECT conv_id, turn, round({TURN_TEMPERATURE}, 6) AS temperature FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)",
         "quench_output": _turns(output_config(), "role = 'assistant'") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, md5(CASE WHEN coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM src s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
@@ -200,22 +200,22 @@ def oracle_sql() -> dict[str, str]:
         "weighted_similarity": f"{FULL}, {ranking('doc_id')}, a AS (SELECT doc_id, token, count(*) AS o, count(*) FILTER (WHERE idx % 3 <> 0) AS k, any_value(e_last) AS e, bool_or(frozen) AS f FROM rk GROUP BY ALL), b AS (SELECT doc_id, sum(e * o) AS al, sum(e * least(o, k)) AS sm, sum(least(o, k)) / sum(o) AS pl, bool_or(f) AS f, sum(k) AS nk FROM a GROUP BY doc_id) SELECT doc_id, round(CASE WHEN f THEN 1.0 WHEN nk = 0 THEN 0.0 WHEN al = 0 THEN pl ELSE least(1.0, sm / al) END, 6) AS similarity FROM b",
         "embedding_cosine": "WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT vec_id, y, list_sum(list_transform(x, lambda v, i: v * y[i])) AS dot, sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v))) AS nn FROM p) SELECT vec_id, round(CASE WHEN nn > 0 THEN dot / nn END, 6) AS cosine, round(CASE WHEN y IS NULL THEN 1.0 WHEN nn = 0 THEN 0.0 ELSE dot / nn END, 6) AS cosine_or_one FROM s",
         "dedup_blocks": f"WITH RECURSIVE {BUNDLES}, {BLOCKS} SELECT bundle, pos, hash, first, nth FROM bl",
-        "dedup_summary": f"WITH RECURSIVE {BUNDLES}, {BLOCKS} SELECT bundle, any_value(n_blocks) AS n_blocks, CASE WHEN any_value(n_blocks) < 2 THEN 0 ELSE sum((nth > 1)::INT) END AS blocks_removed, CASE WHEN any_value(n_blocks) < 2 THEN 0 ELSE sum(CASE WHEN nth > 1 THEN {wc('normal')} - 4 ELSE 0 END) END AS tokens_saved, md5(CASE WHEN any_value(n_blocks) < 2 THEN any_value(block) ELSE string_agg(CASE WHEN nth > 1 THEN '[↳ see block ' || first || ']' ELSE normal END, chr(10) || chr(10) ORDER BY pos) END) AS text_md5 FROM bl GROUP BY bundle",
+        "dedup_summary": f"WITH RECURSIVE {BUNDLES}, {BLOCKS} SELECT bundle, any_value(n_blocks) AS n_blocks, CASE WHEN any_value(n_blocks) < 2 THEN 0 ELSE sum((nth > 1)::INT) END::BIGINT AS blocks_removed, CASE WHEN any_value(n_blocks) < 2 THEN 0 ELSE sum(CASE WHEN nth > 1 THEN {wc('normal')} - 4 ELSE 0 END) END::BIGINT AS tokens_saved, md5(CASE WHEN any_value(n_blocks) < 2 THEN any_value(block) ELSE string_agg(CASE WHEN nth > 1 THEN '[↳ see block ' || first || ']' ELSE normal END, chr(10) || chr(10) ORDER BY pos) END) AS text_md5 FROM bl GROUP BY bundle",
         "block_stats": f"WITH RECURSIVE {BUNDLES}, {BLOCKS} SELECT bundle, hash, count(*) AS occurrences, array_to_string(list(pos ORDER BY pos), ',') AS indices FROM bl WHERE n_blocks >= 2 GROUP BY bundle, hash",
         "memory_lookup": f"WITH h AS (SELECT doc_id, lang, substr(sha256({norm('text')}), 1, 20) AS id FROM documents), s AS (SELECT DISTINCT id FROM h WHERE lang = 'en') SELECT lang, h.id IN (SELECT id FROM s) AS found, count(*) AS n FROM h GROUP BY ALL",
-        "memory_stats": f"WITH s AS (SELECT substr(sha256({norm('text')}), 1, 20) AS id, arg_min({wc('text')}, doc_id) AS w, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS blocks_stored, sum(w) AS tokens_stored, sum(n - 1) AS total_accesses, round(sum(n - 1) / (sum(n - 1) + count(*)), 6) AS hit_rate FROM s",
-        "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original, tokens_repeated, tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
+        "memory_stats": f"WITH s AS (SELECT substr(sha256({norm('text')}), 1, 20) AS id, arg_min({wc('text')}, doc_id) AS w, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS blocks_stored, sum(w)::BIGINT AS tokens_stored, sum(n - 1)::BIGINT AS total_accesses, round(sum(n - 1) / (sum(n - 1) + count(*)), 6) AS hit_rate FROM s",
+        "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
         "memory_bounds": f"WITH {MEMORY} SELECT bundle, round(tokens_repeated / tokens_original, 6) AS p, round(tokens_repeated / tokens_original * (1 - 0.01::DOUBLE) + (1 - tokens_repeated / tokens_original) * quench_reduction, 6) AS combined FROM mx",
         "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, memory_reduction * 100), format('  Novel content: {{}} tokens', tokens_novel::BIGINT)) AS head FROM mx",
         "detect_api": f"WITH {MESSAGES} SELECT conv_id, any_value(api) AS api, any_value(total) AS n_messages FROM mb GROUP BY conv_id",
         "signed_bodies": f"WITH {MESSAGES} SELECT conv_id, any_value(signed) AS signed, any_value(streaming) AS streaming FROM mb GROUP BY conv_id",
         "route": f"WITH {MESSAGES}, s AS (SELECT conv_id, count(*) AS k FROM sp GROUP BY conv_id) SELECT conv_id, CASE WHEN bool_or(streaming) THEN 'streaming' WHEN bool_or(signed) THEN 'passthrough' WHEN max(k) > 0 THEN 'compress' ELSE 'passthrough' END AS route FROM mb LEFT JOIN s USING (conv_id) GROUP BY conv_id",
-        "plan_spans": f"WITH {MESSAGES} SELECT conv_id, msg, block, role, length(text) AS n_chars, api, total AS total_turns FROM sp",
+        "plan_spans": f"WITH {MESSAGES} SELECT conv_id, msg, coalesce(block, -1) AS block, role, length(text) AS n_chars, api, total AS total_turns FROM sp",
         "frozen_messages": f"WITH {MESSAGES} SELECT conv_id, coalesce(array_to_string(list(mb.msg ORDER BY mb.msg) FILTER (WHERE sp.msg IS NULL), ','), '') AS frozen FROM mb LEFT JOIN sp USING (conv_id, msg) GROUP BY conv_id",
-        "compress_spans_audit": _spans() + " SELECT conv_id, sum(words) AS tokens_original, sum(CASE WHEN shorter THEN new_words ELSE words END) AS tokens_kept, round(1.0 - sum(CASE WHEN shorter THEN new_words ELSE words END) / sum(words), 6) AS compression_ratio, sum(shorter::INT) AS spans_compressed, 0 AS spans_frozen_memory FROM so GROUP BY conv_id",
+        "compress_spans_audit": _spans() + " SELECT conv_id, sum(words)::BIGINT AS tokens_original, sum(CASE WHEN shorter THEN new_words ELSE words END)::BIGINT AS tokens_kept, round(1.0 - sum(CASE WHEN shorter THEN new_words ELSE words END) / sum(words), 6) AS compression_ratio, sum(shorter::INT)::BIGINT AS spans_compressed, 0 AS spans_frozen_memory FROM so GROUP BY conv_id",
         "apply_compression": _spans() + ", am AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, text FROM conversations) SELECT am.conv_id, am.msg, md5(CASE WHEN so.shorter THEN so.new_text ELSE am.text END) AS text_md5 FROM am LEFT JOIN so USING (conv_id, msg)",
         "logprob_energy": "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x < 0 THEN -x ELSE 1e-6 END)), 6) AS energy_sum, len(embedding) AS n FROM embeddings",
-        "boltzmann_seeded": FULL + per.format("count(*) AS n_kept, sum(idx) AS idx_sum", "en").replace(" GROUP BY", " WHERE frozen OR exp(-energy / 0.8::DOUBLE) >= ('0x' || substr(sha256('0|' || doc_id || '|1|0|' || idx), 1, 8))::BIGINT / 4294967296 GROUP BY"),
+        "boltzmann_seeded": FULL + per.format("count(*) AS n_kept, sum(idx)::BIGINT AS idx_sum", "en").replace(" GROUP BY", " WHERE frozen OR exp(-energy / 0.8::DOUBLE) >= ('0x' || substr(sha256('0|' || doc_id || '|1|0|' || idx), 1, 8))::BIGINT / 4294967296 GROUP BY"),
     }
     for name in ("stat", "struct", "pos", "domain"):
         out[f"{name}_energy"] = FULL + per.format(f"round(sum(e_{name}), 6) AS e_sum, round(max(e_{name}), 6) AS e_max", "en")
