@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import re
 import struct
+from itertools import chain
 
 import regex
 
 DEFAULT = "byte_bpe_50k.json"
 #: Entries kept by a worker before it starts anew; bounds its memory.
-KEEP = 500_000
+KEEP = 300_000
 
 _RUN = re.compile(r"\s\s")
 
@@ -92,7 +93,7 @@ class ByteBpe:
     def _some(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
         lists = [self._parts(t) if t else [] for t in texts]
-        if missing := {p for parts in lists for p in parts if p not in kept}:
+        if missing := set(chain.from_iterable(lists)).difference(kept):
             self._learn(missing)
         out = [b"".join(map(kept.__getitem__, parts)) for parts in lists]
         if len(kept) > KEEP:

@@ -35,7 +35,7 @@ from tamarisk.llm import common, tokens
 
 MAGIC = b"WVMTRX01"
 #: Ids in a shard, about; bounds a task's memory.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 4_000_000
 BLOCK = 512
 CHUNK = 1 << 19  # bits
 
@@ -45,19 +45,23 @@ def encode(ids: np.ndarray, docs: pa.Table) -> list[bytes]:
     n = len(ids)
     levels = max(1, int(ids.max()).bit_length()) if n else 1
     level_ids = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    below = np.empty_like(level_ids)
     press = zstandard.ZstdCompressor(level=1)
     parts: list[bytes] = []
     planes = []
     for level in range(levels):
-        ones = (level_ids >> (levels - 1 - level)) & 1 == 1
+        ones = (level_ids & level_ids.dtype.type(1 << (levels - 1 - level))) != 0
         packed = np.packbits(ones, bitorder="little")
         chunks = [press.compress(packed[k : k + CHUNK // 8].tobytes()) for k in range(0, len(packed), CHUNK // 8)]
         per_block = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(per_block)]).astype("<i8")
         directory = press.compress(before.tobytes())
-        planes.append({"zeros": int(n - before[-1]), "chunks": [len(c) for c in chunks], "directory": len(directory)})
+        planes.append({"zeros": n - int(before[-1]), "chunks": [len(c) for c in chunks], "directory": len(directory)})
         parts += [*chunks, directory]
-        level_ids = np.concatenate([level_ids[~ones], level_ids[ones]])
+        zeros = n - int(before[-1])
+        np.compress(~ones, level_ids, out=below[:zeros])
+        np.compress(ones, level_ids, out=below[zeros:])
+        level_ids, below = below, level_ids
     table = io.BytesIO()
     with pa.ipc.new_file(table, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(docs)
