@@ -204,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "block_stats": f"WITH RECURSIVE {BUNDLES}, {BLOCKS} SELECT bundle, hash, count(*) AS occurrences, array_to_string(list(pos ORDER BY pos), ',') AS indices FROM bl WHERE n_blocks >= 2 GROUP BY bundle, hash",
         "memory_lookup": f"WITH h AS (SELECT doc_id, lang, substr(sha256({norm('text')}), 1, 20) AS id FROM documents), s AS (SELECT DISTINCT id FROM h WHERE lang = 'en') SELECT lang, h.id IN (SELECT id FROM s) AS found, count(*) AS n FROM h GROUP BY ALL",
         "memory_stats": f"WITH s AS (SELECT substr(sha256({norm('text')}), 1, 20) AS id, arg_min({wc('text')}, doc_id) AS w, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS blocks_stored, sum(w)::BIGINT AS tokens_stored, sum(n - 1)::BIGINT AS total_accesses, round(sum(n - 1) / (sum(n - 1) + count(*)), 6) AS hit_rate FROM s",
+        "memory_stream": f"SELECT substr(sha256({norm('text')}), 1, 20) AS block_id, arg_min({wc('text')}, doc_id) AS token_count, count(*) - 1 AS access_count FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
         "memory_bounds": f"WITH {MEMORY} SELECT bundle, round(tokens_repeated / tokens_original, 6) AS p, round(tokens_repeated / tokens_original * (1 - 0.01::DOUBLE) + (1 - tokens_repeated / tokens_original) * quench_reduction, 6) AS combined FROM mx",
         "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, memory_reduction * 100), format('  Novel content: {{}} tokens', tokens_novel::BIGINT)) AS head FROM mx",
