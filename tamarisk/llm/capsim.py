@@ -1,13 +1,16 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction; a vector is stored with every filter whose direction it
-exceeds by `THRESHOLD`. Directions are structured random product codes: after a
-random rotation the dimensions are halved, each half has `WORDS` Gaussian
+exceeds by its threshold. Directions are `CODES` structured random product codes:
+after a random rotation the dimensions are halved, each half has `WORDS` Gaussian
 codewords, and a direction is any pair of codewords. A pair's score is the sum of
-two short products, so a vector's filters are list-decoded from two sorted lists
-instead of WORDS**2 products. Vectors with a cosine of 0.9 share a filter all but
-surely, unrelated ones hardly ever. Vectors that share a filter are compared in
-double precision, and only a cosine of at least `COSINE` links.
+two short products, so a vector's filters are list-decoded from two short lists
+instead of WORDS**2 products. The threshold is the vector's own: the LIST-th best
+score of each code. A fixed one leaves some vectors with a single filter, and one
+pair in ten at a cosine of 0.9 unmet; by their own thresholds none of 400 such
+pairs was (64 dimensions), and unrelated vectors share a filter once in a hundred
+pairs. Vectors that share one are compared in double precision, and only a cosine
+of at least `COSINE` links.
 
 Equal vectors enter once, with their number. Vectors of a filter are compared in
 blocks of a matrix product; a filter with more than `CELL` vectors is dealt to
@@ -35,8 +38,9 @@ from tamarisk.llm import common
 from tamarisk.llm.components import components
 
 COSINE = 0.9
+CODES = 4
 WORDS = 400
-THRESHOLD = 3.5
+LIST = 10
 SEED = 20240601
 #: Vectors of one filter in a part.
 CELL = 1024
@@ -45,28 +49,23 @@ CELL = 1024
 class Filters:
     """The filters of vectors of one length."""
 
-    def __init__(self, dims: int, words: int = WORDS, threshold: float = THRESHOLD):
+    def __init__(self, dims: int):
         random = np.random.default_rng(SEED + dims)
-        self.turn = np.linalg.qr(random.standard_normal((dims, dims)))[0]
         self.half = (dims + 1) // 2
-        self.left = random.standard_normal((self.half, words))
-        self.right = random.standard_normal((dims - self.half, words))
-        self.words, self.threshold = words, threshold
-
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """All filters of each unit vector, ascending; the best one if it exceeds
-        none."""
-        turned = unit @ self.turn
-        left, right = turned[:, : self.half] @ self.left, turned[:, self.half :] @ self.right
-        order = np.argsort(-right, axis=1, kind="stable")
+        self.codes = [(np.linalg.qr(random.standard_normal((dims, dims)))[0], random.standard_normal((self.half, WORDS)), random.standard_normal((dims - self.half, WORDS))) for _ in range(CODES)]
+
+    def decode(self, unit: np.ndarray) -> np.ndarray:
+        """Each unit vector's filters, ascending. A pair among the LIST best sums
+        has both its parts among the LIST best."""
         out = []
-        for a, b, by in zip(left, right, order, strict=True):
-            falling = b[by]
-            some = np.flatnonzero(a + falling[0] >= self.threshold)
-            many = np.searchsorted(-falling, a[some] - self.threshold, side="right")
-            found = np.concatenate([i * self.words + by[:n] for i, n in zip(some, many, strict=True)]) if len(some) else np.array([int(a.argmax()) * self.words + int(by[0])])
-            out.append(np.sort(found))
-        return out
+        for code, (turn, left, right) in enumerate(self.codes):
+            turned = unit @ turn
+            a, b = turned[:, : self.half] @ left, turned[:, self.half :] @ right
+            i, j = (np.argpartition(-x, LIST - 1, axis=1)[:, :LIST] for x in (a, b))
+            sums = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+            best = np.argpartition(-sums.reshape(len(unit), -1), LIST - 1, axis=1)[:, :LIST]
+            out.append((code * WORDS + np.take_along_axis(i, best // LIST, 1)) * WORDS + np.take_along_axis(j, best % LIST, 1))
+        return np.sort(np.concatenate(out, axis=1), axis=1)
 
 
 _LOADED: dict[tuple, Filters] = {}
@@ -95,7 +94,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(rows), 256):
                 some = rows[at : at + 256]
                 found = _filters(dims).decode(_unit([x[2] for x in some]))
-                yield pa.RecordBatch.from_pydict({"cid": [x[0] for x in some], "n": [x[1] for x in some], "dims": pa.array([dims] * len(some), pa.int32()), "data": [x[2] for x in some], "filters": pa.array([f.astype("<i4") for f in found], pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"cid": [x[0] for x in some], "n": [x[1] for x in some], "dims": pa.array([dims] * len(some), pa.int32()), "data": [x[2] for x in some], "filters": pa.array(list(found.astype("<i4")), pa.list_(pa.int32()))})
 
 
 def _groups(near: np.ndarray) -> Iterator[np.ndarray]:
@@ -118,8 +117,10 @@ def _groups(near: np.ndarray) -> Iterator[np.ndarray]:
 def _common_before(filters: list[np.ndarray], number: int) -> np.ndarray:
     """Pairs that share a filter with a smaller number."""
     own = [f[: np.searchsorted(f, number)] for f in filters]
-    known, at = np.unique(np.concatenate(own), return_inverse=True)
+    known, at, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    some = many[at] > 1  # a filter of one vector joins nothing
+    known, at, row = known[many > 1], (np.cumsum(many > 1) - 1)[at[some]], row[some]
     shared = np.zeros((len(own), len(own)), np.float32)
     for k in range(0, len(known), 4096):
         inside = (at >= k) & (at < k + 4096)
