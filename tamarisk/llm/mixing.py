@@ -38,7 +38,7 @@ PERIOD = 4096
 #: Default weights: a source's bytes to this power.
 TEMPERATURE = 0.7
 #: Documents in a part, about.
-PART_ROWS = 100_000
+PART_ROWS = 5_000
 MOST_SOURCES = 100_000
 ADDED = ("mix_slot", "mix_epoch", "mix_block", "mix_release", "mix_deadline", "mix_place")
 
@@ -46,6 +46,8 @@ ADDED = ("mix_slot", "mix_epoch", "mix_block", "mix_release", "mix_deadline", "m
 def slots_of(weights: dict, period: int = PERIOD) -> dict:
     """Whole slots for each source: at least one, period in all."""
     weights = {s: w for s, w in weights.items() if w > 0}
+    if not weights:
+        return {}
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
@@ -90,7 +92,9 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     if clash := {c.lower() for c in carry} & set(ADDED):
         raise ValueError(f"columns that the mix needs: {sorted(clash)}")
     size = F.greatest(common.text_bytes(F.col(text_col)), F.lit(1))
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("spot"), F.xxhash64(F.col(text_col)).alias("tie"))
+    # Never null, so windows and the join below deal by the same key.
+    named = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(source_col).alias("source"), named.alias("name"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("spot"), F.xxhash64(F.col(text_col)).alias("tie"))
     sizes = docs.select(F.col(source_col).alias("source"), size.alias("size"))
     totals = {r.source: (r.bytes, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(totals) > MOST_SOURCES:
@@ -106,15 +110,15 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
 
     parts = max(1, -(-sum(n for _, n in totals.values()) // PART_ROWS))
     rows = rows.withColumn("part", F.pmod("spot", F.lit(parts)))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One short row for each source and part.
     firsts = (
-        docs.select(F.col(source_col).alias("source"), size.alias("size"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(parts)).alias("part"))
-        .groupBy("source", "part").agg(F.sum("size").alias("bytes"))
-        .select("source", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
+        docs.select(named.alias("name"), size.alias("size"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(parts)).alias("part"))
+        .groupBy("name", "part").agg(F.sum("size").alias("bytes"))
+        .select("name", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
     )
-    within = Window.partitionBy("source", "part").orderBy("spot", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts.withColumnRenamed("source", "s").withColumnRenamed("part", "p"), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    within = Window.partitionBy("name", "part").orderBy("spot", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts, ["name", "part"])
     at = F.col("first") + F.col("own")
     kind = docs.schema[source_col].dataType.simpleString()
     # Both tables' sizes are set by the weights: a row for each source or slot.
