@@ -205,6 +205,12 @@ def test_quality(docs):
         quality.judge(docs.withColumn("kept", F.lit(1)))
 
 
+def test_quality_bands(spark):
+    found = Q.op4_fertility(spark, "/root/testdata/sf0.1").filter("not base_failed").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    kept = {r.quality: r.kept for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[0] < 0.15 and kept[1] > 0.985
+
+
 def test_language(spark, docs):
     got = Q.op1_centroid_language(spark, "/root/testdata/sf0.01").filter("held_out").select("doc_id", "lang_pred").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
     right = got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
