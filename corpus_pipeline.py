@@ -30,11 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each linked group the document with the smallest id stays; documents
-    without an id can't be told apart and stay."""
-    found = simhash.near_duplicates(docs)
-    gone = found.filter("doc_id != component").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each linked group stays: of the smallest id, nulls last, one of
+    its rows. Rows are told apart by a key of their own, so repeated, clashing and
+    null ids neither keep a copy nor cost another document."""
+    rows = common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "keyed")
+    return rows.join(simhash.representatives(rows, "row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

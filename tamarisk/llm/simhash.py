@@ -55,18 +55,20 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp: the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """id, fp: the fingerprint as a signed 64-bit integer; and key, if named."""
+    more = [] if key_col is None else ["key"]
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 found = np.array([fingerprint(t) for t in some.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found.view(np.int64)), *some.columns[2:]], names=["id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(marked, f"id {kind}, fp long")
+    keys = [F.col(key_col).alias(k) for k in more]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keys).mapInArrow(marked, f"id {kind}, fp long" + "".join(f", {k} {docs.schema[key_col].dataType.simpleString()}" for k in more))
 
 
 def _keys(fp):
@@ -142,17 +144,31 @@ def links(prints: DataFrame, cell: int = CELL) -> DataFrame:
     )
 
 
+def _groups(marked: DataFrame) -> DataFrame:
+    """fp, least (id), group: one row for each fingerprint of `marked`."""
+    prints = common.cut(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    groups = components(links(prints))
+    return prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component (the smallest id reachable by links), one row per row."""
     marked = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = common.cut(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    groups = components(links(prints))
-    least = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    least = _groups(marked)
     best = least.filter("group != fp").union(least.filter("group = fp")).groupBy("group").agg(F.min("least").alias("component"))
     named = least.join(best, "group").select("fp", "component")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def representatives(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The key of one row of each linked group: of the smallest id, nulls last, the
+    smallest key. Keys tell rows apart that are equal otherwise; they must be
+    written, so that each reading gives the same."""
+    marked = common.cut(fingerprints(docs, id_col, text_col, key_col), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
+    return marked.join(_groups(marked).select("fp", "group"), "fp").groupBy("group").agg(first).select(F.col("first.key").alias(key_col))
+
+
 def hexadecimal(fp):
     """16 lower-case digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -128,6 +128,25 @@ def test_simhash(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_keep_one_row_a_group(spark):
+    import corpus_pipeline as P
+
+    text = [words(60, 200 + k) for k in range(9)]
+    pairs = [(1, text[0]), (1, text[0]), (1, text[0]), (2, text[1]), (3, text[1]), (3, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (None, text[4]), (5, text[4]), (6, text[5]), (6, text[6]), (7, text[7]), (7, text[7].replace(text[7].split()[30], "changed")), (None, None), (8, "")]
+    rows = [(i, t, "en", "s", 0) for i, t in pairs]
+    prints = [fingerprint(t) for _, t in pairs]
+    groups = linked(len(pairs), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    best = {}
+    for (i, _), g in zip(pairs, groups, strict=True):
+        best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.near_duplicates(spark, docs, SF).collect()
+    group = {(i, t): g for (i, t), g in zip(pairs, groups, strict=True)}
+    assert sorted(group[r.doc_id, r.text] for r in got) == sorted(set(groups))
+    assert all((r.doc_id is None, r.doc_id or 0) == best[group[r.doc_id, r.text]] for r in got)
+    assert P.near_duplicates(spark, empty(docs), SF).count() == 0
+
+
 def test_simhash_cells_lose_no_link(spark):
     r = random.Random(3)
     values = {r.getrandbits(64) for _ in range(40)}
