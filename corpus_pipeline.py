@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents far from every language learned go. The model learns from the
-    labels of its own input."""
+    labels of its own input outside the held-out quarter. Where it finds none there,
+    only documents without a letter go."""
     model = lang_id.fit(docs.filter(~lang_id.held_out(F.col("doc_id"))))
     return lang_id.predict(docs.select(*COLUMNS), model).filter("not rejected").select(*COLUMNS)
 

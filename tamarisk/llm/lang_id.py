@@ -14,7 +14,8 @@ the texts' lengths. Prediction reads whole texts, shuffles nothing, and takes
 nothing but the text.
 
 Null texts and texts without a letter: `und`, score 0, rejected. With no labelled
-text at all every text is `und`. Equal cosines go to the language that sorts
+text at all every text is `und`, and those with a letter are not rejected: they
+are far from nothing learned. Equal cosines go to the language that sorts
 first. Rows repeat as given.
 """
 
@@ -73,9 +74,11 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         found: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
+        rows = [(k, c) for k, t in enumerate(texts) if (c := counts(t)) is not None]
         if not self.names:
+            for k, _ in rows:
+                found[k] = (UNKNOWN, 0.0, False)
             return found
-        rows = [(k, c) for k, t in enumerate(texts) if (c := counts(t)) is not None]
         if rows:
             cosines = _vectors(np.stack([c for _, c in rows]), self.idf) @ self.centroids
             for (k, _), own in zip(rows, cosines, strict=True):

@@ -239,6 +239,15 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in lang_id.predict(docs, lang_id.fit(empty(docs))).collect()} == {"und"} and lang_id.predict(empty(docs), model).count() == 0
 
 
+def test_language_without_labels_keeps_texts(spark, docs):
+    import corpus_pipeline as P
+
+    lettered = sorted(str(r.doc_id) for r in docs.collect() if any(map(str.isalpha, r.text or "")))
+    for lang in (F.lit(None), F.when(lang_id.held_out(F.col("doc_id")), "en")):
+        got = P.language_id(spark, docs.withColumn("lang", lang.cast("string")), SF).collect()
+        assert sorted(str(r.doc_id) for r in got) == lettered
+
+
 def test_url_cascade(spark):
     hosts = [f"h{k}.example.org" for k in range(3000)]
     pages = spark.createDataFrame([(k, f"https://{h.upper() if k % 2 else h}/en/{k}?q#f") for k, h in enumerate(hosts)] + [(9000, None), (9001, "no scheme"), (9002, "ftp://WWW.Example.COM/en/x"), (9003, "http://a.net"), (9004, "x://com/?://y")], "page_id long, url string")
