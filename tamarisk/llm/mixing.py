@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in a shuffled order of their own, are cut to blocks of
-about `BLOCK_BYTES`. Over `PERIOD` slots a source with weight w owns w * PERIOD
-of them (weights are rounded to whole slots, none below one). Its k-th block in
-the period is released at slot floor(k / w) and due by slot ceil((k + 1) / w);
-each slot takes, of the blocks released, the one due first. Such a schedule meets
-every deadline, so after any number of slots each source is within one block of
-its target. The schedule repeats exactly from period to period: one period, whose
-size is fixed by the weights and not by the data, is all that is ever worked out,
-and every block finds its slot by its number alone.
+about `BLOCK_BYTES`. The k-th block of a source with weight w (of all weights' sum)
+is released at slot floor(k / w) and due by slot ceil((k + 1) / w); each slot
+takes, of the blocks released, the one due first. Such a schedule meets every
+deadline, so after any number of slots each source is within one block of its
+target, however long the mix. Weights enter as whole parts of `SHARES`, so what
+rounding adds is below one block in a million millions of slots.
+
+Each slot depends on those before it. One task walks through them and writes a
+short row for each block used, a batch of `PERIOD` at a time; it holds a number for
+each source. All that is done with documents is spread.
 
 The mix ends when every source has been used whole. A source that is used up
 earlier starts again (`epoch` counts), so no document is lost and the shares hold
@@ -26,15 +28,20 @@ is left out if weights are given. An empty table gives no row.
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
+import itertools
+import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.llm import common
 
 BLOCK_BYTES = 64 << 10
+#: Slots of the schedule written at once.
 PERIOD = 4096
+SHARES = 1 << 40
 #: Default weights: a source's bytes to this power.
 TEMPERATURE = 0.7
 #: Documents in a part, about.
@@ -61,22 +68,31 @@ def slots_of(weights: dict, period: int = PERIOD) -> dict:
     return slots
 
 
-def schedule(slots: dict) -> list[tuple]:
-    """(source, k, slot, release, deadline) for one period."""
+def schedule(slots: dict, length: int | None = None) -> Iterator[tuple]:
+    """(source, k, slot, release, deadline) of the first `length` slots (one
+    period). slots: each source's share, in whole numbers of any size."""
     period = sum(slots.values())
     names = sorted(slots, key=lambda s: (s is not None, str(s)))
-    window = lambda s, k: (k * period // slots[s], -(-(k + 1) * period // slots[s]))
-    waiting, ready, out = [(0, n, 0) for n in range(len(names))], [], []
-    for slot in range(period):
+    shares = [slots[s] for s in names]
+    waiting, ready = [(0, n, 0) for n in range(len(names))], []
+    for slot in range(period if length is None else length):
         while waiting and waiting[0][0] <= slot:
-            _, n, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(names[n], k)[1], n, k))
-        _, n, k = heapq.heappop(ready)
-        release, deadline = window(names[n], k)
-        out.append((names[n], k, slot, release, deadline))
-        if k + 1 < slots[names[n]]:
-            heapq.heappush(waiting, (window(names[n], k + 1)[0], n, k + 1))
-    return out
+            release, n, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // shares[n]), n, k, release))
+        deadline, n, k, release = heapq.heappop(ready)
+        yield names[n], k, slot, release, deadline
+        heapq.heappush(waiting, ((k + 1) * period // shares[n], n, k + 1))
+
+
+def plan(slots: dict, blocks: dict, stop: str = "all") -> Iterator[tuple]:
+    """The schedule up to where every source (the first) would start again."""
+    left = dict(blocks)
+    for one in schedule(slots, sys.maxsize) if slots else ():
+        if left.get(one[0]) == one[1]:
+            del left[one[0]]
+            if not left or stop != "all":
+                return
+        yield one
 
 
 def natural_weights(totals: dict, temperature: float = TEMPERATURE) -> dict:
@@ -95,45 +111,45 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     # Never null, so windows and the join below deal by the same key.
     named = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     rows = docs.select(F.struct(*carry).alias("row"), F.col(source_col).alias("source"), named.alias("name"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("spot"), F.xxhash64(F.col(text_col)).alias("tie"))
-    sizes = docs.select(F.col(source_col).alias("source"), size.alias("size"))
-    totals = {r.source: (r.bytes, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(totals) > MOST_SOURCES:
+    found = docs.select(F.col(source_col).alias("source"), named.alias("name"), size.alias("size")).groupBy("source", "name").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    weights = natural_weights({s: b for s, (b, _) in totals.items()}) if weights is None else weights
-    slots = slots_of({s: w for s, w in weights.items() if s in totals}, period)
-    period = sum(slots.values()) or 1
-    blocks = {s: -(-totals[s][0] // block_bytes) for s in slots}
-    plan = schedule(slots) if slots else []
-    place = {(s, k): slot for s, k, slot, _, _ in plan}
-    ends = [blocks[s] // slots[s] * period + place[s, blocks[s] % slots[s]] if blocks[s] % slots[s] else (blocks[s] // slots[s]) * period + place[s, 0] for s in slots]
-    end = (max(ends) if stop == "all" else min(ends)) if ends else 0
-
-    parts = max(1, -(-sum(n for _, n in totals.values()) // PART_ROWS))
+    weights = natural_weights({r.source: r.bytes for r in found}) if weights is None else weights
+    # By name, in which null is a text too.
+    slots = slots_of({r.name: weights[r.source] for r in found if r.source in weights}, SHARES)
+    blocks = {r.name: -(-r.bytes // block_bytes) for r in found if r.name in slots}
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slot = plan(slots, blocks, stop)
+                while some := list(itertools.islice(slot, period)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.string()), *(pa.array([x[k] for x in some], pa.int64()) for k in range(1, 5))], names=["name", "turn", "mix_slot", "mix_release", "mix_deadline"])
+
+    table = common.cut(spark.range(0, 1, 1, 1).mapInArrow(planned, "name string, turn long, mix_slot long, mix_release long, mix_deadline long"), "schedule")
+
+    parts = max(1, -(-sum(r.n for r in found) // PART_ROWS))
     rows = rows.withColumn("part", F.pmod("spot", F.lit(parts)))
     before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One short row for each source and part.
     firsts = (
         docs.select(named.alias("name"), size.alias("size"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(parts)).alias("part"))
         .groupBy("name", "part").agg(F.sum("size").alias("bytes"))
-        .select("name", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
+        .select("name", "part", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
+    )
+    # A row for each source.
+    sources = spark.createDataFrame(list(blocks.items()), "name string, t_blocks long")
+    uses = table.join(F.broadcast(sources), "name").select("name", (F.col("turn") % F.col("t_blocks")).alias("block"), F.struct(F.floor(F.col("turn") / F.col("t_blocks")).alias("mix_epoch"), "mix_slot", "mix_release", "mix_deadline").alias("use"))
+    # The uses of each part's blocks: documents need not move to meet the schedule.
+    firsts = (
+        firsts.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block_bytes), F.floor((F.col("first") + F.col("bytes") - 1) / block_bytes))))
+        .join(uses, ["name", "block"])
+        .groupBy("name", "part", "first", "block").agg(F.collect_list("use").alias("uses"))
+        .groupBy("name", "part", "first").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("by_block"))
     )
     within = Window.partitionBy("name", "part").orderBy("spot", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts, ["name", "part"])
     at = F.col("first") + F.col("own")
-    kind = docs.schema[source_col].dataType.simpleString()
-    # Both tables' sizes are set by the weights: a row for each source or slot.
-    sources = spark.createDataFrame([(s, slots[s], blocks[s]) for s in slots], f"t_source {kind}, t_slots long, t_blocks long")
-    table = spark.createDataFrame(plan, f"p_source {kind}, p_k long, p_slot long, p_release long, p_deadline long")
     number = F.floor(at / block_bytes)
-    used = (
-        placed.select("row", "source", at.alias("place"), number.alias("block"))
-        .join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.lit(end).cast("double") / period + 1) * F.col("t_slots") / F.col("t_blocks")).cast("long"))))
-        .withColumn("turn", F.col("block") + F.col("epoch") * F.col("t_blocks"))
-        .withColumn("k", F.col("turn") % F.col("t_slots"))
-        .withColumn("base", F.floor(F.col("turn") / F.col("t_slots")) * period)
-        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("k") == F.col("p_k")))
-        .withColumn("mix_slot", F.col("base") + F.col("p_slot"))
-        .filter(F.col("mix_slot") < end)
-    )
-    return used.select("row.*", "mix_slot", F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), (F.col("base") + F.col("p_release")).alias("mix_release"), (F.col("base") + F.col("p_deadline")).alias("mix_deadline"), F.col("place").alias("mix_place"))
+    used = placed.select("row", at.alias("mix_place"), number.alias("mix_block"), F.explode(F.try_element_at("by_block", number)).alias("use"))
+    return used.select("row.*", "use.mix_slot", "use.mix_epoch", "mix_block", "use.mix_release", "use.mix_deadline", "mix_place")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +298,42 @@ def test_mix(docs):
     assert mixing.mix(empty(docs)).count() == 0 and mixing.mix(docs, {"s1": 1.0}).select("source").distinct().collect()[0][0] == "s1"
 
 
+def test_mix_keeps_to_the_weights(docs):
+    weights = {"s0": 0.61371, "s1": 0.385777, "s2": 0.0005, None: 0.000013}
+    slots, total, used = mixing.slots_of(weights, mixing.SHARES), sum(weights.values()), dict.fromkeys(weights, 0)
+    for source, k, slot, release, deadline in mixing.schedule(slots, 200_000):
+        assert release <= slot < deadline and k == used[source]
+        used[source] += 1
+        assert all(abs(used[s] - (slot + 1) * w / total) < 1 for s, w in weights.items())
+    assert used[None] in (2, 3)
+
+    # The mix against brute force: each document at every turn of its block.
+    weights = {"s0": 0.6137, "s1": 0.3813, "s2": 0.004, None: 0.001}
+    rows, size = docs.collect(), 400
+    bytes_of = lambda r: max(1, len((r.text or "").encode()))
+    blocks = {s: -(-sum(bytes_of(r) for r in rows if r.source == s) // size) for s in weights}
+    for stop in ("all", "first"):
+        plan, ends = {}, []
+        for source, k, slot, _, _ in mixing.schedule(mixing.slots_of(weights, mixing.SHARES), 300_000):
+            plan[source, k] = slot
+            ends += [slot] * (k == blocks[source])
+            if len(ends) == (len(blocks) if stop == "all" else 1):
+                break
+        at = {}
+        got = mixing.mix(docs, weights, block_bytes=size, stop=stop).collect()
+        for r in got:
+            assert plan[r.source, r.mix_epoch * blocks[r.source] + r.mix_block] == r.mix_slot < ends[-1] and r.mix_block == r.mix_place // size
+            at.setdefault(r.source, {}).setdefault(r.mix_place, set()).add(bytes_of(r))
+        want = [(s, k % blocks[s], slot) for (s, k), slot in plan.items() if slot < ends[-1]]
+        turns = Counter((s, b) for s, b, _ in want)
+        uses = Counter((r.source, r.mix_block, r.mix_place) for r in got)
+        assert all(n == turns[s, b] for (s, b, _), n in uses.items())
+        if stop == "all":
+            for s in weights:  # places tile the source: no document is lost or twice at one
+                places = sorted((p, min(n)) for p, n in at[s].items())
+                assert [p for p, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and len(places) == sum(r.source == s for r in rows)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as P
 
