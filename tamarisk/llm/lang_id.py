@@ -94,10 +94,11 @@ def _vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means from evenly spaced rows in the order of their nearness to
-    the mean; the same rows give the same centroids."""
+    """Spherical k-means from the middle rows of k equal parts in the order of their
+    nearness to the mean, so no outlier starts a cluster; the same rows give the same
+    centroids."""
     mean = rows.mean(0)
-    start = rows[np.argsort(rows @ mean, kind="stable")[np.linspace(0, len(rows) - 1, k).astype(int)]]
+    start = rows[np.argsort(rows @ mean, kind="stable")[(2 * np.arange(k) + 1) * len(rows) // (2 * k)]]
     for _ in range(rounds):
         own = (rows @ start.T).argmax(1)
         start = np.stack([rows[own == c].mean(0) if (own == c).any() else start[c] for c in range(k)])

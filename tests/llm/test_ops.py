@@ -240,6 +240,15 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in lang_id.predict(docs, lang_id.fit(empty(docs))).collect()} == {"und"} and lang_id.predict(empty(docs), model).count() == 0
 
 
+def test_language_centroids_are_no_outliers():
+    r = np.random.default_rng(4)
+    rows = np.abs(r.standard_normal((90, 40))) * 0.1 + np.repeat(np.eye(40)[:3], 30, 0)
+    rows = np.vstack([rows, np.eye(40)[39:]])  # one text unlike all others
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    own = (rows @ lang_id._clusters(rows, 3).T).argmax(1)
+    assert np.bincount(own, minlength=3).min() > 5
+
+
 def test_language_without_labels_keeps_texts(spark, docs):
     import corpus_pipeline as P
 
