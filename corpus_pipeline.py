@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each linked group stays: of the smallest id, nulls last, one of
     its rows. Rows are told apart by a key of their own, so repeated, clashing and
     null ids neither keep a copy nor cost another document."""
-    rows = common.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "keyed")
+    rows = common.keyed(docs.select(*COLUMNS), "row_key")
     return rows.join(simhash.representatives(rows, "row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a key for each row that every reading gives again: the file and
+    the place in it. Rows that come from no Parquet file are written first."""
+    place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit("-"), F.col("_metadata.row_index")).alias(name)
+    try:
+        return df.select(*df.columns, place)
+    except AnalysisException:
+        return cut(df, "rows").select(*df.columns, place)
+
+
+def release() -> None:
+    """Gives what a worker has freed back to the system, where it can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Any store that pyarrow reaches (file, hdfs, s3, gs); used inside tasks."""
     if "://" not in path and not path.startswith("file:"):

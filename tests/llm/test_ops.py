@@ -129,7 +129,7 @@ def test_simhash(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
-def test_near_duplicates_keep_one_row_a_group(spark):
+def test_near_duplicates_keep_one_row_a_group(spark, tmp_path):
     import corpus_pipeline as P
 
     text = [words(60, 200 + k) for k in range(9)]
@@ -141,10 +141,12 @@ def test_near_duplicates_keep_one_row_a_group(spark):
     for (i, _), g in zip(pairs, groups, strict=True):
         best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = P.near_duplicates(spark, docs, SF).collect()
     group = {(i, t): g for (i, t), g in zip(pairs, groups, strict=True)}
-    assert sorted(group[r.doc_id, r.text] for r in got) == sorted(set(groups))
-    assert all((r.doc_id is None, r.doc_id or 0) == best[group[r.doc_id, r.text]] for r in got)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        got = P.near_duplicates(spark, given, SF).collect()
+        assert sorted(group[r.doc_id, r.text] for r in got) == sorted(set(groups))
+        assert all((r.doc_id is None, r.doc_id or 0) == best[group[r.doc_id, r.text]] for r in got)
     assert P.near_duplicates(spark, empty(docs), SF).count() == 0
 
 
