@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, line feed, VT, FF and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tasks that a list of files is dealt to, at most.
+MOST_TASKS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +99,13 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def dealt(listed: DataFrame) -> DataFrame:
+    """A list of files over tasks: one each while they are few, else several, so
+    their number stays one that a driver can keep up with."""
+    files = listed.count()
+    return listed.repartition(max(1, min(files, MOST_TASKS)))
+
+
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -190,5 +190,4 @@ def read(listed: DataFrame, payloads: bool = False) -> DataFrame:
                 if some:
                     yield common.batch_of(schema, dict(zip(schema.names, zip(*some, strict=True), strict=True)))
 
-    files = max(1, listed.count())
-    return listed.select("path").repartition(files).mapInArrow(parsed, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return common.dealt(listed.select("path")).mapInArrow(parsed, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)

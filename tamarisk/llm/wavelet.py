@@ -14,7 +14,9 @@ are an Arrow table in the same file.
 
 `write` sorts documents by id, and each range of ids becomes one or more shards.
 Null and empty texts hold the end id alone. A null id sorts first. Equal ids keep
-together, ordered by a hash of the text. An empty table makes no shard.
+together, ordered by a hash of the text, and repeated rows stay. A text longer than
+a shard makes one of its own, which its task holds whole. Other columns, whatever
+their names, are not read. An empty table makes no shard.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from tamarisk.llm import common, tokens
 MAGIC = b"WVMTRX01"
 #: Ids in a shard, about; bounds a task's memory.
 SHARD_TOKENS = 4_000_000
+#: Texts encoded at once.
+DOCS = 512
 BLOCK = 512
 CHUNK = 1 << 19  # bits
 
@@ -195,7 +199,6 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
     spark = docs.sparkSession
     path = path or common.new_path(spark, "wavelet")
     vocabulary = vocabulary or tokens.vocabulary_path()
-    end = end_id.to_bytes(4, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = tokens.loaded(vocabulary), TaskContext.get().partitionId()
@@ -203,21 +206,26 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
 
         def close() -> pa.RecordBatch:
             name = f"{path}/{part:06d}-{k:04d}-{uuid.uuid4().hex}.wvm"
-            table = pa.table({"id": pa.concat_arrays(keys), "start": pa.array(starts, pa.int64())})
-            common.write_bytes(name, encode(np.frombuffer(b"".join(data), "<u4"), table))
-            return pa.RecordBatch.from_pydict({"part": [part], "k": [k], "path": [name], "n_tokens": [n], "n_docs": [len(starts)]})
+            table = pa.table({"id": pa.concat_arrays(keys), "start": np.concatenate(starts)})
+            common.write_bytes(name, encode(np.concatenate(data), table))
+            return pa.RecordBatch.from_pydict({"part": [part], "k": [k], "path": [name], "n_tokens": [n], "n_docs": [len(table)]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                keys.append(some.column(0))
-                for ids in bpe.ids(some.column(1).to_pylist()):
-                    data += [ids, end]
-                    starts.append(n)
-                    n += len(ids) // 4 + 1
-                if n >= shard_tokens:
-                    yield close()
-                    keys, starts, data, n, k = [], [], [], 0, k + 1
+            for at in range(0, batch.num_rows, DOCS):
+                some = batch.slice(at, DOCS)
+                ids, sizes = bpe.ended(some.column(1), end_id)
+                ends, begin = np.cumsum(sizes), 0
+                while begin < len(sizes):  # a shard ends with the document that fills it
+                    done = int(ends[begin - 1]) if begin else 0
+                    stop = min(len(sizes), begin + 1 + int(np.searchsorted(ends[begin:] - done + n, shard_tokens)))
+                    keys.append(some.column(0).slice(begin, stop - begin))
+                    data.append(ids[done : ends[stop - 1]])
+                    starts.append(n + ends[begin:stop] - sizes[begin:stop] - done)
+                    n += int(ends[stop - 1]) - done
+                    begin = stop
+                    if n >= shard_tokens:
+                        yield close()
+                        keys, starts, data, n, k = [], [], [], 0, k + 1
         if starts:
             yield close()
 
@@ -248,5 +256,4 @@ def read(listed: DataFrame, id_type: str = "long") -> DataFrame:
                     own = slice(at, at + 1024)
                     yield pa.RecordBatch.from_arrays([keys.slice(at, 1024), pa.array(starts[own] + first, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts[own], ends[own], strict=True)], pa.binary())], names=["id", "start", "ids"])
 
-    files = max(1, listed.count())
-    return listed.select("path", "first").repartition(files).mapInArrow(documents, f"id {id_type}, start long, ids binary")
+    return common.dealt(listed.select("path", "first")).mapInArrow(documents, f"id {id_type}, start long, ids binary")

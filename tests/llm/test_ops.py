@@ -43,17 +43,37 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def own_ids(texts, bpe=None):
+    ids, sizes = (bpe or tokens.ByteBpe(tokens.vocabulary_path())).encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(sizes)
+    assert ends[-1] == len(ids)
+    return [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)]
+
+
 def packed(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def test_tokens_equal_the_library(spark):
-    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ["don't we'll", "ÿ ÿa b", "<|endoftext|> x", "a\r\n b", "1234 ab12,.;"]
-    assert tokens.ByteBpe(tokens.vocabulary_path()).ids(texts) == [packed(x) for x in encoded(texts)]
+    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts += ["don't we'll", "'tis 's 'll''s x'st's", "ÿ ÿa b", "<|endoftext|> x", "a<|endoftext|><|endoftext|> \n<|endoftext|>b", "a\r\n b", "1234 ab12,.;", "a\u3000\u00a0 \n b\u0085", "x" * 3000 + "  \t" * 900]
+    r = random.Random(6)
+    letters = [*"ab1,' \n\t\x0b\x1c\u0085\u00a0\u2003\u3000éٌ日²😀", "<|endoftext|>", "  ", "'s", "'re"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    assert own_ids(texts) == encoded(texts)
+
+
+def test_tokens_stay_the_same_when_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 40)
+    monkeypatch.setattr(tokens, "SOME", 16)
+    bpe = tokens.ByteBpe(tokens.vocabulary_path())
+    for k in range(4):
+        texts = [words(30, s) + " the same end." for s in (k, k + 1, 2)]
+        assert own_ids(texts, bpe) == encoded(texts)
+        assert len(bpe.at) <= 40 + 16
 
 
 def test_packing(docs):
@@ -68,7 +88,23 @@ def test_packing(docs):
         pieces = sorted(got[r.doc_id, len(ids) + 1])
         if rows.count(r) == 1:
             assert b"".join(x for _, x, _ in pieces) == packed([*ids, 0])
-    assert packing.pack(empty(docs)).count() == 0 and packing.piece_lengths(2500) == [1024, 1024, 256, 128, 64, 4]
+    assert packing.pack(empty(docs)).count() == 0
+
+
+def test_pieces_are_the_binary_digits():
+    sizes = np.array([1, 1023, 1024, 2500, *np.random.default_rng(0).integers(1, 6000, 200)])
+    doc, start, length = packing.pieces(sizes)
+    for k, n in enumerate(sizes):
+        want = [1024] * (n // 1024) + [1 << b for b in range(9, -1, -1) if n % 1024 >> b & 1]
+        assert length[doc == k].tolist() == want and start[doc == k].tolist() == (np.cumsum(want) - want).tolist()
+
+
+def test_packing_buckets_and_columns(spark, docs, tmp_path):
+    found = packing.pack(docs.withColumn("length", F.lit("clash")).withColumn("ids", F.lit(1)).drop("lang"))
+    packing.write_buckets(found, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b")).select(*found.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, found.collect()))
+    assert {p.name for p in (tmp_path / "b").iterdir() if p.is_dir()} == {f"length={r.length}" for r in found.select("length").distinct().collect()}
 
 
 def test_wavelet_file():
