@@ -119,6 +119,25 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def apart(given: list[str], added: tuple[str, ...] | list[str]) -> dict[str, str]:
+    """New names for the given columns: those that an added column bears, whatever
+    the case, get `_given` behind, as often as needed."""
+    names: dict[str, str] = {}
+    taken = {c.lower() for c in [*given, *added]}
+    for c in given:
+        new = c
+        while new.lower() in ({a.lower() for a in added} if new == c else taken):
+            new += "_given"
+        taken.add(new.lower())
+        names[c] = new
+    return names
+
+
+def renamed(df: DataFrame, added: tuple[str, ...] | list[str]) -> DataFrame:
+    """`df` with such columns renamed."""
+    return df.select(*[F.col(c).alias(new) for c, new in apart(df.columns, added).items()])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

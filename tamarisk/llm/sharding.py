@@ -1,122 +1,143 @@
 """Shards of near equal bytes by sampled splitters.
 
-Records are ordered by (hash of the text, id, hash again). A size-weighted sample
-of those keys gives quantile boundaries, which range-partition the records; a
-range that turns out to hold over `OVERFULL` times the mean is subdivided at
-boundaries from a denser sample of its own, until none is left that can be. Then
-each range sums its own records, ranges' totals are summed, and a record's bytes
-before it in the whole order name its shard. The law is `bytes`: shards differ by
-about a record, or by a small group of equal texts, since such a group (under
-`WHOLE` of a shard) is placed whole. A larger group is split by id, so a text that
-a third of all rows share lies in as many ranges and shards as it needs.
-
-Everything is DataFrame functions. Only the sample's boundaries and the ranges'
-totals are ever brought together: both follow the number of ranges.
-
-A null text has no bytes and goes with the empty texts' order of its own; null ids
-sort first; rows equal in id and text keep together in any order. Other columns
-stay if carried. An empty table gives no row.
+Records are ordered by (hash of the text, id, their place in the table). A
+size-weighted sample of those keys gives quantile boundaries, which cut the order
+to `PER_SHARD` ranges a shard, more where a range would pass `RANGE_ROWS`. A range
+that turns out to hold over `OVERFULL` times its due is subdivided at boundaries
+from a sample of its own, all such ranges in one job, again until none is left but
+single records. Shards are runs of ranges: a range goes to the shard in which its
+middle lies. The law is `bytes`: a shard is off by about a range.
+
+Boundaries stand between texts, so equal texts are in one shard, unless a text has
+more records than a range takes; then they are split by id, and by place where even
+the ids are equal. So a text, or a repeated row, that a third of all rows share lies
+in as many shards as it needs.
+
+Everything is DataFrame functions, and nothing but totals comes to the driver.
+Boundaries are a table. A record meets them through the first bits of its hash: that
+table of `CELLS` rows, with all boundaries in it, is what is broadcast, and follows
+the number of ranges. Samples of the first round are sorted in one task: `SAMPLES`
+keys for each range.
+
+A null text has no bytes and comes before all others; null ids come first among
+equal texts. Very long texts are records like any: no record is split. An empty
+table gives no row. A carried column with the name of an added one is renamed
+(`common.apart`).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.llm import common
 
 SHARDS = 24
-#: Records in a range, about, and samples for each range.
-RANGE_ROWS = 200_000
+PER_SHARD = 64
+#: Records in a range, at most about, and samples for each range.
+RANGE_ROWS = 2_000_000
 SAMPLES = 32
 OVERFULL = 2.0
-#: A group of equal texts up to this part of a shard is placed whole.
-WHOLE = 1 / 32
 OVERHEAD = 8
-ROUNDS = 4
-
-
-def _order(text: Column) -> Column:
-    """60 bits of the text's MD5."""
-    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
-
-
-def _range_of(bounds: list[tuple]) -> Column:
-    """How many boundaries are at or below the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    steps, top = [], 1
-    while top <= len(bounds):
-        steps.append(top)
-        top *= 2
-    # Boundaries follow the number of ranges, and each is two numbers.
-    tops, ids = F.lit([b[0] for b in bounds]), F.lit([b[1] for b in bounds])
-    key, own = F.col("group"), F.col("place")
+HASH_BITS, CELL_BITS = 60, 12
+CELLS = 1 << CELL_BITS
+LOWEST = -(1 << 63)
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
-    def step(at: Column, width: Column) -> Column:
-        k = at + width
-        below = (k <= len(bounds)) & ((F.get(tops, k - 1) < key) | (F.get(tops, k - 1) == key) & (F.get(ids, k - 1) <= own))
-        return F.when(below, k).otherwise(at)
 
-    return F.aggregate(F.array(*map(F.lit, reversed(steps))), F.lit(0), step)
+def _group(text: Column) -> Column:
+    """The first bits of the text's MD5."""
+    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def _cuts(sample: DataFrame, n: int) -> list[tuple]:
-    """n - 1 boundaries at the quantiles of a bounded sample. A boundary inside a
-    group of equal texts stands before the whole group, unless the group holds
-    several of them and so is too large for one range."""
-    keys = [tuple(r) for r in sample.select("group", "place").orderBy("group", "place").collect()]
-    picked = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
-    within = Counter(g for g, _ in picked)
-    return sorted({(g, p) if within[g] > 1 else (g, -(1 << 63)) for g, p in picked})
+def _records(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """row (the carried columns), size, crc, key (group, id, nth)."""
+    text = F.col(text_col)
+    number = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    place = F.col(id_col).cast("long") if number else F.xxhash64(id_col)
+    key = F.struct(_group(text).alias("group"), F.coalesce(F.when(F.col(id_col).isNotNull(), place), F.lit(LOWEST)).alias("id"), F.monotonically_increasing_id().alias("nth"))
+    rows = docs.select(F.struct(*carry).alias("row"), (common.text_bytes(text) + OVERHEAD).alias("size"), F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("crc"), key.alias("key"))
+    return common.cut(rows, "records")  # written, so a place is the same at each reading
+
+
+def _cell(group: Column) -> Column:
+    return F.shiftright(group, HASH_BITS - CELL_BITS)
+
+
+def ranged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Adds range: how many boundaries are at or below the key. bounds: at (a key)."""
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows
+    own = bounds.groupBy(_cell(F.col("at.group")).alias("cell")).agg(F.array_sort(F.collect_list("at")).alias("own"))
+    cells = rows.sparkSession.range(-1, CELLS).select(F.col("id").alias("cell")).join(own, "cell", "left")
+    cells = cells.select("cell", "own", F.coalesce(F.size("own"), F.lit(0)).alias("many")).select("cell", "own", "many", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first"))
+
+    def step(found: Column, k: Column) -> Column:
+        more = found + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((more <= F.col("many")) & (F.get("own", more - 1) <= F.col("key")), more).otherwise(found)
+
+    halves = F.sequence(F.floor(F.log2(F.greatest("many", F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+    inside = F.when(F.col("many") == 0, 0).otherwise(F.aggregate(halves, F.lit(0), step))
+    met = rows.withColumn("cell", _cell(F.col("key.group"))).join(F.broadcast(cells), "cell")
+    return met.select(*rows.columns, (F.col("first") + inside).alias("range"))
+
+
+def _picked(sample: DataFrame) -> DataFrame:
+    """at: boundaries that cut each range's sample (key, range, parts, low, high) to
+    its parts. One within a text's records moves to their beginning or, at the
+    range's first text, behind them, unless the text has several boundaries or fills
+    the range."""
+    own = Window.partitionBy("range")
+    nth = F.row_number().over(own.orderBy("key")) - 1
+    part = lambda k: F.floor(k * F.col("parts") / F.col("n"))
+    rows = sample.withColumn("k", nth).withColumn("n", F.count("*").over(own)).filter((F.col("k") > 0) & (part(F.col("k")) > part(F.col("k") - 1)))
+    group, lowest = F.col("key.group"), F.lit(LOWEST)
+    rows = rows.withColumn("within", F.count("*").over(Window.partitionBy("range", "key.group")))
+    outside = F.struct(F.when(group == F.col("low"), group + 1).otherwise(group).alias("group"), lowest.alias("id"), lowest.alias("nth"))
+    return rows.select(F.when((F.col("within") > 1) | (F.col("low") == F.col("high")), F.col("key")).otherwise(outside).alias("at")).distinct()
+
+
+def splitters(records: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """at: the boundaries' keys, in no order. records: size, key; written."""
+    group = F.col("key.group")
+    n, total, low, high = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.min(group), F.max(group)).first()
+    ranges = max(PER_SHARD * shards, -(-n // range_rows))
+    due = max(1.0, total / ranges)
+    draw = F.xxhash64("key", F.lit("draw")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    density = SAMPLES / due
+    drawn = records.filter(draw < F.col("size") * density).select("key", F.lit(0).alias("range"), F.lit(ranges).alias("parts"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+    bounds = common.cut(_picked(drawn), "bounds")
+    while True:
+        met = ranged(records, bounds)
+        sums = met.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min(group).alias("low"), F.max(group).alias("high"))
+        over = sums.filter((F.col("bytes") > OVERFULL * due) & (F.col("n") > 1)).select("range", F.ceil(F.col("bytes") / due).alias("parts"), "low", "high")
+        over = common.cut(over, "overfull")  # no more rows than there are ranges
+        if over.isEmpty():
+            return bounds
+        # Denser each time; in the end all records of a range are its sample.
+        density *= 4
+        inside = met.filter(draw < F.col("size") * density).join(F.broadcast(over), "range").select("key", "range", "parts", "low", "high")
+        bounds = common.cut(bounds.union(_picked(inside)).distinct(), "bounds")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The columns `carry` (only the id) with size, text_crc32, law, shard, slot,
     grown_shard."""
     carry = [id_col] if carry is None else carry
-    text = F.col(text_col)
-    base = docs.select(
-        F.struct(*carry).alias("row"),
-        (common.text_bytes(text) + OVERHEAD).alias("size"),
-        F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("crc"),
-        _order(text).alias("group"),
-        (F.col(id_col).cast("long") if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(id_col)).alias("place"),
-    ).withColumn("place", F.coalesce("place", F.lit(-(1 << 63)).cast("long")))
-    base = common.cut(base, "records")
-    n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(8 * shards, -(-n // range_rows))
-    draw = F.xxhash64("group", "place", F.lit("draw")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    rate = ranges * SAMPLES / max(1, total)
-    bounds = _cuts(base.filter(draw < F.col("size") * rate), ranges)
-    for _ in range(ROUNDS):
-        sums = base.groupBy(_range_of(bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.min("group").alias("g"), F.max("group").alias("h"), F.min("place").alias("a"), F.max("place").alias("b"))
-        over = sums.filter((F.col("bytes") > OVERFULL * total / ranges) & ((F.col("g") < F.col("h")) | (F.col("a") < F.col("b")))).collect()
-        more: set[tuple] = set()
-        for r in over:  # as many as ranges at most
-            inside = base.filter((_range_of(bounds) == r.range) & (draw < F.col("size") * (SAMPLES * 4 / r.bytes) * (r.bytes * ranges / total)))
-            more |= set(_cuts(inside, -(-r.bytes * ranges // max(1, total))))
-        if not more - set(bounds):
-            break
-        bounds = sorted(set(bounds) | more)
-    dealt = common.cut(base.withColumn("range", _range_of(bounds)), "ranges")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    records = _records(docs, id_col, text_col, carry)
+    met = ranged(records, splitters(records.select("size", "key"), shards, range_rows))
     # One short row for each range.
-    firsts = dealt.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first_byte"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_row"))
-    order = Window.partitionBy("range").orderBy("group", "place")
-    group = Window.partitionBy("range", "group")
-    limit = int(total / shards * WHOLE)
-    placed = (
-        dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("nth", F.row_number().over(order))
-        .withColumn("group_bytes", F.sum("size").over(group))
-        .withColumn("group_end", F.max("end").over(group))
-        .join(firsts, "range")
-    )
-    middle = F.when(F.col("group_bytes") <= limit, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("first_byte") + middle) * shards / max(1, total))).cast("int")).withColumn("at", F.col("first_row") + F.col("nth") - 1)
-    placed = common.cut(placed.select("row", "size", "crc", "shard", "at"), "shards")
-    starts = placed.groupBy("shard").agg(F.min("at").alias("start"))
-    return placed.join(F.broadcast(starts), "shard").select("row.*", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = met.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    firsts = firsts.withColumns({"done": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "total": F.sum("bytes").over(whole)})
+    middle = (F.col("done") + F.col("bytes") / 2) * shards / F.col("total")
+    firsts = firsts.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle)).cast("int"))
+    within = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("range", "shard", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("key"))
+    placed = met.withColumn("nth", nth).join(F.broadcast(firsts), "range")
+    names = common.apart(carry, ADDED)
+    return placed.select(
+        *[F.col("row")[c].alias(names[c]) for c in carry], "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -232,18 +232,66 @@ def test_cap_filters(spark):
     assert capsim.near_duplicates(df.filter("false")).count() == 0
 
 
-def test_sharding(docs):
-    got = sharding.shard(docs, shards=4, range_rows=10).collect()
-    assert len(got) == docs.count() and {r.law for r in got} == {"bytes"}
-    by = {}
+def shard_key(text, doc_id):
+    group = -1 if text is None else int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    return group, sharding.LOWEST if doc_id is None else doc_id
+
+
+def check_shards(docs, shards, range_rows=sharding.RANGE_ROWS):
+    """By brute force: shards are runs of the order, slots count within them, and
+    sizes are off by an overfull range on either side, or a record, at most."""
+    texts = {(r.doc_id, zlib.crc32((r.text or "").encode())): r.text for r in docs.collect()}
+    got = sharding.shard(docs, shards=shards, range_rows=range_rows).collect()
+    assert len(got) == docs.count() and {r.law for r in got} <= {"bytes"} and all(r.grown_shard is None for r in got)
+    assert all(r.size == len((texts[r.doc_id, r.text_crc32] or "").encode()) + 8 for r in got)
+    got.sort(key=lambda r: (r.shard, r.slot))
+    keys = [shard_key(texts[r.doc_id, r.text_crc32], r.doc_id) for r in got]
+    assert keys == sorted(keys)
+    sizes = Counter()
     for r in got:
-        by.setdefault(r.shard, []).append(r)
-    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
-    total, most = sum(r.size for r in got), max(r.size for r in got)
-    assert all(abs(sum(r.size for r in rs) - total / 4) <= most + total / 4 / 32 for rs in by.values())
-    sizes = {r.doc_id: (len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
-    assert all((r.size, r.text_crc32) == sizes[r.doc_id] for r in got)
+        sizes[r.shard] += r.size
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in sizes)
+    total = sum(sizes.values())
+    due = total / max(sharding.PER_SHARD * shards, -(-len(got) // range_rows))
+    slack = max([sharding.OVERFULL * due, *(r.size for r in got)])
+    assert all(abs(sizes[s] - total / shards) <= slack for s in range(shards))
+    return got, texts
+
+
+def test_sharding(docs):
+    check_shards(docs, 4, 10)
     assert sharding.shard(empty(docs)).count() == 0
+    got = sharding.shard(docs.withColumn("Size", F.lit("mine")).withColumn("slot", F.lit(7)), carry=["doc_id", "Size", "slot"])
+    assert got.columns == ["doc_id", "Size_given", "slot_given", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and {r.Size_given for r in got.collect()} == {"mine"}
+
+
+def test_sharding_splits_hot_groups_and_keeps_small_ones(spark):
+    rows = [(k, words(20, k)) for k in range(400)] + [(1000 + k, "the same text") for k in range(900)] + [(7777, "one repeated row")] * 900 + [(5000 + k, f"small group {k % 20}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, texts = check_shards(docs, 6)
+    of = {}
+    for r in got:
+        of.setdefault(texts[r.doc_id, r.text_crc32], set()).add(r.shard)
+    assert len(of["the same text"]) > 1 and len(of["one repeated row"]) > 1
+    assert all(len(of[f"small group {k}"]) == 1 for k in range(20))
+
+
+def test_sharding_follows_its_splitters(docs):
+    """Each record's range is the number of boundaries at or below its key, no range
+    stays overfull, and other splitters give other shards."""
+    records = sharding._records(docs, "doc_id", "text", ["doc_id"])
+    bounds = sharding.splitters(records, 2, 10)
+    at = sorted(tuple(r["at"]) for r in bounds.collect())
+    met = sharding.ranged(records, bounds).collect()
+    assert len(met) == docs.count() and all(r.range == sum(tuple(b) <= tuple(r.key) for b in at) for r in met)
+    sums, many = Counter(), Counter()
+    for r in met:
+        sums[r.range] += r.size
+        many[r.range] += 1
+    due = sum(sums.values()) / (2 * sharding.PER_SHARD)
+    assert all(n <= sharding.OVERFULL * due or many[k] == 1 for k, n in sums.items())
+    few = sharding.ranged(records, bounds.limit(3)).select("range").distinct().count()
+    assert few == 4 < len(sums)
 
 
 def test_quality(docs):
@@ -300,14 +348,26 @@ def test_url_cascade(spark):
     hosts = [f"h{k}.example.org" for k in range(3000)]
     pages = spark.createDataFrame([(k, f"https://{h.upper() if k % 2 else h}/en/{k}?q#f") for k, h in enumerate(hosts)] + [(9000, None), (9001, "no scheme"), (9002, "ftp://WWW.Example.COM/en/x"), (9003, "http://a.net"), (9004, "x://com/?://y")], "page_id long, url string")
     listed = spark.createDataFrame([(h,) for h in hosts[::3]] + [(hosts[0],), ("elsewhere",)], "key string")
-    for most in (url_filter.MOST_BYTES, 10):
+    for most in (url_filter.MOST_BYTES, 600):
         got = {r.page_id: r for r in url_filter.judge(pages, listed, most_bytes=most).collect()}
         assert all(got[k].listed == (k % 3 == 0) and got[k].host == h for k, h in enumerate(hosts))
         assert (got[9000].host, got[9000].path, got[9000].verdict) == ("", "", "allow") and got[9001].host == ""
         assert (got[9002].host, got[9002].path, got[9002].rule, got[9002].verdict) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
         assert (got[9003].path, got[9003].rule) == ("", None) and (got[9004].host, got[9004].path, got[9004].rule) == ("com", "/", "com/")
     universe = pages.select(url_filter.host(F.col("url")).alias("key")).distinct().join(listed.distinct().withColumn("listed", F.lit(True)), "key", "left").fillna(False)
-    assert 1 < len(url_filter.build(universe).levels) and url_filter.judge(pages.filter("false"), listed).count() == 0
+    cascade = url_filter.build(universe)
+    assert 1 < len(cascade.levels) and cascade.bytes < 3000 * url_filter.BITS_PER_KEY and url_filter.judge(pages.filter("false"), listed).count() == 0
+    assert url_filter.parts_of(1000, 2000, 600) == 3 and url_filter.parts_of(40_000_000, 10**8) == 1 and url_filter.parts_of(10**9, 10**9) == 23
+    assert not any("Join" in x for x in url_filter.judge(pages, listed)._jdf.queryExecution().executedPlan().toString().splitlines())
+    more = url_filter.judge(pages.withColumn("HOST", F.lit(1)).withColumn("verdict", F.lit(2)), listed)
+    assert more.columns == ["page_id", "url", "HOST_given", "verdict_given", "host", "path", "rule", "verdict", "listed"] and {r.HOST_given for r in more.collect()} == {1}
+
+
+def test_long_and_repeated_urls(spark):
+    long = "https://" + "a." * 50_000 + "Net/fr/" + "x" * 200_000 + "?" + "y" * 1000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "https://net/fr/")], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([], "key string")).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("net/fr/", "block")] * 3 and {len(r.path) for r in got} == {200_004, 4}
 
 
 def test_warc(spark, tmp_path):
