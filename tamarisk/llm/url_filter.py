@@ -8,17 +8,20 @@ all of an odd number of levels), so membership is exact for every key of the
 universe, at a fraction of the list's size and without a join. Everything is
 DataFrame functions: hashing, grouping, bit operations on arrays of longs.
 
-A cascade travels with the plan as one array of longs for each level. Its size is
-known before it is built (`BITS_PER_KEY` for each key); lists whose level 0 would
-exceed `most_bytes` are looked up by an equi-join on the host instead, with the
-same result.
+A level is a bitmap, built in blocks by grouped bitmap aggregates and carried by the
+plan as one binary literal. Keys are dealt to as many parts, by their hash, as keep
+the levels of a part under about `MOST_BYTES`; each part has a cascade of its own,
+and the pages are read once for each part. So the driver and a task hold no more
+than a part's levels however long the list is, and some 40 million listed hosts are
+still one part.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path:
 from there up to `?`, `#` or the end. A null url, or one without `://`, has an
 empty host and path; such rows match no rule and are allowed unless the empty
-host is listed. A rule fits its host and all subdomains if the path starts with
+host is listed. Very long urls are cut like any other. A rule fits its host and all subdomains if the path starts with
 its path; the longest rule wins, and of equal ones that given first. Rows repeat
-as given, all other columns stay.
+as given and all other columns stay; one with the name of an added column is renamed
+(`common.apart`). An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ BITS_PER_KEY = 12
 HASHES = 4
 MOST_BYTES = 64 << 20
 MOST_LEVELS = 64
+#: Bits in a block of the bitmap aggregates.
+BLOCK = 1 << 15
+ADDED = ("host", "path", "rule", "verdict", "listed")
 
 
 @dataclass(frozen=True)
@@ -80,14 +86,13 @@ def _spots(key: Column, level: int, bits: int) -> list[Column]:
 
 @dataclass
 class Cascade:
-    levels: list[list[int]]  # words of 64 bits
+    levels: list[bytes]
 
     def passes(self, key: Column, level: int) -> Column:
-        words = F.array(*map(F.lit, self.levels[level])) if len(self.levels[level]) <= 16 else F.lit(self.levels[level])
-        test = F.lit(True)
-        for spot in _spots(key, level, 64 * len(self.levels[level])):
-            word = F.element_at(words, F.shiftright(spot, 6).cast("int") + 1)
-            test = test & (F.call_function("shiftrightunsigned", word, F.pmod(spot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+        bits, test = F.lit(self.levels[level]), F.lit(True)
+        for spot in _spots(key, level, 8 * len(self.levels[level])):
+            byte = F.conv(F.hex(F.substring(bits, F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            test = test & (F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return test
 
     def listed(self, key: Column) -> Column:
@@ -99,54 +104,65 @@ class Cascade:
 
     @property
     def bytes(self) -> int:
-        return 8 * sum(map(len, self.levels))
-
-
-def _level(keys: DataFrame, level: int, n: int) -> list[int]:
-    """A Bloom filter of the n keys. Tasks OR their own bits first, and one row for
-    each word that has a bit comes back: BITS_PER_KEY / 8 bytes a key at most."""
-    words = max(1, -(-n * BITS_PER_KEY // 64))
-    spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, 64 * words))).alias("spot"))
-    found = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits"))
-    out = [0] * words
-    for r in found.collect():
-        out[r.word] = r.bits
-    return out
+        return sum(map(len, self.levels))
+
+
+def _level(keys: DataFrame, level: int, n: int) -> bytes:
+    """A Bloom filter of the n keys. Tasks OR their own blocks first, and a row of
+    4 KB for each block comes back."""
+    size = -(-n * BITS_PER_KEY // 64) * 8  # whole words
+    spots = F.array(*[spot + 1 for spot in _spots(F.col("key"), level, 8 * size)])  # bitmaps count from 1
+    blocks = keys.select(F.explode(spots).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    out = bytearray(-(-8 * size // BLOCK) * BLOCK // 8)
+    for r in blocks.collect():
+        at = (r.block - 1) * BLOCK // 8
+        out[at : at + len(r.bits)] = r.bits
+    return bytes(out[:size])
 
 
-def build(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None:
-    """universe: key (distinct), listed (boolean). None if it would be too large."""
+def build(universe: DataFrame) -> Cascade:
+    """universe: key (distinct), listed (boolean)."""
     held, levels = universe, []
     while len(levels) < MOST_LEVELS:
-        inside = len(levels) % 2 == 0
-        own = held.filter("listed" if inside else "not listed")
+        own = held.filter("listed" if len(levels) % 2 == 0 else "not listed")
         n = own.count()
         if not n:
             return Cascade(levels)
-        if n * BITS_PER_KEY // 8 > most_bytes:
-            return None
         levels.append(_level(own, len(levels), n))
         # The other side's keys that pass are the next level's; this side's pass always.
         held = held.filter(Cascade(levels).passes(F.col("key"), len(levels) - 1))
     raise RuntimeError("the cascade doesn't end")
 
 
+def parts_of(listed: int, others: int, most_bytes: int = MOST_BYTES) -> int:
+    """Parts for so many keys: of the others about one in a hundred passes level 0."""
+    return max(1, -(-(listed + others // 100) * BITS_PER_KEY // 8 // most_bytes))
+
+
 def judge(pages: DataFrame, listed_hosts: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of `pages` with host, path, rule, verdict, listed. listed_hosts: a
     column `key`; keys outside the corpus and repeated ones do no harm."""
-    if clash := {c.lower() for c in pages.columns} & {"host", "path", "rule", "verdict", "listed"}:
-        raise ValueError(f"columns that the filter needs: {sorted(clash)}")
-    hosts = pages.select(host(F.col(url_col)).alias("key")).distinct()
+    names = common.apart(pages.columns, ADDED)
+    given = common.renamed(pages, ADDED)
+    url = F.col(names[url_col])
+    hosts = given.select(host(url).alias("key")).distinct()
     marks = listed_hosts.select("key").distinct().withColumn("listed", F.lit(True))
     universe = common.cut(hosts.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "hosts")
-    cascade = build(universe, most_bytes)
-    rows = pages.withColumn("host", host(F.col(url_col))).withColumn("path", path(F.col(url_col)))
-    if cascade is not None:
-        rows = rows.withColumn("listed", cascade.listed(F.col("host")))
-    else:
-        rows = rows.join(universe.withColumnRenamed("key", "host"), "host", "left")
+    many = {r.listed: r["count"] for r in universe.groupBy("listed").count().collect()}
+    parts = parts_of(many.get(True, 0), many.get(False, 0), most_bytes)
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+    rows = given.withColumn("host", host(url)).withColumn("path", path(url))
     rule, verdict = matched(rules, F.col("host"), F.col("path"))
-    return rows.select(*pages.columns, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+    out = None
+    for k in range(parts):
+        cascade = build(universe if parts == 1 else universe.filter(part(F.col("key")) == k))
+        own = rows if parts == 1 else rows.filter(part(F.col("host")) == k)
+        own = own.withColumn("listed", cascade.listed(F.col("host")))
+        own = own.select(*given.columns, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+        if parts > 1:
+            own = common.cut(own, "judged")  # so that one part's levels are held at a time
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def hosts_with(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, url_col: str = "url") -> DataFrame:
