@@ -1,7 +1,9 @@
-"""Token energies: one row per token, all factors by windows over one exchange.
+"""Token energies: one row per token, all factors by windows.
 
-Every window is partitioned by columns that contain the text's key, so a single
-hash exchange on the key serves them all; texts, not corpora, bound a window.
+Texts are dealt by their key before they are cut to tokens. Every window is
+partitioned by columns that contain the key, so texts cross one exchange and token
+rows none; texts, not corpora, bound a window. Factors come in two orders only: by
+place (the nearest verb), then by token and place (all else).
 """
 
 from __future__ import annotations
@@ -92,16 +94,27 @@ def chunk_range(idx: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), own - 1), F.least(chunk_count(n) - 1, own)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts dealt by key to as many partitions as the session shuffles to. Their
+    number is set, since few bytes of text make many token rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, idx, token, n, n_distinct; a text without tokens has no rows."""
-    return given_tokens(df.select(*keys, tokenize(F.col(text)).alias("__t")), keys, "__t")
+    texts = dealt(df.select(*keys, F.col(text).alias("__x")), keys)
+    return _token_rows(texts.select(*keys, tokenize(F.col("__x")).alias("__t")), keys)
 
 
 def given_tokens(df: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
     """The same for arrays of tokens made elsewhere."""
+    return _token_rows(dealt(df.select(*keys, F.col(column).alias("__t")), keys), keys)
+
+
+def _token_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
     # Sizes are taken below the generator, once for each text, and the outer form
     # infers no filter that would make the tokens a second time.
-    sized = df.select(*keys, F.col(column).alias("__t"), F.size(column).alias("n"), F.size(F.array_distinct(column)).alias("n_distinct"))
+    sized = texts.select(*keys, "__t", F.size("__t").alias("n"), F.size(F.array_distinct("__t")).alias("n_distinct"))
     return sized.select(*keys, "n", "n_distinct", F.posexplode_outer("__t").alias("idx", "token")).filter("idx is not null")
 
 
@@ -134,24 +147,20 @@ def energies(df: DataFrame, keys: list[str], text: str = "text", config: QuenchC
     """keys, idx, token, n, frozen, e_stat, e_struct, e_pos, e_domain, energy (of
     frozen tokens too; it counts for none of them)."""
     config = config or QuenchConfig()
-    rows = chunk_frequency(given_tokens(df, keys, text) if tokenized else tokens(df, keys, text), keys)
-    tf = (F.col("tf_count") + 1) / (F.col("n") + F.col("n_distinct"))
+    rows = given_tokens(df, keys, text) if tokenized else tokens(df, keys, text)
     verb = F.when(F.lower("token").isin(*TASK_VERBS), F.col("idx"))
     order = Window.partitionBy(*keys).orderBy("idx")
     rows = (
-        rows.withColumn("__stat", F.when(is_blank(F.col("token")), F.lit(0.0)).otherwise(tf * F.col("idf")))
-        .withColumn("__struct", structural_weight(F.col("token")))
-        .withColumn("__verb", verb)
+        rows.withColumn("__verb", verb)
         .withColumn("__before", F.max("__verb").over(order.rowsBetween(-DOMAIN_WINDOW, 0)))
         .withColumn("__after", F.min("__verb").over(order.rowsBetween(0, DOMAIN_WINDOW)))
     )
     distance = F.least(F.col("idx") - F.col("__before"), F.col("__after") - F.col("idx"))  # nulls are passed over
-    rows = (
-        rows.withColumn("e_stat", _scaled("__stat", keys))
-        .withColumn("e_struct", _scaled("__struct", keys))
-        .withColumn("e_pos", positional(F.col("idx"), F.col("n")))
-        .withColumn("e_domain", F.coalesce(F.exp(-distance / F.lit(float(DOMAIN_WINDOW))), F.lit(0.0)))
-    )
+    rows = rows.withColumn("e_domain", F.coalesce(F.exp(-distance / F.lit(float(DOMAIN_WINDOW))), F.lit(0.0))).drop("__verb", "__before", "__after")
+    rows = chunk_frequency(rows, keys)
+    tf = (F.col("tf_count") + 1) / (F.col("n") + F.col("n_distinct"))
+    rows = rows.withColumn("__stat", F.when(is_blank(F.col("token")), F.lit(0.0)).otherwise(tf * F.col("idf"))).withColumn("__struct", structural_weight(F.col("token")))
+    rows = rows.withColumns({"e_stat": _scaled("__stat", keys), "e_struct": _scaled("__struct", keys), "e_pos": positional(F.col("idx"), F.col("n"))})
     w = config.energy_weights
     total = w.w_statistical * F.col("e_stat") + w.w_structural * F.col("e_struct") + DOMAIN_WEIGHT * F.col("e_domain") + w.w_positional * F.col("e_pos")
     return rows.select(*keys, "idx", "token", "n", "tf_count", "df", "chunks", "idf", is_frozen(F.col("token"), config.frozen_patterns).alias("frozen"), "e_stat", "e_struct", "e_pos", "e_domain", (total * total).alias("energy"))

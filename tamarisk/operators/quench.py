@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.config import QuenchConfig, output_config
-from tamarisk.functions.text import has_token, strip, tokenize
+from tamarisk.functions.text import bound, has_token, strip, tokenize
 from tamarisk.operators.energy import energies, is_blank
 
 STEPS = 100
@@ -35,13 +35,15 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     e_last (the energy of the token's last occurrence), and mass (its sum down to
     the rank)."""
     whole = Window.partitionBy(*keys)
-    rank = Window.partitionBy(*keys, "frozen").orderBy(F.round("energy", 12).desc(), "idx")
+    rank = Window.partitionBy(*keys, "frozen").orderBy(F.desc("__e"), "idx")
+    free = ~F.col("frozen")
     rows = (
         rows.withColumn("e_last", F.max_by("energy", "idx").over(Window.partitionBy(*keys, "token")))
-        .withColumn("m", F.sum(F.when(~F.col("frozen"), 1).otherwise(0)).over(whole))
-        .withColumn("rank", F.when(~F.col("frozen"), F.row_number().over(rank)))
+        .withColumn("m", F.sum(F.when(free, 1).otherwise(0)).over(whole))
+        .withColumn("__e", F.round("energy", 12))
     )
-    return rows.withColumn("mass", F.when(~F.col("frozen"), F.sum("e_last").over(rank.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumns({"rank": F.row_number().over(rank), "mass": F.sum("e_last").over(rank.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.withColumns({"rank": F.when(free, F.col("rank")), "mass": F.when(free, F.col("mass"))}).drop("__e")
 
 
 def cutoff(rows: DataFrame, keys: list[str], fraction: float) -> DataFrame:
@@ -76,16 +78,26 @@ def scheduled(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str |
     return rows.withColumn("similarity", similarity).drop("__total", "__t0", "__part", "__need", "__keep", "__first", "e_last", "mass")
 
 
+def _joined(pieces: Column) -> Column:
+    """The text of an array of pieces: runs of one written once, no space before
+    closing punctuation."""
+
+    def shown(all_: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            closing = F.substring(p, 1, 1).isin(*NO_SPACE_BEFORE)
+            return F.when(i == 0, p).when(p == F.get(all_, i - 1), "").when(closing, p).otherwise(F.concat(F.lit(" "), p))
+
+        return F.array_join(F.transform(all_, one), "")
+
+    return bound(pieces, shown)
+
+
 def reconstruct(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, text: the rows' tokens in their order, blanks left out, runs of one
     token written once, no space before closing punctuation."""
-    order = Window.partitionBy(*keys).orderBy("idx")
-    pieces = rows.select(*keys, "idx", strip(F.col("token")).alias("__p")).filter(F.col("__p") != "")
-    pieces = pieces.withColumn("__before", F.lag("__p").over(order)).filter(F.col("__before").isNull() | (F.col("__before") != F.col("__p")))
-    closing = F.substring("__p", 1, 1).isin(*NO_SPACE_BEFORE)
-    piece = F.when(F.col("__before").isNull() | closing, F.col("__p")).otherwise(F.concat(F.lit(" "), F.col("__p")))
-    listed = F.array_sort(F.collect_list(F.struct("idx", piece.alias("p"))))
-    return pieces.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x.p), "").alias("text"))
+    pieces = rows.select(*keys, "idx", strip(F.col("token")).alias("p")).filter(F.col("p") != "")
+    listed = F.array_sort(F.collect_list(F.struct("idx", "p")))
+    return pieces.groupBy(*keys).agg(_joined(F.transform(listed, lambda x: x["p"])).alias("text"))
 
 
 def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, t0: str | None = None, tokenized: bool = False) -> DataFrame:
@@ -97,19 +109,12 @@ def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchCon
         from tamarisk.operators.boltzmann import boltzmann_quench
 
         return boltzmann_quench(df, keys, text, config)
-    # All windows share one set of keys, so one exchange serves them.
+    # All windows share one set of keys, so one exchange of texts serves them.
     own = [*keys, t0] if t0 else keys
     rows = scheduled(energies(df.select(*own, text), own, text, config, tokenized), own, config, t0)
-    order = Window.partitionBy(*own).orderBy("idx")
-    # The text is rebuilt in the same pass: of the kept tokens each sees the last
-    # kept one that isn't blank.
-    piece = F.when(F.col("kept") & ~is_blank(F.col("token")), strip(F.col("token")))
-    rows = rows.withColumn("__p", piece).withColumn("__before", F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    closing = F.substring("__p", 1, 1).isin(*NO_SPACE_BEFORE)
-    shown = F.when(F.col("__p").isNull() | (F.col("__p") == F.col("__before")), None).when(F.col("__before").isNull() | closing, F.col("__p")).otherwise(F.concat(F.lit(" "), F.col("__p")))
-    listed = F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("idx", shown.alias("p")))))
+    piece = F.when(F.col("kept") & ~is_blank(F.col("token")), F.struct("idx", strip(F.col("token")).alias("p")))
     result = rows.groupBy(*own).agg(
-        F.array_join(F.transform(listed, lambda x: x.p), "").alias("compressed_text"),
+        _joined(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["p"])).alias("compressed_text"),
         F.sum(F.col("kept").cast("long")).alias("tokens_kept"),
         F.count("*").alias("tokens_total"),
         F.max("similarity").alias("similarity_score"),

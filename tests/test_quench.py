@@ -78,3 +78,13 @@ def test_boltzmann_is_repeatable(spark):
 def test_output_is_cooled_faster(spark):
     got = {r.id: r.quenched_text for r in quench.quench_output(frame(spark), ["id"]).collect()}
     assert got[3] == "short text" and got[5] == "" and len(got[0]) < len(TEXTS[0])
+
+
+def test_no_token_row_crosses_an_exchange(spark):
+    """Texts are dealt once, below the generator; rows of tokens never are."""
+    for df in (quench.quench(frame(spark), ["id"]), energy.energies(frame(spark), ["id"]), quench.reconstruct(energy.tokens(frame(spark), ["id"]), ["id"])):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        exchanges = [k for k, x in enumerate(lines) if "Exchange" in x]
+        generator = next(k for k, x in enumerate(lines) if "Generate posexplode" in x)
+        assert len(exchanges) == 1 and exchanges[0] > generator  # children are below
+    assert sum("Sort [" in x for x in quench.quench(frame(spark), ["id"])._jdf.queryExecution().executedPlan().toString().splitlines()) == 3
