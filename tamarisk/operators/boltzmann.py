@@ -1,23 +1,22 @@
 """Stochastic survival, reproducible by a hash instead of a generator's state.
 
-A token survives one trial if exp(-E / (k T)) reaches its uniform number, which is
-made of the first 32 bits of SHA-256 over seed, key, step, trial and place.
+A token survives one trial if exp(-E / (k T)) reaches its uniform number. For a
+single trial (`survivors`) that number is made of the first 32 bits of SHA-256 over
+seed, key, step, trial and place, as a column; for the schedule (`stepped`) of a
+mixed 64-bit counter, for all tokens and trials of a step at once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarisk.config import QuenchConfig
-from tamarisk.operators.energy import energies
-from tamarisk.operators.quench import NO_SPACE_BEFORE, STEPS
 
+STEPS = 100
 TRIALS = 5
 
 
@@ -37,59 +36,72 @@ def survivors(rows: DataFrame, keys: list[str], temperature: float, k: float = 1
     return rows.filter(survives(F.col("energy"), F.col("frozen"), temperature, number, k))
 
 
-def _text(tokens: list[str]) -> str:
-    out, before = [], None
-    for t in (x.strip() for x in tokens):
-        if t and t != before:
-            out.append(t if before is None or t[0] in NO_SPACE_BEFORE else " " + t)
-            before = t
-    return "".join(out)
-
-
-def boltzmann_quench(df: DataFrame, keys: list[str], text: str, config: QuenchConfig, seed: int = 0) -> DataFrame:
-    """Each step depends on what earlier steps kept, so a text's steps run in one
-    group: the one operator that needs a grouped function. Memory follows the
-    longest text. A step takes the best of TRIALS trials that keep more tokens than
-    the best so far, else the plain cutoff."""
-    rows = energies(df, keys, text, config).select(*keys, "idx", "token", "frozen", "energy")
-    kinds = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*kinds, *T._parse_datatype_string("compressed_text string, tokens_kept long, tokens_total long, compression_ratio double, similarity_score double, schedule_steps int").fields])
-    width = len(keys)
+def numbers(spot: int, seed: int, step: int, trials: int, n: int) -> np.ndarray:
+    """In [0, 1), by trial and place. spot: a hash of the text's key."""
+    mask = (1 << 64) - 1
+    first = np.array([(spot + 0x9E3779B97F4A7C15 * (1 + (seed * STEPS + step) * trials + t)) & mask for t in range(trials)], np.uint64)
+    x = first[:, None] ^ (np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def schedule(tokens: list[str], energy: np.ndarray, frozen: np.ndarray, config: QuenchConfig, t0: float, spot: int, seed: int = 0) -> tuple[np.ndarray, float, int]:
+    """Of one text: which tokens are kept, their fidelity and the last step. A step
+    takes the best of TRIALS trials that keep more tokens than the best so far, else
+    the plain cutoff; the first step below the threshold ends it."""
+    n = len(tokens)
+    best, similarity, tau = np.ones(n, bool), 1.0, 0
+    if n < config.min_tokens:
+        return best, similarity, tau
+    last = dict(zip(tokens, energy.tolist(), strict=True))
+    weight = np.array([last[t] for t in tokens])
+    total, some_frozen = float(weight.sum()), bool(frozen.any())
+    free = np.flatnonzero(~frozen)
+    order = free[np.lexsort((free, -np.round(energy[free], 12)))]
+
+    def fidelity(kept: np.ndarray) -> float:
+        if some_frozen:
+            return 1.0
+        return min(1.0, float(weight[kept].sum()) / total) if total else float(kept.sum()) / n
+
+    enough = lambda s: round(s, 12) >= config.similarity_threshold
+    for step in range(1, STEPS + 1):
+        heat = t0 / (1.0 + config.cooling_rate * step)
+        chosen, top, least = None, 0.0, int(best.sum())
+        if least < n:  # none can keep more than all
+            kept = frozen | (np.exp(-energy / (config.boltzmann_k * heat)) >= numbers(spot, seed, step, TRIALS, n))
+            for own in kept[kept.sum(1) > least]:
+                if enough(s := fidelity(own)) and s > top:
+                    chosen, top = own, s
+        if chosen is None:
+            count = max(1, int(np.ceil(len(order) * max(0.0, min(1.0, heat / t0))))) if len(order) else 0
+            chosen = frozen.copy()
+            chosen[order[:count]] = True
+        if not enough(s := fidelity(chosen)):
+            break
+        best, similarity, tau = chosen, s, step
+    return best, similarity, tau
+
+
+def stepped(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | None = None, seed: int = 0) -> DataFrame:
+    """keys, pieces (the kept tokens that aren't blank, in order), tokens_kept,
+    tokens_total, similarity_score, schedule_steps of token rows (from `energies`).
+
+    Each step depends on what earlier steps kept, so a text's steps run in one
+    group: the one operator that needs a grouped function. It takes the exchange of
+    the texts as it is, and its memory follows the longest text."""
+    start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
+    given = rows.select(*keys, F.xxhash64(*keys).alias("__spot"), start.alias("__t0"), "idx", "token", "frozen", "energy")
+    kinds = [given.schema[k] for k in keys]
+    schema = T.StructType([*kinds, *T._parse_datatype_string("pieces array<string>, tokens_kept long, tokens_total long, similarity_score double, schedule_steps int").fields])
 
     def steps_of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
-        tokens, frozen, energy = part["token"].tolist(), part["frozen"].tolist(), part["energy"].tolist()
-        n, name = len(tokens), "|".join("" if k is None else str(k) for k in key)
-        last = dict(zip(tokens, energy, strict=True))
-        any_frozen = any(frozen)
-        total = sum(last[t] for t in tokens)
-        order = sorted((i for i in range(n) if not frozen[i]), key=lambda i: (-round(energy[i], 12), i))
-
-        def fidelity(kept: list[int]) -> float:
-            if any_frozen:
-                return 1.0
-            return min(1.0, sum(last[tokens[i]] for i in kept) / total) if total else len(kept) / n
-
-        best, similarity, tau = list(range(n)), 1.0, 0
-        if n >= config.min_tokens:
-            for step in range(1, STEPS + 1):
-                heat = config.temperature_initial / (1.0 + config.cooling_rate * step)
-                chosen, top = None, 0.0
-                for trial in range(TRIALS if len(best) < n else 0):  # none can keep more than all
-                    kept = []
-                    for i in range(n):
-                        number = int(hashlib.sha256(f"{seed}|{name}|{step}|{trial}|{i}".encode()).hexdigest()[:8], 16) / (1 << 32)
-                        if frozen[i] or math.exp(-energy[i] / (config.boltzmann_k * heat)) >= number:
-                            kept.append(i)
-                    if len(kept) > len(best) and (s := fidelity(kept)) >= config.similarity_threshold and s > top:
-                        chosen, top = kept, s
-                if chosen is None:
-                    count = max(1, math.ceil(len(order) * max(0.0, min(1.0, heat / config.temperature_initial)))) if order else 0
-                    chosen = sorted([i for i in range(n) if frozen[i]] + order[:count])
-                if (s := fidelity(chosen)) < config.similarity_threshold:
-                    break
-                best, similarity, tau = chosen, s, step
-        return pd.DataFrame([[*key, _text([tokens[i] for i in best]), len(best), n, 1.0 - len(best) / n if n >= config.min_tokens else 0.0, similarity, tau]], columns=[f.name for f in schema])
-
-    assert width == len(kinds)
-    return rows.groupBy(*[f.name for f in kinds]).applyInPandas(steps_of, schema)
+        tokens = part["token"].tolist()
+        kept, similarity, tau = schedule(tokens, part["energy"].to_numpy(), part["frozen"].to_numpy(bool), config, float(part["__t0"].iloc[0]), int(part["__spot"].iloc[0]), seed)
+        pieces = [p for t, k in zip(tokens, kept, strict=True) if k and (p := t.strip())]
+        return pd.DataFrame([[*key, pieces, int(kept.sum()), len(tokens), similarity, tau]], columns=schema.names)
+
+    return given.groupBy(*keys).applyInPandas(steps_of, schema)

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tamarisk.config import QuenchConfig, output_config
 from tamarisk.functions.text import bound, has_token, strip, tokenize
+from tamarisk.operators.boltzmann import STEPS, stepped
 from tamarisk.operators.energy import energies, is_blank
 
-STEPS = 100
+#: A response of fewer tokens stays as it is.
+LEAST_OUTPUT = 20
 NO_SPACE_BEFORE = ",.:;)]}?!'\""
 
 
@@ -103,23 +105,24 @@ def reconstruct(rows: DataFrame, keys: list[str]) -> DataFrame:
 def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, t0: str | None = None, tokenized: bool = False) -> DataFrame:
     """One row per text: keys, compressed_text, tokens_kept, tokens_total,
     compression_ratio, similarity_score, schedule_steps. A text without tokens
-    stays as it is. keys must tell rows apart; t0: see `scheduled`."""
+    stays as it is. keys must tell rows apart; t0: see `scheduled`. tokenized: the
+    texts are arrays of tokens. config.survival_mode chooses how tokens survive."""
     config = config or QuenchConfig()
-    if config.survival_mode == "boltzmann":
-        from tamarisk.operators.boltzmann import boltzmann_quench
-
-        return boltzmann_quench(df, keys, text, config)
     # All windows share one set of keys, so one exchange of texts serves them.
     own = [*keys, t0] if t0 else keys
-    rows = scheduled(energies(df.select(*own, text), own, text, config, tokenized), own, config, t0)
-    piece = F.when(F.col("kept") & ~is_blank(F.col("token")), F.struct("idx", strip(F.col("token")).alias("p")))
-    result = rows.groupBy(*own).agg(
-        _joined(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["p"])).alias("compressed_text"),
-        F.sum(F.col("kept").cast("long")).alias("tokens_kept"),
-        F.count("*").alias("tokens_total"),
-        F.max("similarity").alias("similarity_score"),
-        F.max("steps").alias("schedule_steps"),
-    )
+    rows = energies(df.select(*own, text), own, text, config, tokenized)
+    if config.survival_mode == "boltzmann":
+        result = stepped(rows, own, config, t0).withColumn("compressed_text", _joined(F.col("pieces")))
+    else:
+        rows = scheduled(rows, own, config, t0)
+        piece = F.when(F.col("kept") & ~is_blank(F.col("token")), F.struct("idx", strip(F.col("token")).alias("p")))
+        result = rows.groupBy(*own).agg(
+            _joined(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["p"])).alias("compressed_text"),
+            F.sum(F.col("kept").cast("long")).alias("tokens_kept"),
+            F.count("*").alias("tokens_total"),
+            F.max("similarity").alias("similarity_score"),
+            F.max("steps").alias("schedule_steps"),
+        )
     result = result.select(
         *keys, "compressed_text", "tokens_kept", "tokens_total",
         (1.0 - F.col("tokens_kept") / F.col("tokens_total")).alias("compression_ratio"), "similarity_score", "schedule_steps",
@@ -135,9 +138,9 @@ def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchCon
 
 def quench_output(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None) -> DataFrame:
     """keys, quenched_text: a response cooled faster; under 20 tokens unchanged."""
-    config = output_config(config)
-    result = quench(df, keys, text, config)
-    return df.select(*keys, text).join(result.select(*keys, "compressed_text", "tokens_total"), keys).select(*keys, F.when(F.col("tokens_total") < 20, F.col(text)).otherwise(F.col("compressed_text")).alias("quenched_text"))
+    many = F.coalesce(token_total(F.col(text)) >= LEAST_OUTPUT, F.lit(False))
+    done = quench(df.filter(many), keys, text, output_config(config)).select(*keys, F.col("compressed_text").alias("quenched_text"))
+    return done.union(df.filter(~many).select(*keys, F.col(text).alias("quenched_text")))
 
 
 def schedule_curve(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, steps: int = STEPS) -> DataFrame:

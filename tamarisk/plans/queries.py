@@ -283,7 +283,7 @@ def boltzmann_seeded(spark, d):
 
 
 def boltzmann_quench(spark, d):
-    q = boltzmann.boltzmann_quench(_turns(spark, d).select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", QuenchConfig(survival_mode="boltzmann"))
+    q = quench.quench(_turns(spark, d).select("conv_id", "turn", "text"), ["conv_id", "turn"], config=QuenchConfig(survival_mode="boltzmann"))
     return q.select("conv_id", "turn", "tokens_kept", "tokens_total", F.round("compression_ratio", 6).alias("compression_ratio"), F.round("similarity_score", 6).alias("similarity_score"), "schedule_steps")
 
 

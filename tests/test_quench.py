@@ -1,8 +1,9 @@
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from checker import quenched, rebuild
+from checker import boltzmann_quenched, quenched, rebuild
 from tamarisk.config import PROFILES, QuenchConfig
 from tamarisk.operators import boltzmann, energy, fidelity, quench
 
@@ -67,14 +68,42 @@ def test_turn_temperature(spark):
     assert [r[0] for r in df.select(quench.turn_temperature(F.col("i"), F.lit(5), config)).collect()] == [1.0, 1.0, 0.5, 0.15]
 
 
-def test_boltzmann_is_repeatable(spark):
-    config = QuenchConfig(survival_mode="boltzmann")
-    a, b = (quench.quench(frame(spark), ["id"], config=config).orderBy("id").collect() for _ in range(2))
-    assert a == b and all(0 <= r.compression_ratio < 1 for r in a)
+def test_boltzmann_equals_the_loop(spark):
+    df = frame(spark).withColumn("heat", F.lit(1.0) / (F.col("id") + 1))
+    for config, t0 in ((QuenchConfig(survival_mode="boltzmann"), None), (QuenchConfig(survival_mode="boltzmann", boltzmann_k=4.0, similarity_threshold=0.6, cooling_rate=0.1, min_tokens=1), "heat")):
+        own = ["id", t0] if t0 else ["id"]
+        by, spots, heats = {}, {}, {}
+        for r in energy.energies(df.select(*own, "text"), own, config=config).withColumn("spot", F.xxhash64(*own)).orderBy("id", "idx").collect():
+            by.setdefault(r.id, []).append((r.token, r.energy, r.frozen))
+            spots[r.id], heats[r.id] = r.spot, (r[t0] if t0 else 1.0)
+        got = quench.quench(df, ["id"], config=config, t0=t0).collect()
+        assert sorted(r.id for r in got) == list(range(len(TEXTS)))
+        for r in got:
+            if r.id not in by:  # no token: as it is
+                assert (r.compressed_text, r.tokens_total, r.similarity_score, r.schedule_steps) == (TEXTS[r.id], 0, 1.0, 0)
+                continue
+            number = lambda step, trial: boltzmann.numbers(spots[r.id], 0, step, 5, len(by[r.id]))[trial]  # noqa: B023, E731
+            kept, sim, tau = boltzmann_quenched(by[r.id], config.cooling_rate, config.similarity_threshold, config.min_tokens, heats[r.id], config.boltzmann_k, number)
+            assert (r.tokens_kept, r.schedule_steps, r.tokens_total) == (len(kept), tau, len(by[r.id])) and abs(r.similarity_score - sim) < 1e-9
+            assert r.compressed_text == rebuild([by[r.id][i][0] for i in kept])
+
+
+def test_boltzmann_takes_tokens_nulls_and_one_trial(spark):
+    df = spark.createDataFrame([(0, "the quick brown fox jumps over the lazy dog".split() * 5), (1, []), (2, None)], "id int, tokens array<string>")
+    got = {r.id: r for r in quench.quench(df, ["id"], "tokens", QuenchConfig(survival_mode="boltzmann"), tokenized=True).collect()}
+    assert got.keys() == {0, 1, 2} and got[0].tokens_total == 45 and got[1].tokens_total == got[2].tokens_total == 0
+    u = boltzmann.numbers(-5, 3, 7, 5, 4000)
+    assert u.shape == (5, 4000) and 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and len(np.unique(u)) == 20000
     rows = energy.energies(frame(spark), ["id"])
     assert boltzmann.survivors(rows, ["id"], 0.0).filter("not frozen").isEmpty()
 
 
+def test_output_keeps_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, "short"), (1, "tiny"), (1, "tiny"), (None, TEXTS[0])], "id int, text string")
+    got = [(r.id, r.quenched_text) for r in quench.quench_output(df, ["id"]).collect()]
+    assert len(got) == 4 and got.count((1, "tiny")) == 2 and (None, "short") in got
+
+
 def test_output_is_cooled_faster(spark):
     got = {r.id: r.quenched_text for r in quench.quench_output(frame(spark), ["id"]).collect()}
     assert got[3] == "short text" and got[5] == "" and len(got[0]) < len(TEXTS[0])
