@@ -294,21 +294,50 @@ def test_sharding_follows_its_splitters(docs):
     assert few == 4 < len(sums)
 
 
+def quality_by_hand(text):
+    import public_tokenizers
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(quality.VOCABULARY))
+    two = quality.second(public_tokenizers.path(quality.SECOND))
+    w = (text or "").encode().split()
+    windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+    many = Counter(windows)
+    again = {k + j for k, x in enumerate(windows) if many[x] > 1 for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    base = len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)
+    tokens_ = [t for x in w for t in pieces.encode(x.decode())]
+    counts, n = Counter(tokens_), len(tokens_)
+    entropy = -sum(c / n * np.log2(c / n) for c in counts.values()) if n else 0.0
+    share = sum(map(pieces.is_byte, tokens_)) / sum(map(len, w)) if n else 0.0
+    n_2 = sum(len(two.encode_ordinary(" " + x.decode())) for x in w)
+    return base, (n, base[1] / n if n else 0.0, share, entropy, base[1] / n_2 if n_2 else 0.0)
+
+
 def test_quality(docs):
-    def base(text):
-        w = (text or "").encode().split()
-        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
-        again = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)}
-        lines = [x for x in (text or "").split("\n") if x.encode().split()]
-        return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)
-
-    got = quality.judge(docs.filter("length(text) < 5000 or text is null")).collect()
-    assert got and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(r.text) and not (r.kept and r.base_failed) for r in got)
-    assert quality.judge(empty(docs)).count() == 0
-    junk = docs.sparkSession.createDataFrame([(0, "q" * 4000 + " x" * 25), (1, words(200, 1))], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in quality.judge(junk).collect()}[1]
-    with pytest.raises(ValueError, match="kept"):
-        quality.judge(docs.withColumn("kept", F.lit(1)))
+    docs = docs.union(docs.sparkSession.createDataFrame([(700, "日本語のテキスト 漢字かな " * 30, "ja", None, 0), (701, words(50, 5) + " \U0001f600\U0001f4a9" * 12, "en", "s", 0)], docs.schema))
+    by = {t: quality_by_hand(t) for t in {r.text for r in docs.collect()}}
+    got = quality.judge(docs).collect()
+    assert len(got) == docs.count() and max(len(t or "") for t in by) > 20_000
+    for r in got:
+        base, measures = by[r.text]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base and not (r.kept and r.base_failed)
+        assert r.n_tokens == measures[0] and np.allclose((r.chars_per_token, r.byte_share, r.token_entropy, r.chars_per_token_2), measures[1:], atol=1e-9)
+    assert any(r.byte_share > 0.1 for r in got) and quality.judge(empty(docs)).count() == 0
+    clash = quality.judge(docs.withColumn("Kept", F.lit("mine")).withColumn("script", F.lit(3)))
+    assert {"Kept_given", "script_given", "kept", "script"} <= set(clash.columns) and {r.Kept_given for r in clash.collect()} == {"mine"}
+
+
+def test_quality_rejects_junk_and_keeps_clean(spark):
+    """Junk that passes the base rules, among prose of two languages."""
+    clean = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1 and toxic = 0"), "doc_id").filter("lang in ('en', 'de')").orderBy("doc_id").limit(1200).collect()]
+    r = random.Random(8)
+    base64_like = " ".join(base64.b64encode(r.randbytes(30)).decode() for _ in range(120))
+    shuffled = " ".join("".join(r.sample(w, len(w))).upper() for w in clean[3][1].split()[:400])
+    junk = [(-1, base64_like, "en"), (-2, " ".join("q" * r.randint(40, 90) for _ in range(200)), "en"), (-3, " ".join(r.choice(["buy", "now", "cheap"]) + str(r.randint(0, 3)) for _ in range(700)), "en"), (-4, shuffled, "de"), (-5, "".join(chr(r.randint(0x4E00, 0x9000)) + " " * (k % 3 == 0) for k in range(600)), "en")]
+    got = quality.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).filter("not base_failed").collect()
+    assert {r.doc_id for r in got if r.doc_id < 0} == {-1, -2, -3, -4, -5} and not any(r.kept for r in got if r.doc_id < 0)
+    assert np.mean([r.kept for r in got if r.doc_id >= 0]) > 0.98
 
 
 def test_quality_bands(spark):
