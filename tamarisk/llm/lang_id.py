@@ -7,16 +7,19 @@ by spherical k-means, so a language whose texts fall into groups has one for eac
 The nearest centroid by cosine names the language. A text whose best cosine lies
 below its centroid's own limit is far from all that was learned and is rejected.
 
-The classifier is fitted on a bounded sample: about `SAMPLE` labelled texts for
-each language, chosen by a hash of their ids; executors turn them to counts, so
-the driver gets at most `SAMPLE * 1.3 * DIMENSIONS` numbers a language whatever
-the texts' lengths. Prediction reads whole texts, shuffles nothing, and takes
-nothing but the text.
+The classifier is fitted on a bounded sample: the `SAMPLE` labelled rows of each
+language that come first by a hash of id and text, equal rows counted once, so a
+language's part is bounded however often an id or a text repeats. Executors find
+them and turn them to counts: the driver gets at most `SAMPLE * DIMENSIONS` numbers
+a language whatever the texts' lengths, and holds one language's dense rows at a
+time. Prediction reads whole texts, shuffles nothing, and takes nothing but the text.
 
 Null texts and texts without a letter: `und`, score 0, rejected. With no labelled
 text at all every text is `und`, and those with a letter are not rejected: they
 are far from nothing learned. Equal cosines go to the language that sorts
-first. Rows repeat as given.
+first. Rows repeat as given and a very long text is one like any. All other columns
+stay; one with the name of an added column is renamed (`common.apart`). An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarisk.llm import common
 
 DIMENSIONS = 1 << 14
-#: Labelled texts of a language that the classifier is fitted on, about.
+#: Labelled texts of a language that the classifier is fitted on, at most.
 SAMPLE = 400
 CENTROIDS = 3
 #: Languages that one classifier may tell apart.
@@ -115,8 +118,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros(0, int), np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
-    spot = (F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("spot")
-    share = F.coalesce(*[F.when(F.col(lang_col) == name, F.lit(min(1.0, 1.2 * sample / n))) for name, n in sizes.items()])
+    spot = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("fit"))
+    few = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), spot.alias("spot"))
+    # First a share by hash, a little more than is wanted, then the exact number.
+    share = F.coalesce(*[F.when(F.col("lang") == str(name), F.lit(min(1.0, 2.0 * sample / n))) for name, n in sizes.items()])
+    few = few.filter(F.pmod("spot", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("lang", "spot").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("spot", F.lit(1 << 30)), "spot"))
+    few = few.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text")
     kind = "lang string, at binary, n binary"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +132,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             found = [(lang, np.flatnonzero(c), c) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "at": pa.array([x[1].astype("<i4").tobytes() for x in found], pa.binary()), "n": pa.array([x[2][x[1]].astype("<i4").tobytes() for x in found], pa.binary())})
 
-    rows = known.filter(spot < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(counted, kind).collect()
+    rows = few.mapInArrow(counted, kind).collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))  # any order of tasks gives the same model
     by: dict[str, list] = {}
     for r in rows:
-        if len(by.setdefault(r.lang, [])) < 1.3 * sample:
-            by[r.lang].append((np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i4")))
+        by.setdefault(r.lang, []).append((np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i4")))
     seen = np.zeros(DIMENSIONS)
     for own in by.values():
         for at, _ in own:
@@ -154,8 +161,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred, score, rejected. Only the text goes to Python."""
     added = T._parse_datatype_string("lang_pred string, score double, rejected boolean")
-    if clash := {n.lower() for n in docs.columns} & set(added.names):
-        raise ValueError(f"columns that the prediction needs: {sorted(clash)}")
+    text_col, docs = common.apart(docs.columns, added.names)[text_col], common.renamed(docs, added.names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(added)

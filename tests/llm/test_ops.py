@@ -355,6 +355,40 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in lang_id.predict(docs, lang_id.fit(empty(docs))).collect()} == {"und"} and lang_id.predict(empty(docs), model).count() == 0
 
 
+def test_language_is_the_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.union(spark.createDataFrame([(9001, "Съешь же ещё этих мягких французских булок " * 9, None), (9002, "他们在学校里学习语言" * 20, None), (9003, "zxqj kwvx qzzk xjjq vkkw " * 30, None), (9004, "12 34 !?", "en"), (9005, "", "en"), (9006, None, "en"), (9007, words(8000, 3), None)], docs.schema))
+    model = lang_id.fit(docs.filter(~lang_id.held_out(F.col("doc_id"))))
+    assert model.centroids.shape[1] == lang_id.CENTROIDS * len(model.names)
+    got = {r.doc_id: r for r in lang_id.predict(docs.drop("lang"), model).collect()}
+    for r in docs.collect():
+        own = got[r.doc_id]
+        counts = lang_id.counts(r.text)
+        if counts is None:
+            assert (own.lang_pred, own.score, own.rejected) == ("und", 0.0, True) and not any(map(str.isalpha, r.text or ""))
+            continue
+        v = np.log1p(counts) * model.idf
+        cosines = [float(v @ c / np.linalg.norm(v) / np.linalg.norm(c)) for c in model.centroids.T.astype(float)]
+        best = int(np.argmax(cosines))
+        if sorted(cosines)[-1] - sorted(cosines)[-2] > 1e-5:
+            assert own.lang_pred == model.names[model.owner[best]] and own.rejected == (cosines[best] < model.least[best])
+        assert abs(own.score - min(1.0, max(0.0, cosines[best]))) < 1e-4
+    # Far from all that was learned: other scripts, random letters. Learned texts aren't.
+    assert all(got[k].rejected for k in (9001, 9002, 9003)) and np.mean([r.rejected for r in got.values() if r.doc_id < 9000]) < 0.02
+
+
+def test_language_sample_is_bounded(spark):
+    """However often an id or a text repeats; ties and clashing names do no harm."""
+    rows = [(1, words(30, k), "aa") for k in range(300)] + [(2, words(30, 1), "aa")] * 300 + [(k, words(30, 1000 + k), "bb") for k in range(300)] + [(None, words(30, 7), "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, again = lang_id.fit(docs, sample=20), lang_id.fit(docs.repartition(7), sample=20)
+    assert model.names == ["aa", "bb"] and (model.centroids == again.centroids).all() and (model.idf == again.idf).all()
+    got = lang_id.predict(docs.withColumn("Score", F.lit(5)), model)
+    assert got.columns == ["doc_id", "text", "lang", "Score_given", "lang_pred", "score", "rejected"] and got.count() == len(rows)
+    tie = lang_id.Model(["aa", "bb"], np.array([0, 1]), np.ones(lang_id.DIMENSIONS, np.float32), np.ones((lang_id.DIMENSIONS, 2), np.float32), np.zeros(2))
+    assert tie.predict(["some text"])[0][0] == "aa"
+
+
 def test_language_centroids_are_no_outliers():
     r = np.random.default_rng(4)
     rows = np.abs(r.standard_normal((90, 40))) * 0.1 + np.repeat(np.eye(40)[:3], 30, 0)
