@@ -2,15 +2,20 @@
 
 A filter is a direction; a vector is stored with every filter whose direction it
 exceeds by its threshold. Directions are `CODES` structured random product codes:
-after a random rotation the dimensions are halved, each half has `WORDS` Gaussian
+after a random rotation the dimensions are halved, each half has some Gaussian
 codewords, and a direction is any pair of codewords. A pair's score is the sum of
 two short products, so a vector's filters are list-decoded from two short lists
-instead of WORDS**2 products. The threshold is the vector's own: the LIST-th best
-score of each code. A fixed one leaves some vectors with a single filter, and one
-pair in ten at a cosine of 0.9 unmet; by their own thresholds none of 400 such
-pairs was (64 dimensions), and unrelated vectors share a filter once in a hundred
-pairs. Vectors that share one are compared in double precision, and only a cosine
-of at least `COSINE` links.
+instead of all pairs of words. The threshold is the vector's own: the score that a
+set number of directions of each code reach (`listed`). A fixed one leaves some
+vectors with a single filter, and one pair in ten at a cosine of 0.9 unmet.
+
+Codewords grow with the square root of the number of vectors (`words_for`), so a
+filter holds about one of unrelated vectors, and comparisons grow with the vectors
+and not with their square, up to `MOST_WORDS`: some ten million vectors; beyond, a
+filter's share grows with the table. Smaller caps are shared less often by near
+vectors, so lists grow with the words by the share that is lost. Vectors that share
+a filter are compared in double precision, and only a cosine of at least `COSINE`
+links.
 
 Equal vectors enter once, with their number. Vectors of a filter are compared in
 blocks of a matrix product; a filter with more than `CELL` vectors is dealt to
@@ -19,14 +24,19 @@ pair is ever a row. A pair counts where its smallest common filter is, so its
 vectors' link counts need no distinct pairs; components get a star for each
 linked group of a cell.
 
+A filter's entries carry the vector in the width it was given in.
+
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing. Vectors of different lengths never link. Rows repeat as given: equal
 rows are other vectors to one another. Null ids are kept; a component's name is
-its smallest id that is not null.
+its smallest id that is not null, and of rows that share it all are kept. Other
+columns, whatever their names, are not read. A very long vector takes as much of a
+worker as a rotation of its length. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,62 +49,85 @@ from tamarisk.llm.components import components
 
 COSINE = 0.9
 CODES = 4
-WORDS = 400
-LIST = 10
+LEAST_WORDS, MOST_WORDS = 256, 8192
+#: Filters of each code at `LIST_WORDS` codewords.
+LIST, LIST_WORDS = 10, 400
 SEED = 20240601
 #: Vectors of one filter in a part.
 CELL = 1024
 
 
+def words_for(vectors: int) -> int:
+    """Codewords of a half: about as many directions as entries."""
+    return min(MOST_WORDS, max(LEAST_WORDS, math.isqrt(vectors * LIST)))
+
+
+def listed(words: int) -> int:
+    """Filters of each code. A vector at `COSINE` to another reaches the height of
+    that one's best direction with a chance that falls as the directions grow."""
+    chance = lambda w: math.erfc((1 - COSINE) * math.sqrt(2 * math.log(w * w)) / math.sqrt(2 * (1 - COSINE**2)))
+    return math.ceil(LIST * max(1.0, chance(LIST_WORDS) / chance(words)))
+
+
 class Filters:
     """The filters of vectors of one length."""
 
-    def __init__(self, dims: int):
+    def __init__(self, dims: int, words: int):
         random = np.random.default_rng(SEED + dims)
-        self.half = (dims + 1) // 2
-        self.codes = [(np.linalg.qr(random.standard_normal((dims, dims)))[0], random.standard_normal((self.half, WORDS)), random.standard_normal((dims - self.half, WORDS))) for _ in range(CODES)]
+        self.words, self.list, self.half = words, listed(words), (dims + 1) // 2
+        draw = lambda rows: random.standard_normal((rows, words)).astype(np.float32)
+        self.codes = [(np.linalg.qr(random.standard_normal((dims, dims)))[0].astype(np.float32), draw(self.half), draw(dims - self.half)) for _ in range(CODES)]
 
     def decode(self, unit: np.ndarray) -> np.ndarray:
-        """Each unit vector's filters, ascending. A pair among the LIST best sums
-        has both its parts among the LIST best."""
-        out = []
+        """Each unit vector's filters, ascending. A pair among the best sums has both
+        its parts among as many best."""
+        out, unit, n = [], unit.astype(np.float32), self.list
         for code, (turn, left, right) in enumerate(self.codes):
             turned = unit @ turn
             a, b = turned[:, : self.half] @ left, turned[:, self.half :] @ right
-            i, j = (np.argpartition(-x, LIST - 1, axis=1)[:, :LIST] for x in (a, b))
+            i, j = (np.argpartition(-x, n - 1, axis=1)[:, :n] for x in (a, b))
             sums = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
-            best = np.argpartition(-sums.reshape(len(unit), -1), LIST - 1, axis=1)[:, :LIST]
-            out.append((code * WORDS + np.take_along_axis(i, best // LIST, 1)) * WORDS + np.take_along_axis(j, best % LIST, 1))
+            best = np.argpartition(-sums.reshape(len(unit), -1), n - 1, axis=1)[:, :n]
+            out.append((code * self.words + np.take_along_axis(i, best // n, 1)) * self.words + np.take_along_axis(j, best % n, 1))
         return np.sort(np.concatenate(out, axis=1), axis=1)
 
 
 _LOADED: dict[tuple, Filters] = {}
 
 
-def _filters(dims: int) -> Filters:
-    if dims not in _LOADED:
-        _LOADED[dims] = Filters(dims)
-    return _LOADED[dims]
+def _filters(dims: int, words: int) -> Filters:
+    if (dims, words) not in _LOADED:
+        _LOADED[dims, words] = Filters(dims, words)
+    return _LOADED[dims, words]
 
 
-def _unit(data) -> np.ndarray:
-    rows = np.stack([np.frombuffer(x, "<f8") for x in data])
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares stay finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, n, embedding to cid, n, dims, data (doubles), filters (32-bit)."""
-    for batch in batches:
-        cids, ns, vectors = (c.to_pylist() for c in batch.columns)
-        by: dict[int, list[tuple]] = {}
-        for cid, n, v in zip(cids, ns, vectors, strict=True):
-            by.setdefault(len(v), []).append((cid, n, np.array(v, "<f8").tobytes()))
-        for dims, rows in by.items():
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                found = _filters(dims).decode(_unit([x[2] for x in some]))
-                yield pa.RecordBatch.from_pydict({"cid": [x[0] for x in some], "n": [x[1] for x in some], "dims": pa.array([dims] * len(some), pa.int32()), "data": [x[2] for x in some], "filters": pa.array(list(found.astype("<i4")), pa.list_(pa.int32()))})
+def _decoding(words: int, width: str):
+    """Batches of cid, n, embedding to cid, n, dims, data, filters (32-bit)."""
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, ns, lists = batch.columns
+            values, ends = lists.values.to_numpy(zero_copy_only=False).astype(width), lists.offsets.to_numpy()
+            sizes = np.diff(ends)
+            for dims in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dims)
+                for at in range(0, len(rows), 256):
+                    some = rows[at : at + 256]
+                    own = values[ends[some][:, None] + np.arange(dims)]
+                    found = _filters(int(dims), words).decode(_unit(own)).astype("<i4")
+                    take = pa.array(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [cids.take(take), ns.take(take), pa.array(np.full(len(some), dims, np.int32)), pa.array([x.tobytes() for x in own], pa.binary()), pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * found.shape[1], pa.array(found.ravel()))],
+                        names=["cid", "n", "dims", "data", "filters"],
+                    )
+
+    return decoded
 
 
 def _groups(near: np.ndarray) -> Iterator[np.ndarray]:
@@ -130,14 +163,14 @@ def _common_before(filters: list[np.ndarray], number: int) -> np.ndarray:
     return shared > 0
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by filter and cell (dims, number, i, j, part, cid, n, data,
     filters) to link counts (cid, null, links) and links of groups (cid, other,
     null)."""
 
     def cell(key: list[int], rows: list[tuple]) -> list[tuple]:
         ids, ns, parts, data, filters = zip(*rows, strict=True)
-        near = (x := _unit(data)) @ x.T >= COSINE
+        near = (x := _unit(np.stack([np.frombuffer(v, width) for v in data]))) @ x.T >= COSINE
         np.fill_diagonal(near, False)
         if not near.any():
             return []
@@ -183,19 +216,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """id, n_links, component (smallest id reachable by links), kept."""
     v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(good, F.transform(v, lambda x: x.cast("double"))).alias("v"))
+    narrow = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    kind, width = ("float", "<f4") if narrow else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(good, F.transform(v, lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast(kind))).alias("v"))
     classes = common.cut(
         rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()),
         "vectors",
     )
-    decoded = common.cut(classes.select("cid", "n", "v").mapInArrow(_decoded, "cid long, n long, dims int, data binary, filters array<int>"), "filters")
+    words = words_for(classes.count())
+    decoded = common.cut(classes.select("cid", "n", "v").mapInArrow(_decoding(words, width), "cid long, n long, dims int, data binary, filters array<int>"), "filters")
     entries = decoded.select("cid", "n", "dims", "data", "filters", F.explode("filters").alias("number"))
     hot = common.cut(decoded.select("dims", F.explode("filters").alias("number")).groupBy("dims", "number").count().filter("count > 1").select("dims", "number", F.ceil(F.col("count") / cell).alias("parts")), "full-filters")
     part = F.pmod(F.xxhash64("cid"), F.col("parts"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
     # Filters with a single vector end here.
     dealt = entries.join(hot, ["dims", "number"]).select("dims", "number", part.alias("part"), "cid", "n", "data", "filters", F.explode(cells).alias("c")).select("dims", "number", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "part", "cid", "n", "data", "filters")
-    found = common.cut(dealt.repartition("dims", "number", "i", "j").sortWithinPartitions("dims", "number", "i", "j").mapInArrow(_compared, "cid long, other long, links long"), "links")
+    found = common.cut(dealt.repartition("dims", "number", "i", "j").sortWithinPartitions("dims", "number", "i", "j").mapInArrow(lambda batches: _compared(batches, width), "cid long, other long, links long"), "links")
     links = found.filter("links is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
     named = classes.join(groups, "cid", "left").withColumn("group", F.coalesce("component", "cid")).drop("component")
@@ -203,4 +239,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     named = named.join(best, "group").join(links, "cid", "left").select("v", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = rows.join(named, "v", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
