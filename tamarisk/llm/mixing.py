@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in a shuffled order of their own, are cut to blocks of
-about `BLOCK_BYTES`. The k-th block of a source with weight w (of all weights' sum)
+`BLOCK_BYTES`, or larger ones where the corpus would have over `MOST_BLOCKS`. A
+document belongs to the block in which it begins, so one longer than a block adds its
+length to what a source may be off by. The k-th block of a source with weight w (of all weights' sum)
 is released at slot floor(k / w) and due by slot ceil((k + 1) / w); each slot
 takes, of the blocks released, the one due first. Such a schedule meets every
 deadline, so after any number of slots each source is within one block of its
@@ -14,15 +16,19 @@ each source. All that is done with documents is spread.
 
 The mix ends when every source has been used whole. A source that is used up
 earlier starts again (`epoch` counts), so no document is lost and the shares hold
-to the end; `stop="first"` ends the mix where the first source is used up.
+to the end; `stop="first"` ends the mix where the first source is used up. Weights
+under which the mix would be over `most_times` the corpus are an error.
 
 A block's number needs the bytes before a document within its source. Documents
-are dealt to `(source, part)` by a hash, parts' totals are summed, and each part
-sums its own documents, so a source with a third of all rows is spread like any.
-
-Null sources are a source of their own. Null texts and ids count as empty; equal
-rows keep their place by their hash. A source without a weight, or with weight 0,
-is left out if weights are given. An empty table gives no row.
+are dealt to `(source, part)` by a hash of id, text and place in the table, parts'
+totals are summed, and each part sums its own documents, so a source, an id or a
+repeated row with a third of all rows is spread like any.
+
+Null sources are a source of their own. Null and empty texts count as one byte; rows
+come by a hash of id and text within a part. A source without a weight, or with
+weight 0, is left out if weights are given. Repeated rows are each a document. A
+given column with the name of an added one is renamed (`common.apart`). An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ from pyspark.sql import functions as F
 
 from tamarisk.llm import common
 
-BLOCK_BYTES = 64 << 10
+BLOCK_BYTES, MOST_BLOCKS = 64 << 10, 4_000_000
+#: The mix's length over the corpus's, at most.
+MOST_TIMES = 1000
 #: Slots of the schedule written at once.
 PERIOD = 4096
 SHARES = 1 << 40
@@ -99,25 +107,30 @@ def natural_weights(totals: dict, temperature: float = TEMPERATURE) -> dict:
     return {s: float(max(1, b)) ** temperature for s, b in totals.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, period: int = PERIOD, stop: str = "all", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, period: int = PERIOD, stop: str = "all", most_times: float = MOST_TIMES, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (all) of each use of a document, with mix_slot,
     mix_epoch, mix_block, mix_release, mix_deadline. Rows in the order of
     (mix_slot, mix_place) are the mix."""
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
-    if clash := {c.lower() for c in carry} & set(ADDED):
-        raise ValueError(f"columns that the mix needs: {sorted(clash)}")
     size = F.greatest(common.text_bytes(F.col(text_col)), F.lit(1))
     # Never null, so windows and the join below deal by the same key.
     named = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(source_col).alias("source"), named.alias("name"), size.alias("size"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("spot"), F.xxhash64(F.col(text_col)).alias("tie"))
-    found = docs.select(F.col(source_col).alias("source"), named.alias("name"), size.alias("size")).groupBy("source", "name").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    place = common.fresh(docs, "row_place")
+    docs = common.keyed(docs, place)
+    spot = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("mix"))
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(source_col).alias("source"), named.alias("name"), size.alias("size"), spot.alias("spot"), F.xxhash64(spot, F.col(place)).alias("own_spot"))
+    found = rows.groupBy("source", "name").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     weights = natural_weights({r.source: r.bytes for r in found}) if weights is None else weights
     # By name, in which null is a text too.
     slots = slots_of({r.name: weights[r.source] for r in found if r.source in weights}, SHARES)
+    block_bytes = block_bytes or max(BLOCK_BYTES, -(-sum(r.bytes for r in found) // MOST_BLOCKS))
     blocks = {r.name: -(-r.bytes // block_bytes) for r in found if r.name in slots}
+    ends = sorted(n * SHARES / slots[s] for s, n in blocks.items() if slots[s])
+    if ends and (ends[-1] if stop == "all" else ends[0]) > most_times * sum(blocks.values()) + len(blocks):
+        raise ValueError(f"by these weights the mix is over {most_times} times the corpus")
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +142,10 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     table = common.cut(spark.range(0, 1, 1, 1).mapInArrow(planned, "name string, turn long, mix_slot long, mix_release long, mix_deadline long"), "schedule")
 
     parts = max(1, -(-sum(r.n for r in found) // PART_ROWS))
-    rows = rows.withColumn("part", F.pmod("spot", F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod("own_spot", F.lit(parts)))
     before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One short row for each source and part.
-    firsts = (
-        docs.select(named.alias("name"), size.alias("size"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(parts)).alias("part"))
-        .groupBy("name", "part").agg(F.sum("size").alias("bytes"))
-        .select("name", "part", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
-    )
+    firsts = rows.groupBy("name", "part").agg(F.sum("size").alias("bytes")).select("name", "part", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
     # A row for each source.
     sources = spark.createDataFrame(list(blocks.items()), "name string, t_blocks long")
     uses = table.join(F.broadcast(sources), "name").select("name", (F.col("turn") % F.col("t_blocks")).alias("block"), F.struct(F.floor(F.col("turn") / F.col("t_blocks")).alias("mix_epoch"), "mix_slot", "mix_release", "mix_deadline").alias("use"))
@@ -147,9 +156,10 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
         .groupBy("name", "part", "first", "block").agg(F.collect_list("use").alias("uses"))
         .groupBy("name", "part", "first").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("by_block"))
     )
-    within = Window.partitionBy("name", "part").orderBy("spot", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("name", "part").orderBy("spot", "own_spot").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts, ["name", "part"])
     at = F.col("first") + F.col("own")
     number = F.floor(at / block_bytes)
     used = placed.select("row", at.alias("mix_place"), number.alias("mix_block"), F.explode(F.try_element_at("by_block", number)).alias("use"))
-    return used.select("row.*", "use.mix_slot", "use.mix_epoch", "mix_block", "use.mix_release", "use.mix_deadline", "mix_place")
+    names = common.apart(carry, ADDED)
+    return used.select(*[F.col("row")[c].alias(names[c]) for c in carry], "use.mix_slot", "use.mix_epoch", "mix_block", "use.mix_release", "use.mix_deadline", "mix_place")

@@ -497,6 +497,25 @@ def test_mix(docs):
     assert mixing.mix(empty(docs)).count() == 0 and mixing.mix(docs, {"s1": 1.0}).select("source").distinct().collect()[0][0] == "s1"
 
 
+def test_mix_splits_repeated_rows_and_bounds_its_length(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    rows = [(1, "one repeated row", "a")] * 400 + [(None, None, "a")] * 100 + [(k, words(8, k), "b") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("Mix_slot", F.lit("mine"))
+    got = mixing.mix(docs, {"a": 0.5, "b": 0.5}, block_bytes=200)
+    assert got.columns[:4] == ["doc_id", "text", "source", "Mix_slot_given"]
+    rows = got.collect()
+    assert len({r.mix_block for r in rows if r.text == "one repeated row"}) > 20  # no block of its own
+    size = lambda r: max(1, len((r.text or "").encode()))
+    blocks = {"a": -(-(400 * 16 + 100) // 200), "b": -(-sum(size(r) for r in docs.filter("source = 'b'").collect()) // 200)}
+    for r in rows:  # at each use the source is within a block of its half
+        assert abs(r.mix_epoch * blocks[r.source] + r.mix_block + 1 - (r.mix_slot + 1) / 2) <= 1
+    first = Counter((r.doc_id, r.text, r.source) for r in rows if r.mix_epoch == 0)
+    assert first == Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+    with pytest.raises(ValueError, match="times the corpus"):
+        mixing.mix(docs, {"a": 1.0, "b": 1e-6}, block_bytes=200, most_times=50)
+    assert mixing.mix(docs, {"a": 1.0, "b": 1e-6}, block_bytes=200, stop="first").count() > 0
+
+
 def test_mix_keeps_to_the_weights(docs):
     weights = {"s0": 0.61371, "s1": 0.385777, "s2": 0.0005, None: 0.000013}
     slots, total, used = mixing.slots_of(weights, mixing.SHARES), sum(weights.values()), dict.fromkeys(weights, 0)
