@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import WS
+from tamarisk.operators.energy import dealt
 
 
 def words(text: Column) -> Column:
@@ -13,17 +14,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^{WS}]+"), F.lit(0))
 
 
-def _counts(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    return df.select(*keys, F.explode_outer(column).alias("token")).filter("token is not null").groupBy(*keys, "token").agg(F.count("*").alias(name))
+def _counts(df: DataFrame, keys: list[str], original: str, kept: str) -> DataFrame:
+    """keys, token, o, k: how often each token is in either list. Lists are dealt by
+    key, so no row of a token crosses an exchange; two empty lists leave one row
+    without a token."""
+    lists = dealt(df.select(*keys, F.col(original).alias("__o"), F.col(kept).alias("__k")), keys)
+    side = lambda c, o: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(o).alias("o"), F.lit(1 - o).alias("k")))
+    rows = lists.select(*keys, F.explode_outer(F.concat(side("__o", 1), side("__k", 0))).alias("__t"))
+    return rows.groupBy(*keys, "__t.token").agg(F.coalesce(F.sum("__t.o"), F.lit(0)).alias("o"), F.coalesce(F.sum("__t.k"), F.lit(0)).alias("k"))
 
 
 def count_overlap(df: DataFrame, keys: list[str], original: str, kept: str) -> DataFrame:
     """keys, overlap: sum of the smaller counts over the original's count. Two
-    empty lists overlap by 1, one empty list by 0."""
-    both = _counts(df, keys, original, "o").join(_counts(df, keys, kept, "k"), [*keys, "token"], "left")
-    sums = both.groupBy(*keys).agg((F.sum(F.least("o", F.coalesce("k", F.lit(0)))) / F.sum("o")).alias("overlap"))
-    neither = (F.size(original) == 0) & (F.size(kept) == 0)
-    return df.select(*keys, neither.alias("__none")).join(sums, keys, "left").select(*keys, F.when(F.col("__none"), 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
+    empty lists overlap by 1, one empty list by 0; null lists are empty."""
+    same, all_ = F.sum(F.least("o", "k")), F.sum("o")
+    value = F.when((all_ == 0) & (F.sum("k") == 0), 1.0).when(all_ == 0, 0.0).otherwise(same / all_)
+    return _counts(df, keys, original, kept).groupBy(*keys).agg(value.alias("overlap"))
 
 
 def weighted_similarity(df: DataFrame, keys: list[str], original: str, kept: str, energies: DataFrame) -> DataFrame:
@@ -33,12 +39,11 @@ def weighted_similarity(df: DataFrame, keys: list[str], original: str, kept: str
     original gives 1, an empty rest 0."""
     frozen = F.col("frozen") if "frozen" in energies.columns else F.lit(False)
     weights = energies.select(*keys, "token", "energy", frozen.alias("frozen"))
-    both = _counts(df, keys, original, "o").join(_counts(df, keys, kept, "k"), [*keys, "token"], "left").join(weights, [*keys, "token"], "left")
-    weight, same = F.coalesce("energy", F.lit(0.0)), F.least("o", F.coalesce("k", F.lit(0)))
-    sums = both.groupBy(*keys).agg(F.sum(weight * F.col("o")).alias("all"), F.sum(weight * same).alias("same"), (F.sum(same) / F.sum("o")).alias("plain"), F.max(F.coalesce("frozen", F.lit(False))).alias("fixed"))
-    value = F.when(F.col("fixed"), 1.0).when(F.col("all") == 0, F.col("plain")).otherwise(F.least(F.lit(1.0), F.col("same") / F.col("all")))
-    out = df.select(*keys, (F.size(original) == 0).alias("__no"), (F.size(kept) == 0).alias("__nk")).join(sums, keys, "left")
-    return out.select(*keys, F.when(F.col("__no"), 1.0).when(F.col("__nk"), 0.0).otherwise(value).alias("similarity"))
+    both = _counts(df, keys, original, kept).join(weights, [*keys, "token"], "left")
+    weight, same = F.coalesce("energy", F.lit(0.0)), F.least("o", "k")
+    sums = both.groupBy(*keys).agg(F.sum("o").alias("n"), F.sum("k").alias("m"), F.sum(weight * F.col("o")).alias("all"), F.sum(weight * same).alias("same"), F.sum(same).alias("plain"), F.max(F.coalesce("frozen", F.lit(False))).alias("fixed"))
+    value = F.when(F.col("fixed"), 1.0).when(F.col("all") == 0, F.col("plain") / F.col("n")).otherwise(F.least(F.lit(1.0), F.col("same") / F.col("all")))
+    return sums.select(*keys, F.when(F.col("n") == 0, 1.0).when(F.col("m") == 0, 0.0).otherwise(value).alias("similarity"))
 
 
 def _dot(a: Column, b: Column) -> Column:

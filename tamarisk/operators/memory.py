@@ -85,8 +85,12 @@ def compress(messages: DataFrame, request: list[str], order: str, text: str = "t
     Novel words are counted as words, what quenching keeps as tokens."""
     config = config or QuenchConfig()
     rows = request_blocks(messages, request, order, text).withColumn("block_id", block_id(F.col("block"))).withColumn("words", word_count(F.col("block")))
-    arrival = Window.partitionBy(*([] if shared else request), "block_id").orderBy(*request, "pos")
-    rows = rows.withColumn("__seen", F.row_number().over(arrival) > 1)
+    if shared:  # a block that many requests hold is summed up first and met by a join
+        place = F.struct(*request, "pos")
+        first = rows.groupBy("block_id").agg(F.min(place).alias("__first"))
+        rows = rows.join(first, "block_id").withColumn("__seen", place != F.col("__first")).drop("__first")
+    else:
+        rows = rows.withColumn("__seen", F.row_number().over(Window.partitionBy(*request, "block_id").orderBy("pos")) > 1)
     if memory is not None:
         rows = rows.join(memory.select("block_id", F.lit(True).alias("__old")), "block_id", "left").withColumn("__seen", F.col("__seen") | F.coalesce("__old", F.lit(False)))
     novel = F.when(~F.col("__seen"), F.struct("pos", F.col("block").alias("b")))
@@ -116,7 +120,8 @@ def combined_reduction(p: Column, ratio: Column, cost: Column | float = REFERENC
 
 def summary() -> Column:
     """A report in words, from the columns of `compress`."""
-    share = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    share = lambda c: F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
+    # The report's wording.
     return F.concat_ws(
         "\n", F.lit("Memory-aware compression:"),
         F.format_string("  Original: %d tokens", "tokens_original"),

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tamarisk.config import PROFILES, QuenchConfig
 from tamarisk.functions import text as T
 from tamarisk.operators import boltzmann, chat, dedup, energy, fidelity, memory, quench
+from tamarisk.plans import bodies
 from tamarisk.sources import requests
 from tamarisk.streaming import memory as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 BEST = PROFILES["best"]
 KEY = ["doc_id"]
+FROZEN = QuenchConfig(frozen_patterns=(r"^[A-Z]{2,}$", r"^[0-9]{4}$"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -220,8 +222,29 @@ def memory_bounds(spark, d):
 
 
 def memory_summary(spark, d):
-    # The first four lines: later ones can round differently where a half is met.
-    return _compressed(spark, d).select("bundle", F.substring_index(memory.summary(), "\n", 4).alias("head"))
+    return _compressed(spark, d).select("bundle", memory.summary().alias("report"))
+
+
+def memory_found(spark, d):
+    """Every second document looked up among the others."""
+    docs = _docs(spark, d).filter(F.col("text").isNotNull())
+    store = memory.store(docs.filter("doc_id % 2 = 0"), ["doc_id"])
+    return memory.lookup(docs.filter("doc_id % 2 = 1"), store).select("doc_id", "found_id")
+
+
+def memory_get(spark, d):
+    """The blocks of the documents' ids, where the store has them."""
+    docs = _docs(spark, d).filter(F.col("text").isNotNull())
+    store = memory.store(docs.filter("source like '%1%'"), ["doc_id"])
+    return memory.get(docs.select("doc_id", memory.block_id(F.col("text")).alias("block_id")), store).select("doc_id", "block_id", F.md5("text").alias("text_md5"), "token_count", "access_count")
+
+
+def memory_shared(spark, d):
+    """Each document a request, on the memory that those before it and a store left."""
+    docs = _docs(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text")
+    store = memory.store(docs.filter("doc_id % 10 = 3"), ["doc_id"])
+    done = memory.compress(docs, ["doc_id"], "doc_id", memory=store, shared=True)
+    return done.select("doc_id", "tokens_original", "tokens_repeated", "tokens_novel", F.round("memory_reduction", 6).alias("memory_reduction"), "tokens_after_quench", "tokens_final", F.round("total_reduction", 6).alias("total_reduction"))
 
 
 def memory_stream(spark, d):
@@ -233,7 +256,7 @@ def memory_stream(spark, d):
 
 
 def _parsed(spark, d):
-    return requests.parse(requests.from_conversations(_turns(spark, d)))
+    return requests.parse(bodies.from_conversations(_turns(spark, d)))
 
 
 def _messages(spark, d):
@@ -273,11 +296,64 @@ def apply_compression(spark, d):
 
 
 def logprob_energy(spark, d):
-    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("embedding").cast("array<double>").alias("token_logprobs")).alias("logprobs"))).alias("choices")))
+    """Replies in both shapes: a list of numbers, or a list of entries."""
+    e = F.col("embedding").cast("array<double>")
+    flat = F.to_json(F.struct(F.array(F.struct(F.struct(e.alias("token_logprobs")).alias("logprobs"))).alias("choices")))
+    entries = F.to_json(F.struct(F.array(F.struct(F.struct(F.transform(e, lambda x: F.struct(F.lit("t").alias("token"), x.alias("logprob"))).alias("content")).alias("logprobs"))).alias("choices")))
+    reply = F.when(F.col("vec_id") % 2 == 0, flat).otherwise(entries)
     e = requests.logprob_energies(F.col("raw"))
     return read(spark, d, "embeddings").select("vec_id", reply.alias("raw")).select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 6).alias("energy_sum"), F.size(e).alias("n"))
 
 
+def quench_frozen(spark, d):
+    """With frozen tokens of the caller's choice: words in capitals and years."""
+    q = quench.quench(_docs(spark, d), KEY, config=FROZEN)
+    return q.select("doc_id", F.md5("compressed_text").alias("text_md5"), "tokens_kept", F.round("similarity_score", 6).alias("similarity_score"), "schedule_steps")
+
+
+def kept_similarity(spark, d):
+    """What quenching keeps, measured against the whole."""
+    rows = quench.scheduled(_energies(spark, d, BEST), KEY, BEST)
+    lists = rows.groupBy("doc_id").agg(F.collect_list("token").alias("t"), F.collect_list(F.when(F.col("kept"), F.col("token"))).alias("k"))
+    by_token = rows.groupBy("doc_id", "token").agg(F.max_by("energy", "idx").alias("energy"), F.max("frozen").alias("frozen"))
+    plain = fidelity.count_overlap(lists, KEY, "t", "k")
+    return fidelity.weighted_similarity(lists, KEY, "t", "k", by_token).join(plain, "doc_id").select("doc_id", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"))
+
+
+def embedding_fallback(spark, d):
+    """Cosine of two vectors where a document has them, else the overlap of words."""
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
+    kept = F.array_join(F.filter(fidelity.words(F.col("text")), lambda w, i: i % 3 != 0), " ")
+    docs = _docs(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text", kept.alias("kept"))
+    docs = docs.join(vectors.toDF("doc_id", "a"), "doc_id", "left").join(vectors.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("b")), "doc_id", "left")
+    return fidelity.embedding_similarity(docs, KEY, "a", "b", "text", "kept").select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+def write_back(spark, d):
+    """Bodies with every planned span shortened, parsed anew."""
+    given = bodies.from_conversations(_turns(spark, d))
+    spans = chat.plan_spans(_messages(spark, d), ["conv_id"])
+    new = spans.select("conv_id", "msg", "block", F.concat(F.lit('short: "'), F.substring("text", 1, 40)).alias("text"))
+    back = requests.parse(requests.write_back(given, new, ["conv_id"]).select("conv_id", F.col("new_raw").alias("raw")))
+    rows = requests.message_rows(back, ["conv_id"])
+    return rows.select("conv_id", "msg", "role", "api", F.md5(F.when(F.col("kind") == "string", F.col("text")).otherwise(F.col("blocks")[0]["text"])).alias("text_md5"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"))
+
+
+def reply_quench(spark, d):
+    """Replies of both APIs, their texts quenched."""
+    texts = requests.response_texts(bodies.replies(_turns(spark, d)), ["conv_id", "turn"])
+    return chat.quench_responses(texts, ["conv_id", "turn", "part"]).select("conv_id", "turn", "part", F.md5("quenched_text").alias("text_md5"))
+
+
+def compress_spans_memory(spark, d):
+    """Spans that say everything twice, with dedup and a memory of earlier spans."""
+    turns = _turns(spark, d).withColumn("text", F.concat("text", F.lit("\n\n"), "text"))
+    turns = turns.unionByName(turns.withColumn("conv_id", F.col("conv_id") + 1000000).filter("conv_id % 2 = 0"))
+    spans = chat.plan_spans(chat.from_turns(turns), ["conv_id"])
+    done = chat.compress_spans(spans, ["conv_id"], memory=True, matching_ids=True)
+    return done.select("conv_id", "msg", "words", "new_words", F.md5("new_text").alias("text_md5"), "outcome")
+
+
 def boltzmann_seeded(spark, d):
     return _places(boltzmann.survivors(_energies(spark, d), KEY, 0.8))
 
@@ -292,7 +368,8 @@ ALL = (
     quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_output, response_quench, turn_temperature, count_overlap,
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
     memory_summary, memory_stream, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
-    logprob_energy, boltzmann_seeded, boltzmann_quench,
+    logprob_energy, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
+    embedding_fallback, write_back, reply_quench, compress_spans_memory,
 )
 
 

@@ -140,6 +140,7 @@ DOCS = "documents"
 FULL = f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')}, {energy('doc_id')}"
 BEST = PROFILES["best"]
 Q = QuenchConfig()
+FROZEN = QuenchConfig(frozen_patterns=(r"^[A-Z]{2,}$", r"^[0-9]{4}$"))
 
 
 def _quenched(config: QuenchConfig) -> str:
@@ -159,12 +160,16 @@ def _spans() -> str:
     so AS (SELECT *, new_text IS NOT NULL AND new_words < words AS shorter FROM sw)"""
 
 
-MEMORY = f"""
-mm AS (SELECT substr(md5(text), 1, 2) || '-' || (doc_id // 100000) AS bundle, doc_id, text FROM documents WHERE text IS NOT NULL),
+def memory(key: str, seen: str) -> str:
+    """CTE mx: what memory and quenching save for each value of the key. seen: of a
+    block with columns bundle, pos and id."""
+    return f"""
+mm AS (SELECT {key} AS bundle, doc_id, text FROM documents WHERE text IS NOT NULL),
 mj AS (SELECT bundle, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS j FROM mm GROUP BY bundle),
 ms AS (SELECT bundle, CASE WHEN len(p) > 0 THEN p ELSE [j] END AS p FROM (SELECT bundle, j, list_filter(string_split(j, chr(10) || chr(10)), lambda b: regexp_matches(b, '[^{WS}]')) AS p FROM mj)),
 mr AS (SELECT bundle, unnest(p) AS block, unnest(range(len(p))) AS pos FROM ms),
-mh AS (SELECT *, {wc('block')} AS words, row_number() OVER (PARTITION BY bundle, substr(sha256({norm('block')}), 1, 20) ORDER BY pos) > 1 AS seen FROM mr),
+mi AS (SELECT *, {wc('block')} AS words, substr(sha256({norm('block')}), 1, 20) AS id FROM mr),
+mh AS (SELECT *, {seen} AS seen FROM mi),
 mt AS (SELECT bundle, sum(words) AS total, sum(CASE WHEN seen THEN words ELSE 0 END) AS repeated, string_agg(CASE WHEN NOT seen THEN block END, chr(10) || chr(10) ORDER BY pos) AS novel_text FROM mh GROUP BY bundle),
 src AS (SELECT bundle, novel_text AS text FROM mt WHERE total - repeated > 10), {toks('src', 'bundle')}, {rows('bundle')}, {energy('bundle')}, {ranking('bundle')}, {quenching('bundle')},
 mk AS (SELECT bundle, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY bundle),
@@ -174,6 +179,26 @@ mo AS (SELECT bundle, total AS tokens_original, repeated AS tokens_repeated, tot
 mx AS (SELECT *, 1.0 - tokens_final / tokens_original AS total_reduction, 1.0 - (1.0 - memory_reduction) * (1.0 - quench_reduction) AS theoretical_bound FROM mo)"""
 
 
+MEMORY = memory("substr(md5(text), 1, 2) || '-' || (doc_id // 100000)", "row_number() OVER (PARTITION BY bundle, id ORDER BY pos) > 1")
+SHARED = memory("doc_id", f"(row_number() OVER (PARTITION BY id ORDER BY bundle, pos) > 1 OR id IN (SELECT substr(sha256({norm('text')}), 1, 20) FROM documents WHERE doc_id % 10 = 3 AND text IS NOT NULL))")
+
+
+def _twice() -> str:
+    """Spans of turns that say everything twice; half of the conversations come again."""
+    twice = "text || chr(10) || chr(10) || text"
+    turns = f"tt AS (SELECT conv_id, turn, role, {twice} AS text, text AS one FROM conversations UNION ALL SELECT conv_id + 1000000, turn, role, {twice}, text FROM conversations WHERE conv_id % 2 = 0)"
+    spans = "ss AS (SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, role, text, one, count(*) OVER (PARTITION BY conv_id) AS total FROM tt) QUALIFY role IN ('user', 'assistant') AND msg IS DISTINCT FROM max(CASE WHEN role = 'user' THEN msg END) OVER (PARTITION BY conv_id) AND length(text) >= 80)"
+    seen = f"sd AS (SELECT *, sha256({norm('text')}) AS digest, length(text) >= 400 AND row_number() OVER (PARTITION BY length(text) >= 400, sha256({norm('text')}) ORDER BY conv_id, msg) > 1 AS seen FROM ss)"
+    # Two blocks where each is long enough; else they are one.
+    src = f"src AS (SELECT conv_id, msg, text AS whole, CASE WHEN length(one) >= 80 THEN {norm('one')} || chr(10) || chr(10) || '[↳ see block 0]' ELSE text END AS text, {TURN_TEMPERATURE} AS t0 FROM sd WHERE NOT seen)"
+    return f"""WITH {turns}, {spans}, {seen}, {src}, {toks('src', 'conv_id, msg')}, {rows('conv_id, msg')}, {energy('conv_id, msg')},
+    en2 AS (SELECT en.*, src.t0 FROM en JOIN src USING (conv_id, msg)), {ranking('conv_id, msg').replace('FROM en)', 'FROM en2)')}, {quenching('conv_id, msg', Q, 't0')}, {rebuilt('conv_id, msg')},
+    sw AS (SELECT conv_id, msg, {wc('src.whole')} AS words, coalesce(rb.text, CASE WHEN q.n IS NULL THEN src.text ELSE '' END) AS new_text, {wc('src.text')} AS working FROM src LEFT JOIN rb USING (conv_id, msg) LEFT JOIN qd q USING (conv_id, msg)),
+    so AS (SELECT *, CASE WHEN new_text = '' THEN working ELSE {wc('new_text')} END AS new_words FROM sw)
+    SELECT conv_id, msg, words, CASE WHEN new_words < words THEN new_words ELSE words END::BIGINT AS new_words, CASE WHEN new_words < words AND new_text <> '' THEN md5(new_text) END AS text_md5, CASE WHEN new_words < words THEN 'compressed' ELSE 'kept' END AS outcome FROM so
+    UNION ALL SELECT conv_id, msg, {wc('text')}, 1, md5('[memory:' || substr(digest, 1, 8) || ']'), 'memory' FROM sd WHERE seen"""
+
+
 def oracle_sql() -> dict[str, str]:
     per = "SELECT doc_id, {} FROM {} GROUP BY doc_id"
     out = {
@@ -207,7 +232,16 @@ def oracle_sql() -> dict[str, str]:
         "memory_stream": f"SELECT substr(sha256({norm('text')}), 1, 20) AS block_id, arg_min({wc('text')}, doc_id) AS token_count, count(*) - 1 AS access_count FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
         "memory_bounds": f"WITH {MEMORY} SELECT bundle, round(tokens_repeated / tokens_original, 6) AS p, round(tokens_repeated / tokens_original * (1 - 0.01::DOUBLE) + (1 - tokens_repeated / tokens_original) * quench_reduction, 6) AS combined FROM mx",
-        "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, memory_reduction * 100), format('  Novel content: {{}} tokens', tokens_novel::BIGINT)) AS head FROM mx",
+        "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, round(memory_reduction * 100, 1)), format('  Novel content: {{}} tokens', tokens_novel::BIGINT), format('  After quenching: {{}} tokens (R_quench = {{:.1f}}%)', tokens_after_quench::BIGINT, round(quench_reduction * 100, 1)), format('  Final: {{}} tokens (R_total = {{:.1f}}%)', tokens_final::BIGINT, round(total_reduction * 100, 1)), format('  Theorem 9 bound: R_total = 1 - (1-R_mem)(1-R_quench) = {{:.1f}}%', round(theoretical_bound * 100, 1))) AS report FROM mx",
+        "memory_found": f"WITH h AS (SELECT doc_id, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT id FROM h WHERE doc_id % 2 = 0) SELECT doc_id, s.id AS found_id FROM h LEFT JOIN s USING (id) WHERE doc_id % 2 = 1",
+        "memory_get": f"WITH h AS (SELECT doc_id, text, source, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), s AS (SELECT id, arg_min(text, doc_id) AS text, count(*) - 1 AS access_count FROM h WHERE source LIKE '%1%' GROUP BY id) SELECT h.doc_id, id AS block_id, md5(s.text) AS text_md5, {wc('s.text')} AS token_count, s.access_count FROM h JOIN s USING (id)",
+        "memory_shared": f"WITH {SHARED} SELECT bundle AS doc_id, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(CASE WHEN tokens_original > 0 THEN memory_reduction ELSE 0.0 END, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, tokens_final::BIGINT AS tokens_final, round(CASE WHEN tokens_original > 0 THEN total_reduction ELSE 0.0 END, 6) AS total_reduction FROM mx",
+        "quench_frozen": _quenched(FROZEN) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.kept IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
+        "kept_similarity": _quenched(BEST) + ", a AS (SELECT doc_id, token, count(*) AS o, count(*) FILTER (WHERE kept) AS k, any_value(e_last) AS e, bool_or(frozen) AS f FROM qr GROUP BY ALL), b AS (SELECT doc_id, sum(e * o) AS al, sum(e * least(o, k)) AS sm, sum(least(o, k)) / sum(o) AS pl, bool_or(f) AS f, sum(k) AS nk FROM a GROUP BY doc_id) SELECT doc_id, round(CASE WHEN f THEN 1.0 WHEN nk = 0 THEN 0.0 WHEN al = 0 THEN pl ELSE least(1.0, sm / al) END, 6) AS similarity, round(pl, 6) AS overlap FROM b",
+        "embedding_fallback": f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{WS}]+') AS ws FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM w), c AS (SELECT doc_id, t, count(*) AS o, count(*) FILTER (WHERE i % 3 <> 0) AS k FROM u GROUP BY ALL), f AS (SELECT doc_id, sum(least(o, k)) / sum(o) AS overlap FROM c GROUP BY doc_id), p AS (SELECT w.doc_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM w LEFT JOIN embeddings a ON a.vec_id = w.doc_id LEFT JOIN embeddings b ON b.vec_id = w.doc_id + 1), s AS (SELECT doc_id, list_sum(list_transform(x, lambda v, i: v * y[i])) AS dot, sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v))) AS nn FROM p) SELECT doc_id, round(CASE WHEN nn > 0 THEN dot / nn ELSE coalesce(overlap, 1.0) END, 6) AS similarity FROM s LEFT JOIN f USING (doc_id)",
+        "write_back": f"WITH {MESSAGES} SELECT mb.conv_id, mb.msg, mb.role, mb.api, md5(CASE WHEN sp.msg IS NOT NULL THEN 'short: \"' || substr(mb.text, 1, 40) ELSE mb.text END) AS text_md5, CASE WHEN shape IN (0, 4) THEN 0 WHEN shape IN (2, 3) AND mb.role = 'assistant' THEN 2 ELSE 1 END AS n_blocks FROM mb LEFT JOIN sp USING (conv_id, msg)",
+        "reply_quench": _turns(output_config(Q), f"role = 'assistant' AND {wc('text')} > 30") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, CASE WHEN s.turn % 2 = 0 THEN 0 ELSE 1 END AS part, md5(CASE WHEN {wc('s.text')} <= 30 OR coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
+        "compress_spans_memory": _twice(),
         "detect_api": f"WITH {MESSAGES} SELECT conv_id, any_value(api) AS api, any_value(total) AS n_messages FROM mb GROUP BY conv_id",
         "signed_bodies": f"WITH {MESSAGES} SELECT conv_id, any_value(signed) AS signed, any_value(streaming) AS streaming FROM mb GROUP BY conv_id",
         "route": f"WITH {MESSAGES}, s AS (SELECT conv_id, count(*) AS k FROM sp GROUP BY conv_id) SELECT conv_id, CASE WHEN bool_or(streaming) THEN 'streaming' WHEN bool_or(signed) THEN 'passthrough' WHEN max(k) > 0 THEN 'compress' ELSE 'passthrough' END AS route FROM mb LEFT JOIN s USING (conv_id) GROUP BY conv_id",

@@ -87,16 +87,30 @@ def route(parsed: DataFrame, planned: DataFrame, keys: list[str], multi_turn: bo
     return joined.withColumn("route", way.when(F.coalesce("__some", F.lit(False)) & F.lit(multi_turn), "compress").otherwise("passthrough")).drop("__some")
 
 
-def _quoted(text: Column) -> Column:
+def json_string(text: Column) -> Column:
     """A JSON string."""
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
 
-def _object(v: Column, name: str, value: Column) -> Column:
-    """The object's JSON with one field set anew, in its place."""
-    fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    parts = F.transform(fields, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.when(e["key"] == name, value).otherwise(F.to_json(e["value"]))))
-    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+def _given(text: Column, v: Column) -> Column:
+    """A value's JSON. text: as Spark reads it from JSON as a string, which keeps
+    objects and lists as they were given."""
+    return F.when(_kind(v).isin("OBJECT", "ARRAY"), text).otherwise(F.to_json(v))
+
+
+def _object(text: Column, name: str, value: Column) -> Column:
+    """The JSON object with one field set anew, all in their places."""
+    fields, texts = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), F.from_json(text, "map<string,string>")
+
+    def field(key: Column) -> Column:
+        return F.concat(json_string(key), F.lit(":"), F.when(key == name, value).otherwise(_given(F.try_element_at(texts, key), F.try_element_at(fields, key))))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.json_object_keys(text), field), ","), F.lit("}"))
+
+
+def _items(text: Column, name: str) -> Column:
+    """A field's list as JSON texts, each as it was given."""
+    return F.from_json(text, f"struct<{name}:array<string>>")[name]
 
 
 def write_back(df: DataFrame, replacements: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
@@ -110,38 +124,17 @@ def write_back(df: DataFrame, replacements: DataFrame, keys: list[str], raw: str
         mine = F.filter("__r", lambda r: (r["msg"] == msg) & (r["block"].isNull() if block is None else r["block"].eqNullSafe(block)))
         return F.get(mine, F.lit(0))["new"]
 
-    def message(m: Column, i: Column) -> Column:
+    def message(text: Column, m: Column, i: Column) -> Column:
         content = _field(m, "content")
-        plain = F.when((_kind(content) == "STRING") & found(i, None).isNotNull(), _object(m, "content", _quoted(found(i, None))))
-        blocks = F.transform(_list(content), lambda b, k: F.when((_kind(b) == "OBJECT") & found(i, k).isNotNull(), _object(b, "text", _quoted(found(i, k)))).otherwise(F.to_json(b)))
+        plain = F.when((_kind(content) == "STRING") & found(i, None).isNotNull(), _object(text, "content", json_string(found(i, None))))
+        block = lambda p, k: F.when((_kind(p["v"]) == "OBJECT") & found(i, k).isNotNull(), _object(p["t"], "text", json_string(found(i, k)))).otherwise(_given(p["t"], p["v"]))
+        blocks = F.transform(F.zip_with(_items(text, "content"), _list(content), lambda t, v: F.struct(t.alias("t"), v.alias("v"))), block)
         some = F.exists("__r", lambda r: (r["msg"] == i) & r["block"].isNotNull())
-        return F.coalesce(plain, F.when((_kind(content) == "ARRAY") & some, _object(m, "content", F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))), F.to_json(m))
-
-    made = F.concat(F.lit("["), F.array_join(F.transform(_list(_field(F.col("__body"), "messages")), message), ","), F.lit("]"))
-    return joined.withColumn("new_raw", F.when(F.col("__r").isNull(), F.col(raw)).otherwise(F.coalesce(_object(F.col("__body"), "messages", made), F.col(raw)))).drop("__r", "__body")
-
-
-def from_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, raw: bodies made of a table of turns. The shape follows conv_id:
-    plain strings; lists of text blocks with a system text; tool blocks; signed
-    blocks; streaming with tool calls."""
-    shape = F.col("conv_id") % 5
-    text = F.struct(F.lit("text").alias("type"), F.col("text"))
-    blocks = F.to_json(F.array(text))
-    with_block = lambda more: F.concat(F.expr("substring(" + "b, 1, length(b) - 1)"), F.lit("," + more + "]"))
-    answer = F.col("role") == "assistant"
-    rows = conversations.withColumn("b", blocks)
-    content = (
-        F.when(shape.isin(0, 4), _quoted(F.col("text")))
-        .when((shape == 2) & answer, with_block('{"type":"tool_use","id":"t1","name":"find","input":{}}'))
-        .when((shape == 3) & answer, with_block('{"type":"thinking","thinking":"hm","signature":"c2ln"}'))
-        .otherwise(F.col("b"))
-    )
-    calls = F.when((shape == 4) & answer, F.lit(',"tool_calls":[{"id":"c1"}]')).otherwise("")
-    message = F.concat(F.lit('{"role":'), _quoted(F.col("role")), F.lit(',"content":'), content, calls, F.lit("}"))
-    grouped = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]), ",").alias("m"))
-    start = F.when(shape == 1, F.lit('{"model":"m","system":"Be brief.","messages":[')).when(shape == 4, F.lit('{"model":"m","stream":true,"messages":[')).otherwise('{"model":"m","messages":[')
-    return grouped.select("conv_id", F.concat(start, F.col("m"), F.lit("]}")).alias("raw"))
+        return F.coalesce(plain, F.when((_kind(content) == "ARRAY") & some, _object(text, "content", F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))), text)
+
+    listed = F.zip_with(_items(F.col(raw), "messages"), _list(_field(F.col("__body"), "messages")), lambda t, v: F.struct(_given(t, v).alias("t"), v.alias("v")))
+    made = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda p, i: message(p["t"], p["v"], i)), ","), F.lit("]"))
+    return joined.withColumn("new_raw", F.when(F.col("__r").isNull(), F.col(raw)).otherwise(F.coalesce(_object(F.col(raw), "messages", made), F.col(raw)))).drop("__r", "__body")
 
 
 def response_texts(df: DataFrame, keys: list[str], api: str = "api", raw: str = "raw") -> DataFrame:
@@ -162,4 +155,4 @@ def logprob_energies(raw: Column) -> Column:
     return F.coalesce(F.when(F.size(by_entry) > 0, energy(by_entry)), F.when(F.size(flat) > 0, energy(flat)), F.array().cast("array<double>"))
 
 
-__all__ = ["MIN_BLOCK_CHARS", "from_conversations", "has_blocks", "logprob_energies", "message_rows", "messages", "parse", "response_texts", "route", "write_back"]
+__all__ = ["MIN_BLOCK_CHARS", "has_blocks", "json_string", "logprob_energies", "message_rows", "messages", "parse", "response_texts", "route", "write_back"]

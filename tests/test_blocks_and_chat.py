@@ -53,6 +53,14 @@ def test_write_back(spark):
     assert got["signed"] == dict(BODIES)["signed"] and got["bad"] == "{no"
 
 
+def test_write_back_keeps_every_field_in_its_place(spark):
+    raw = '{"z":1,"model":"m","messages":[{"role":"user","name":"n","content":[{"type":"text","cache":{"b":1,"a":2},"text":"old"},7,{"type":"image"}],"id":"x"},"odd",{"content":"plain","role":"user"}],"a":[2.5,null],"stream":false}'
+    df = spark.createDataFrame([("1", raw), (None, raw)], "id string, raw string")
+    new = spark.createDataFrame([("1", 0, 0, 'n"e\nw'), ("1", 2, None, "other"), ("1", 1, None, "x"), ("1", 0, 1, "x"), ("1", 9, 0, "x")], "id string, msg int, block int, text string")
+    got = {r.id: r.new_raw for r in requests.write_back(df, new, ["id"]).collect()}
+    assert got["1"] == raw.replace('"old"', '"n\\"e\\nw"').replace('"plain"', '"other"') and got[None] == raw
+
+
 def test_compress_and_audit(spark):
     text = "Please review this module carefully and explain what each of the functions does in detail. " * 5
     turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "user", "go on")], "conv_id int, turn int, role string, text string")
