@@ -251,8 +251,8 @@ def memory_stream(spark, d):
     """The store after a stream of the documents, as micro-batches left it."""
     source = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parquet*").filter("text is not null").select("doc_id", "text")
     path = stream.place(spark)
-    last = stream.run(source, f"{path}/store", f"{path}/progress", ["doc_id"])
-    return stream.read(spark, f"{path}/store", last).select("block_id", "token_count", "access_count")
+    stream.run(source, f"{path}/store", f"{path}/progress", ["doc_id"])
+    return stream.read(spark, f"{path}/store").select("block_id", "token_count", "access_count")
 
 
 def _parsed(spark, d):

@@ -86,15 +86,28 @@ def test_memory(spark):
     assert (memory.known(asked, store).count(), memory.unknown(asked, store).count(), memory.lookup(asked, store).count()) == (1, 1, 2)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path, monkeypatch):
     from tamarisk.streaming import memory as stream
 
-    for k in range(3):
-        spark.createDataFrame([(10 * k + i, f"block {(k + i) % 4}") for i in range(5)], "n int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("n int, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    last = stream.run(source, str(tmp_path / "store"), str(tmp_path / "progress"), ["n"])
-    got = {(r.block_id, r.access_count) for r in stream.read(spark, str(tmp_path / "store"), last).collect()}
-    assert got == {(r.block_id, r.access_count) for r in memory.store(spark.read.parquet(str(tmp_path / "in")), ["n"]).collect()}
+    monkeypatch.setattr(stream, "MERGED", 3)
+    at = lambda name: str(tmp_path / name)
+    assert stream.last(spark, at("store")) == -1 and stream.read(spark, at("store")).count() == 0
+    told = []
+    for round_, many in enumerate((5, 3)):  # the second run goes on where the first ended
+        for k in range(many):
+            spark.createDataFrame([(100 * round_ + 10 * k + i, f"block {(7 * round_ + k + i) % 6}" + "  x" * (k % 2)) for i in range(5)], "n int, text string").coalesce(1).write.mode("append").parquet(at("in"))
+        source = spark.readStream.schema("n int, text string").option("maxFilesPerTrigger", 1).parquet(at("in"))
+        told.append(stream.run(source, at("store"), at("progress"), ["n"]))
+        got = {(r.block_id, r.token_count, r.access_count) for r in stream.read(spark, at("store")).collect()}
+        assert got == {(r.block_id, r.token_count, r.access_count) for r in memory.store(spark.read.parquet(at("in")), ["n"]).collect()}
+    assert told[0] < told[1] == stream.run(source, at("store"), at("progress"), ["n"])  # nothing new
+    names = {p.name for p in (tmp_path / "store").iterdir()}
+    assert "merge=5" in names and "batch=0" not in names and "batch=7" in names
+    # A batch that runs again leaves the same.
+    before = sorted(map(str, stream.read(spark, at("store")).collect()))
+    again = spark.read.parquet(at("store") + "/batch=7").select(F.lit(0).alias("n"), "text", F.explode(F.sequence(F.lit(0), "access_count")))
+    stream.merge_batch(at("store"), ["n"])(spark.createDataFrame(again.select("n", "text").collect(), "n int, text string"), 7)
+    assert sorted(map(str, stream.read(spark, at("store")).collect())) == before
 
 
 def test_logprobs(spark):
