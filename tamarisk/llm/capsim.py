@@ -232,6 +232,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Filters with a single vector end here.
     dealt = entries.join(hot, ["dims", "number"]).select("dims", "number", part.alias("part"), "cid", "n", "data", "filters", F.explode(cells).alias("c")).select("dims", "number", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "part", "cid", "n", "data", "filters")
     found = common.cut(dealt.repartition("dims", "number", "i", "j").sortWithinPartitions("dims", "number", "i", "j").mapInArrow(lambda batches: _compared(batches, width), "cid long, other long, links long"), "links")
+    common.forget(decoded, hot)
     links = found.filter("links is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
     named = classes.join(groups, "cid", "left").withColumn("group", F.coalesce("component", "cid")).drop("component")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,10 +14,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarisk.sources import storage
+from tamarisk.sources.storage import new_path
+
 #: Words are runs of anything but space, tab, line feed, VT, FF and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tasks that a list of files is dealt to, at most.
 MOST_TASKS = 20_000
+#: pyarrow's names for what Spark calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,32 +34,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`).
-
-    Where the session names none, a local session gets a folder of its own; a
-    cluster session must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-tamarisk-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tamarisk/{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again: later steps neither
     compute it anew nor depend on the executors that made it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    for made in _PASSING:
+        made.append(path)
+    return out
+
+
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes what `cut` wrote inside, for work whose result is written inside too."""
+    _PASSING.append(made := [])
+    try:
+        yield
+    finally:
+        _PASSING.remove(made)
+        for path in made:
+            storage.delete(spark, path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote, once all that is made of them is written."""
+    for df in tables:
+        storage.delete(df.sparkSession, df.cut_at)
 
 
 def keyed(df: DataFrame, name: str) -> DataFrame:
@@ -75,12 +85,12 @@ def release() -> None:
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """Any store that pyarrow reaches (file, hdfs, s3, gs); used inside tasks."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path.split(":", 1)[1].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+    """Of a path with its scheme (`storage.qualified`), any store that pyarrow
+    reaches (file, hdfs, s3, gs, abfs); used inside tasks."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, rest = path.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_bytes(path: str, data: bytes | list[bytes]) -> None:

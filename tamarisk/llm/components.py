@@ -37,6 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         many = edges.groupBy("a").count().filter("count > 1").limit(1)
         deep = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1)
         if not many.select("a").union(deep.select("a")).isEmpty():
-            edges = common.cut(_small(_large(edges)), "edges")
+            before, edges = edges, common.cut(_small(_large(edges)), "edges")
+            common.forget(before)
             continue
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -112,11 +112,13 @@ def splitters(records: DataFrame, shards: int = SHARDS, range_rows: int = RANGE_
         over = sums.filter((F.col("bytes") > OVERFULL * due) & (F.col("n") > 1)).select("range", F.ceil(F.col("bytes") / due).alias("parts"), "low", "high")
         over = common.cut(over, "overfull")  # no more rows than there are ranges
         if over.isEmpty():
+            common.forget(over)
             return bounds
         # Denser each time; in the end all records of a range are its sample.
         density *= 4
         inside = met.filter(draw < F.col("size") * density).join(F.broadcast(over), "range").select("key", "range", "parts", "low", "high")
-        bounds = common.cut(bounds.union(_picked(inside)).distinct(), "bounds")
+        before, bounds = bounds, common.cut(bounds.union(_picked(inside)).distinct(), "bounds")
+        common.forget(before, over)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -162,6 +162,7 @@ def judge(pages: DataFrame, listed_hosts: DataFrame, rules: tuple[Rule, ...] = R
         if parts > 1:
             own = common.cut(own, "judged")  # so that one part's levels are held at a time
         out = own if out is None else out.unionByName(own)
+    common.forget(universe)  # all of it is in the levels
     return out
 
 

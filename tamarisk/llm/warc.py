@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm import common
+from tamarisk.sources import storage
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20
@@ -132,7 +133,7 @@ def records(data: bytes) -> Iterator[bytes]:
 def write(pages: DataFrame, path: str | None = None, dedup_from: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes archives below `path` and returns their list: path, n_records. A file
     is named anew by each attempt of its task and counts once the list names it."""
-    path = path or common.new_path(pages.sparkSession, "warc")
+    path = storage.qualified(pages.sparkSession, path) if path else common.new_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
     # Only payloads that occur again; each task sums its own rows first.

@@ -552,6 +552,19 @@ def test_mix_keeps_to_the_weights(docs):
                 assert [p for p, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and len(places) == sum(r.source == s for r in rows)
 
 
+def test_paths_and_passing_tables(spark, tmp_path):
+    from tamarisk.llm import common
+    from tamarisk.sources import storage
+
+    assert storage.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and common.filesystem(f"file:{tmp_path}/x")[1] == common.filesystem(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    kept = common.cut(spark.range(3), "kept")
+    with common.passing(spark):
+        inside = common.cut(spark.range(4), "inside")
+        common.forget(common.cut(spark.range(5), "gone"))
+    names = storage.folders(spark, f"{storage.shared_dir(spark)}/tamarisk")
+    assert kept.count() == 3 and kept.cut_at.rsplit("/", 1)[1] in names and inside.cut_at.rsplit("/", 1)[1] not in names and not any(n.startswith("gone") for n in names)
+
+
 def as_counter(rows):
     return Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows)
 
