@@ -34,14 +34,14 @@ def fraction_at(step: Column, t0: Column | float, rate: Column | float) -> Colum
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds m (tokens that aren't frozen), rank among them by energy, then place,
-    e_last (the energy of the token's last occurrence), and mass (its sum down to
-    the rank)."""
+    e_last (the energy of the token's last occurrence), mass (its sum down to the
+    rank) and total (its sum)."""
     whole = Window.partitionBy(*keys)
     rank = Window.partitionBy(*keys, "frozen").orderBy(F.desc("__e"), "idx")
     free = ~F.col("frozen")
     rows = (
         rows.withColumn("e_last", F.max_by("energy", "idx").over(Window.partitionBy(*keys, "token")))
-        .withColumn("m", F.sum(F.when(free, 1).otherwise(0)).over(whole))
+        .withColumns({"m": F.sum(F.when(free, 1).otherwise(0)).over(whole), "total": F.coalesce(F.sum(F.when(free, F.col("e_last"))).over(whole), F.lit(0.0))})
         .withColumn("__e", F.round("energy", 12))
     )
     rows = rows.withColumns({"rank": F.row_number().over(rank), "mass": F.sum("e_last").over(rank.rowsBetween(Window.unboundedPreceding, 0))})
@@ -53,31 +53,66 @@ def cutoff(rows: DataFrame, keys: list[str], fraction: float) -> DataFrame:
     return ranked(rows, keys).filter(F.col("frozen") | (F.col("rank") <= kept_at(F.col("m"), F.lit(float(fraction)))))
 
 
+def _part() -> Column:
+    """The fidelity of the tokens down to a rank; a text without mass is measured by
+    token counts."""
+    return F.when(F.col("total") == 0, F.col("rank") / F.col("m")).otherwise(F.least(F.lit(1.0), F.col("mass") / F.col("total")))
+
+
+def _enough(part: Column, config: QuenchConfig) -> Column:
+    return F.when(F.round(part, 12) >= config.similarity_threshold, F.col("rank"))
+
+
+def _steps(need: Column, t0: Column, config: QuenchConfig) -> Column:
+    """The last step that keeps as many tokens as are needed. A frozen token makes
+    every fidelity 1, so the schedule runs to its end; texts shorter than min_tokens
+    stay as they are."""
+    step = F.sequence(F.lit(1), F.lit(STEPS))
+    last = F.coalesce(F.array_max(F.filter(step, lambda s: kept_at(F.col("m"), fraction_at(s, t0, config.cooling_rate)) >= need)), F.lit(0))
+    return F.when(F.col("n") < config.min_tokens, 0).when(F.col("m") < F.col("n"), STEPS).otherwise(last)
+
+
+def _keep(t0: Column, config: QuenchConfig) -> Column:
+    return F.when(F.col("steps") == 0, F.col("m")).otherwise(kept_at(F.col("m"), fraction_at(F.col("steps"), t0, config.cooling_rate)))
+
+
 def scheduled(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | None = None) -> DataFrame:
     """Adds steps, similarity and kept to token rows (from `energies`). t0: a
-    column with the first temperature, if it isn't the configuration's.
-
-    A frozen token makes every fidelity 1, so the schedule runs to its end; a text
-    without mass is measured by token counts; texts shorter than min_tokens stay
-    as they are."""
+    column with the first temperature, if it isn't the configuration's."""
     rows = ranked(rows, keys)
     whole = Window.partitionBy(*keys)
     start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
-    total = F.max("mass").over(whole)
-    rows = rows.withColumn("__total", total).withColumn("__t0", start)
-    part = F.when(F.col("__total") == 0, F.col("rank") / F.col("m")).otherwise(F.least(F.lit(1.0), F.col("mass") / F.col("__total")))
-    enough = F.when(F.round(part, 12) >= config.similarity_threshold, F.col("rank"))
-    rows = rows.withColumn("__part", part).withColumn("__need", F.min(enough).over(whole))
-    free = (F.col("m") < F.col("n")).cast("boolean")  # something is frozen
-    step = F.sequence(F.lit(1), F.lit(STEPS))
-    last = F.coalesce(F.array_max(F.filter(step, lambda s: kept_at(F.col("m"), fraction_at(s, F.col("__t0"), config.cooling_rate)) >= F.col("__need"))), F.lit(0))
-    steps = F.when(F.col("n") < config.min_tokens, 0).when(free, STEPS).otherwise(last)
+    rows = rows.withColumn("__t0", start).withColumn("__part", _part())
+    rows = rows.withColumn("__need", F.min(_enough(F.col("__part"), config)).over(whole))
     # The search runs once for each text, at its first token.
-    rows = rows.withColumn("__first", F.when(F.col("idx") == 0, steps)).withColumn("steps", F.max("__first").over(whole))
-    keep = F.when(F.col("steps") == 0, F.col("m")).otherwise(kept_at(F.col("m"), fraction_at(F.col("steps"), F.col("__t0"), config.cooling_rate)))
-    rows = rows.withColumn("__keep", keep).withColumn("kept", F.col("frozen") | (F.col("rank") <= F.col("__keep")))
-    similarity = F.when(free | (F.col("steps") == 0), F.lit(1.0)).otherwise(F.max(F.when(F.col("rank") == F.col("__keep"), F.col("__part"))).over(whole))
-    return rows.withColumn("similarity", similarity).drop("__total", "__t0", "__part", "__need", "__keep", "__first", "e_last", "mass")
+    rows = rows.withColumn("__first", F.when(F.col("idx") == 0, _steps(F.col("__need"), F.col("__t0"), config))).withColumn("steps", F.max("__first").over(whole))
+    rows = rows.withColumn("__keep", _keep(F.col("__t0"), config)).withColumn("kept", F.col("frozen") | (F.col("rank") <= F.col("__keep")))
+    exact = F.max(F.when(F.col("rank") == F.col("__keep"), F.col("__part"))).over(whole)
+    similarity = F.when((F.col("m") < F.col("n")) | (F.col("steps") == 0), F.lit(1.0)).otherwise(exact)
+    return rows.withColumn("similarity", similarity).drop("__t0", "__part", "__need", "__keep", "__first", "e_last", "mass", "total")
+
+
+def _quenched(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | None) -> DataFrame:
+    """The same decisions, one row for each text, without a row's way back to its
+    tokens: keys, compressed_text, tokens_kept, tokens_total, similarity_score,
+    schedule_steps."""
+    start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
+    rows = ranked(rows, keys).withColumn("__part", _part())
+    piece = F.when(~is_blank(F.col("token")), F.struct("idx", F.coalesce("rank", F.lit(0)).alias("rank"), strip(F.col("token")).alias("p")))
+    texts = rows.groupBy(*keys).agg(
+        F.collect_list(piece).alias("pieces"),
+        F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", F.col("__part").alias("part")))).alias("parts"),
+        F.min(_enough(F.col("__part"), config)).alias("need"),
+        F.max("m").alias("m"),
+        F.max("n").alias("n"),
+    )
+    texts = texts.withColumn("steps", _steps(F.col("need"), start, config)).withColumn("keep", F.least(F.col("m"), _keep(start, config)))
+    kept = F.transform(F.array_sort(F.filter("pieces", lambda x: x["rank"] <= F.col("keep"))), lambda x: x["p"])
+    exact = F.get(F.filter("parts", lambda x: x["rank"] == F.col("keep")), F.lit(0))["part"]
+    return texts.select(
+        *keys, _joined(kept).alias("compressed_text"), (F.col("n") - F.col("m") + F.col("keep")).cast("long").alias("tokens_kept"), F.col("n").cast("long").alias("tokens_total"),
+        F.when((F.col("m") < F.col("n")) | (F.col("steps") == 0), F.lit(1.0)).otherwise(exact).alias("similarity_score"), F.col("steps").alias("schedule_steps"),
+    )
 
 
 def _joined(pieces: Column) -> Column:
@@ -114,15 +149,7 @@ def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchCon
     if config.survival_mode == "boltzmann":
         result = stepped(rows, own, config, t0).withColumn("compressed_text", _joined(F.col("pieces")))
     else:
-        rows = scheduled(rows, own, config, t0)
-        piece = F.when(F.col("kept") & ~is_blank(F.col("token")), F.struct("idx", strip(F.col("token")).alias("p")))
-        result = rows.groupBy(*own).agg(
-            _joined(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["p"])).alias("compressed_text"),
-            F.sum(F.col("kept").cast("long")).alias("tokens_kept"),
-            F.count("*").alias("tokens_total"),
-            F.max("similarity").alias("similarity_score"),
-            F.max("steps").alias("schedule_steps"),
-        )
+        result = _quenched(rows, own, config, t0)
     result = result.select(
         *keys, "compressed_text", "tokens_kept", "tokens_total",
         (1.0 - F.col("tokens_kept") / F.col("tokens_total")).alias("compression_ratio"), "similarity_score", "schedule_steps",
@@ -146,8 +173,8 @@ def quench_output(df: DataFrame, keys: list[str], text: str = "text", config: Qu
 def schedule_curve(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, steps: int = STEPS) -> DataFrame:
     """keys, step, kept, similarity at every step, whether accepted or not."""
     config = config or QuenchConfig()
-    rows = ranked(energies(df, keys, text, config), keys).withColumn("__total", F.max("mass").over(Window.partitionBy(*keys)))
-    texts = rows.groupBy(*keys).agg(F.max("m").alias("m"), F.max("n").alias("n"), F.max("__total").alias("total"))
+    rows = ranked(energies(df, keys, text, config), keys)
+    texts = rows.groupBy(*keys).agg(F.max("m").alias("m"), F.max("n").alias("n"), F.max("total").alias("total"))
     texts = texts.select(*keys, "m", "n", "total", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).withColumn("rank", F.when(F.col("m") > 0, kept_at(F.col("m"), fraction_at(F.col("step"), config.temperature_initial, config.cooling_rate))).otherwise(0))
     masses = rows.filter(~F.col("frozen")).select(*keys, "rank", "mass")
     part = F.when(F.col("m") < F.col("n"), F.lit(1.0)).when(F.col("total") == 0, F.col("rank") / F.col("m")).otherwise(F.least(F.lit(1.0), F.col("mass") / F.col("total")))
