@@ -117,3 +117,23 @@ def test_no_token_row_crosses_an_exchange(spark):
         generator = next(k for k, x in enumerate(lines) if "Generate posexplode" in x)
         assert len(exchanges) == 1 and exchanges[0] > generator  # children are below
     assert sum("Sort [" in x for x in quench.quench(frame(spark), ["id"])._jdf.queryExecution().executedPlan().toString().splitlines()) == 3
+
+
+def test_fixed_values(spark):
+    """What results and SQL share, written out once more."""
+    want = {
+        "def": ("keyword", 0.85), "lambda": ("keyword", 0.85), "case": ("keyword", 0.85), "True": ("constant", 0.55), "cls": ("constant", 0.55),
+        "Foo_1": ("capitalized", 0.78), "foo": ("identifier", 0.65), "_x9": ("identifier", 0.65), "12.5": ("number", 0.45), "7": ("number", 0.45), "0x1F": ("number", 0.45),
+        "'a b'": ("string", 0.40), '"x"': ("string", 0.40), "+": ("operator", 0.30), "&": ("operator", 0.30), "(": ("punctuation", 0.15), ";": ("punctuation", 0.15),
+        "#": ("punctuation", 0.15), " ": ("blank", 0.0), "?": ("symbol", 0.15), "\\": ("symbol", 0.15), "$": ("symbol", 0.15), "é": ("other", 0.1), "€": ("other", 0.1),
+    }
+    df = spark.createDataFrame([(t,) for t in want], "token string")
+    got = {r.token: (r["class"], r.weight) for r in df.select("token", energy.token_class(F.col("token")).alias("class"), energy.structural_weight(F.col("token")).alias("weight")).collect()}
+    assert got == want
+    assert len(energy.KEYWORDS) == 29 and len(energy.CONSTANTS) == 5 and len(energy.TASK_VERBS) == 38 and {"review", "audit", "classify", "migrate", "upgrade"} <= set(energy.TASK_VERBS)
+    assert (energy.CHUNK, energy.STRIDE, energy.DOMAIN_WEIGHT, energy.DOMAIN_WINDOW) == (30, 15, 0.10, 12)
+    table = {n: (c.cooling_rate, c.similarity_threshold, c.min_tokens, c.energy_weights.w_statistical, c.energy_weights.w_structural, c.energy_weights.w_positional, c.dedup_enabled) for n, c in PROFILES.items()}
+    assert table == {
+        "maximum": (0.5, 0.72, 30, 0.6, 0.25, 0.15, True), "best": (0.25, 0.85, 50, 0.5, 0.3, 0.2, True), "mild": (0.15, 0.90, 100, 0.4, 0.35, 0.25, True), "code": (0.2, 0.85, 30, 0.4, 0.45, 0.15, True),
+        "system": (0.6, 0.72, 30, 0.7, 0.15, 0.15, True), "output": (0.8, 0.68, 30, 0.7, 0.15, 0.15, False), "mcp": (0.15, 0.88, 80, 0.35, 0.45, 0.20, True),
+    }
