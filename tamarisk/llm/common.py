@@ -109,6 +109,15 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer partitions than the session has cores is dealt to
+    as many, so that no core is idle; a larger one stays as it lies."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df  # it shuffles anyway
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def dealt(listed: DataFrame) -> DataFrame:
     """A list of files over tasks: one each while they are few, else several, so
     their number stays one that a driver can keep up with."""

@@ -45,6 +45,8 @@ LANGUAGES = 500
 #: of its centroid's texts reach.
 FAR = 0.25
 UNKNOWN = "und"
+#: Texts whose vectors a worker holds at once.
+LOT = 32
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -131,6 +133,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             found = [(lang, np.flatnonzero(c), c) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "at": pa.array([x[1].astype("<i4").tobytes() for x in found], pa.binary()), "n": pa.array([x[2][x[1]].astype("<i4").tobytes() for x in found], pa.binary())})
+        common.release()
 
     rows = few.mapInArrow(counted, kind).collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))  # any order of tasks gives the same model
@@ -168,11 +171,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found: list[tuple] = []
-            for at in range(0, len(texts), 128):
-                found += shared.value.predict(texts.slice(at, 128).to_pylist())
+            for at in range(0, len(texts), LOT):
+                found += shared.value.predict(texts.slice(at, LOT).to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=added.names)
+        common.release()
 
-    name = common.fresh(docs, "predicted")
+    name, docs = common.fresh(docs, "predicted"), common.spread(docs)
+    predicted = predicted.asNondeterministic()  # else a filter on the prediction makes it a second time
     return docs.withColumn(name, predicted(F.col(text_col))).select(*docs.columns, name + ".*")
 
 

@@ -7,8 +7,8 @@ padding; sequences of one length form a bucket from which training draws batches
 (`write_buckets` writes a folder for each).
 
 Numbering needs no second pass: a sequence's number is made of its bucket, the
-input partition and a count within both, so it is unique, sorts by bucket and is
-the same when a lost task runs again. No shuffle takes place.
+partition and a count within both, so it is unique, sorts by bucket and is the
+same when a lost task runs again. No shuffle takes place, but for a small table's (`common.spread`).
 
 Null and empty texts have the end id alone: one piece of length 1. Repeated rows
 and repeated doc_ids are packed each for itself. A very long text is cut like any
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm import tokens
+from tamarisk.llm import common, tokens
 
 #: Longest sequence, in tokens.
 MAX_LENGTH = 1024
@@ -79,9 +79,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
                     [some.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), data, pa.array(sizes[doc]), pa.array((bucket << 26 | part) << 32 | own), pa.array(np.zeros(len(own), np.int64))],
                     names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
+        common.release()
 
     return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        common.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
         .mapInArrow(packed, f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
         .withColumnRenamed("id", id_col)
     )

@@ -15,7 +15,11 @@ pair of its parts, so no task holds more than two parts.
 Fewer than three words: the whole sequence is the one shingle. No word, null or
 empty text: fingerprint zero, linked like any other. Null ids get a fingerprint
 and the component of their link, and never name one unless no other id can.
-Repeated rows stay. Other columns are not read.
+Repeated rows stay. A very long text is hashed as a whole; its worker holds its
+words once. Other columns, whatever their names, are not read. An empty table gives
+no row. Rows meet their fingerprint's component by a join on the fingerprint, of
+16 bytes a row: where a third of all rows share one, adaptive execution splits its
+partition, the other side being a single row.
 """
 
 from __future__ import annotations
@@ -65,10 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 some = batch.slice(at, 1024)
                 found = np.array([fingerprint(t) for t in some.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found.view(np.int64)), *some.columns[2:]], names=["id", "fp", *more])
+        common.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     keys = [F.col(key_col).alias(k) for k in more]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keys).mapInArrow(marked, f"id {kind}, fp long" + "".join(f", {k} {docs.schema[key_col].dataType.simpleString()}" for k in more))
+    return common.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keys)).mapInArrow(marked, f"id {kind}, fp long" + "".join(f", {k} {docs.schema[key_col].dataType.simpleString()}" for k in more))
 
 
 def _keys(fp):

@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 
 DEFAULT = "byte_bpe_50k.json"
 #: Words, and ids of words, kept by a worker before it starts anew.
-KEEP, KEEP_IDS = 300_000, 2_000_000
+KEEP, KEEP_IDS = 200_000, 2_000_000
 #: Words looked up at once; bytes cut at once, and one text at least.
-SOME, SOME_BYTES = 1 << 19, 4 << 20
+SOME, SOME_BYTES = 1 << 18, 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 _WHITE = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}

@@ -11,8 +11,10 @@ a response; the others are revisit records that name it and keep the HTTP header
 so the payload's length and digest are known from each record alone. Payloads
 smaller than `dedup_from` bytes are all responses.
 
-Null html is an empty payload, a null url is an empty target. Rows equal to the
-response in payload and page_id are responses too. Rows with a null page_id come
+Null html is an empty payload, a null url is an empty target, and white space within
+a url is read back as single blanks. A very long payload is one record, held whole by
+its task; an archive closes once it is full. Other columns, whatever their names, are
+not read. An empty table gives no archive. Rows equal to the response in payload and page_id are responses too. Rows with a null page_id come
 after all others and are revisits if their payload has a response, else responses.
 Null or not, a record's id holds its page_id.
 """

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.llm import common, tokens
+from tamarisk.sources import storage
 
 MAGIC = b"WVMTRX01"
 #: Ids in a shard, about; bounds a task's memory.
@@ -197,7 +198,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
     A shard's file is named anew by each attempt of its task and counts only once
     the list names it."""
     spark = docs.sparkSession
-    path = path or common.new_path(spark, "wavelet")
+    path = storage.qualified(spark, path) if path else common.new_path(spark, "wavelet")
     vocabulary = vocabulary or tokens.vocabulary_path()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +229,8 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
                         keys, starts, data, n, k = [], [], [], 0, k + 1
         if starts:
             yield close()
+        keys, starts, data = [], [], []
+        common.release()
 
     listed = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

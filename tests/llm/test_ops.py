@@ -165,6 +165,23 @@ def test_simhash(docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_simhash_takes_long_texts_and_other_columns(spark):
+    long = words(60_000, 4)
+    rows = [(1, long, "c"), (2, long, "c"), (3, long + " more words here", "c"), (4, "x" * 400_000, "c"), (None, "x" * 400_000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("component", F.lit(1)).withColumn("key", F.lit(2))
+    got = {(r.doc_id, r.fp & (1 << 64) - 1, r.component) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(1, fingerprint(long), 1), (2, fingerprint(long), 1), (3, fingerprint(rows[2][1]), 1), (4, fingerprint("x" * 400_000), 4), (None, fingerprint("x" * 400_000), 4)}
+
+
+def test_warc_takes_long_payloads_and_other_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    long = words(500_000, 9)
+    pages = spark.createDataFrame([(1, "http://x/ 1\t a", long), (2, "u", long), (3, "u", "\n\r\n\r\nHTTP/1.1 \0")], "page_id long, url string, html string").withColumn("payload", F.lit("clash")).withColumn("sha", F.lit(1))
+    got = {r.page_id: r for r in warc.read(warc.write(pages, str(tmp_path)), payloads=True).collect()}
+    assert (got[1].record_type, got[1].refers_to, got[1].payload_bytes, got[1].url) == ("revisit", 2, len(long), "http://x/ 1 a")
+    assert bytes(got[2].payload) == long.encode() and bytes(got[3].payload) == b"\n\r\n\r\nHTTP/1.1 \0"
+
+
 def test_near_duplicates_keep_one_row_a_group(spark, tmp_path):
     import corpus_pipeline as P
 
