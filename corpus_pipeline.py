@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.llm import common, lang_id, mixing, packing, quality, simhash
+from tamarisk.sources import storage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,9 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages are written and read again; what a stage made on its way, and the table
+    it read, go once its own is written."""
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        path = common.new_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = storage.new_path(spark, f"stage-{k}")
+        with common.passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            storage.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
