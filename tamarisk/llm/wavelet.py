@@ -229,8 +229,6 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
                         keys, starts, data, n, k = [], [], [], 0, k + 1
         if starts:
             yield close()
-        keys, starts, data = [], [], []
-        common.release()
 
     listed = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
