@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.llm import capsim, lang_id, mixing, packing, quality, sharding, simhash, url_filter, warc, wavelet
+from tamarisk.llm import capsim, fingerprints, lang_id, mixing, packing, quality, sharding, simhash, url_filter, warc, wavelet
 from tamarisk.llm.common import table
 
 
@@ -85,7 +85,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-ALL = (op1_centroid_language, op2_url_cascade, op3_sampled_splitters, op4_fertility, op5_warc_dictionary, op6_cap_filters, op7_pfair_mix, op8_wavelet_tokens, op9_binary_packing, op10_simhash)
+def op11_simhash_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.hexadecimal(own).alias("fingerprint"), simhash.hexadecimal(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(own, edited).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"), "n_near",
+    )
+
+
+ALL = (op1_centroid_language, op2_url_cascade, op3_sampled_splitters, op4_fertility, op5_warc_dictionary, op6_cap_filters, op7_pfair_mix, op8_wavelet_tokens, op9_binary_packing, op10_simhash, op11_simhash_votes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
