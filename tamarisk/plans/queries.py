@@ -12,6 +12,7 @@ from tamarisk.functions import text as T
 from tamarisk.operators import boltzmann, chat, dedup, energy, fidelity, memory, quench
 from tamarisk.plans import bodies
 from tamarisk.sources import requests
+from tamarisk.streaming import keyed
 from tamarisk.streaming import memory as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +256,25 @@ def memory_stream(spark, d):
     return stream.read(spark, f"{path}/store").select("block_id", "token_count", "access_count")
 
 
+def _events(spark, d):
+    """A stream of the documents: every third is looked up, the others are stored."""
+    docs = spark.readStream.schema(_docs(spark, d).schema).parquet(f"{d}/documents.parquet*").filter("text is not null")
+    rows = docs.select("doc_id", "text", (F.col("doc_id") % 3 != 0).alias("is_store"), F.timestamp_seconds("doc_id").alias("came"))
+    path = stream.place(spark)
+    keyed.run(keyed.events(rows, KEY, at="came"), KEY, f"{path}/found", f"{path}/progress")
+    return path
+
+
+def memory_events(spark, d):
+    """What each store and look-up of a stream met, in order of arrival."""
+    return keyed.results(spark, f"{_events(spark, d)}/found").select("doc_id", "block_id", "is_store", "found", "access_count", F.unix_seconds("created_at").alias("created"))
+
+
+def memory_state(spark, d):
+    """The memory that the stream's checkpoint holds."""
+    return keyed.stored(spark, f"{_events(spark, d)}/progress").select("block_id", F.md5("text").alias("text_md5"), "token_count", "access_count", F.unix_seconds("created_at").alias("created"))
+
+
 def _parsed(spark, d):
     return requests.parse(bodies.from_conversations(_turns(spark, d)))
 
@@ -367,7 +387,7 @@ ALL = (
     token_counts, math_spans, tokens_by_class, word_counts, block_hashes, chunk_df, idf, frozen_tokens, token_energy, cutoff_half, schedule_curve,
     quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_output, response_quench, turn_temperature, count_overlap,
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
-    memory_summary, memory_stream, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
+    memory_summary, memory_stream, memory_events, memory_state, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
     logprob_energy, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
     embedding_fallback, write_back, reply_quench, compress_spans_memory,
 )

@@ -183,6 +183,13 @@ MEMORY = memory("substr(md5(text), 1, 2) || '-' || (doc_id // 100000)", "row_num
 SHARED = memory("doc_id", f"(row_number() OVER (PARTITION BY id ORDER BY bundle, pos) > 1 OR id IN (SELECT substr(sha256({norm('text')}), 1, 20) FROM documents WHERE doc_id % 10 = 3 AND text IS NOT NULL))")
 
 
+#: Events of a memory: every third document is looked up, the others are stored.
+EVENTS = f"""
+ev AS (SELECT doc_id, text, substr(sha256({norm('text')}), 1, 20) AS id, doc_id % 3 <> 0 AS is_store FROM documents WHERE text IS NOT NULL),
+ef AS (SELECT *, min(CASE WHEN is_store THEN doc_id END) OVER (PARTITION BY id) AS stored FROM ev),
+em AS (SELECT *, CASE WHEN stored <= doc_id THEN count(*) FILTER (WHERE doc_id > stored) OVER (PARTITION BY id ORDER BY doc_id) END AS met FROM ef)"""
+
+
 def _twice() -> str:
     """Spans of turns that say everything twice; half of the conversations come again."""
     twice = "text || chr(10) || chr(10) || text"
@@ -230,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "memory_lookup": f"WITH h AS (SELECT doc_id, lang, substr(sha256({norm('text')}), 1, 20) AS id FROM documents), s AS (SELECT DISTINCT id FROM h WHERE lang = 'en') SELECT lang, h.id IN (SELECT id FROM s) AS found, count(*) AS n FROM h GROUP BY ALL",
         "memory_stats": f"WITH s AS (SELECT substr(sha256({norm('text')}), 1, 20) AS id, arg_min({wc('text')}, doc_id) AS w, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) AS blocks_stored, sum(w)::BIGINT AS tokens_stored, sum(n - 1)::BIGINT AS total_accesses, round(sum(n - 1) / (sum(n - 1) + count(*)), 6) AS hit_rate FROM s",
         "memory_stream": f"SELECT substr(sha256({norm('text')}), 1, 20) AS block_id, arg_min({wc('text')}, doc_id) AS token_count, count(*) - 1 AS access_count FROM documents WHERE text IS NOT NULL GROUP BY 1",
+        "memory_events": f"WITH {EVENTS} SELECT doc_id, id AS block_id, is_store, coalesce(stored < doc_id, false) AS found, met AS access_count, CASE WHEN stored <= doc_id THEN stored END AS created FROM em",
+        "memory_state": f"WITH {EVENTS} SELECT id AS block_id, md5(arg_min(text, doc_id)) AS text_md5, arg_min({wc('text')}, doc_id) AS token_count, max(met) AS access_count, any_value(stored) AS created FROM em WHERE stored <= doc_id GROUP BY id",
         "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
         "memory_bounds": f"WITH {MEMORY} SELECT bundle, round(tokens_repeated / tokens_original, 6) AS p, round(tokens_repeated / tokens_original * (1 - 0.01::DOUBLE) + (1 - tokens_repeated / tokens_original) * quench_reduction, 6) AS combined FROM mx",
         "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, round(memory_reduction * 100, 1)), format('  Novel content: {{}} tokens', tokens_novel::BIGINT), format('  After quenching: {{}} tokens (R_quench = {{:.1f}}%)', tokens_after_quench::BIGINT, round(quench_reduction * 100, 1)), format('  Final: {{}} tokens (R_total = {{:.1f}}%)', tokens_final::BIGINT, round(total_reduction * 100, 1)), format('  Theorem 9 bound: R_total = 1 - (1-R_mem)(1-R_quench) = {{:.1f}}%', round(theoretical_bound * 100, 1))) AS report FROM mx",
