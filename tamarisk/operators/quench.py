@@ -145,7 +145,13 @@ def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchCon
     config = config or QuenchConfig()
     # All windows share one set of keys, so one exchange of texts serves them.
     own = [*keys, t0] if t0 else keys
-    rows = energies(df.select(*own, text), own, text, config, tokenized)
+    return finish(energies(df.select(*own, text), own, text, config, tokenized), df, keys, text, config, t0, tokenized)
+
+
+def finish(rows: DataFrame, df: DataFrame, keys: list[str], text: str, config: QuenchConfig, t0: str | None = None, tokenized: bool = False) -> DataFrame:
+    """The texts of `df` from their token rows, which come from `energies` or are like
+    them, with energies of any other kind."""
+    own = [*keys, t0] if t0 else keys
     if config.survival_mode == "boltzmann":
         result = stepped(rows, own, config, t0).withColumn("compressed_text", _joined(F.col("pieces")))
     else:

@@ -39,3 +39,23 @@ def replies(conversations: DataFrame) -> DataFrame:
     plain = F.concat(F.lit('{"id":"r","choices":[{"index":0,"message":{"role":"assistant","content":'), text, F.lit("}}]}"))
     blocks = F.concat(F.lit('{"id":"r","content":[{"type":"tool_use","id":"t1"},{"type":"text","text":'), text, F.lit("}]}"))
     return conversations.filter("role = 'assistant'").select("conv_id", "turn", F.when(even, "openai").otherwise("anthropic").alias("api"), F.when(even, plain).otherwise(blocks).alias("raw"))
+
+def model_replies(docs: DataFrame) -> DataFrame:
+    """doc_id, raw: replies with a model's log-probabilities, which cut a text into
+    pieces of 3, 5 or 8 characters by doc_id. The shape follows doc_id: a list of
+    entries; flat lists with offsets; flat lists without. Some end halfway, and some
+    are empty."""
+    cut = lambda n: F.regexp_extract_all("text", F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    shape = F.col("doc_id") % 3
+    pieces = F.when(shape == 0, cut(3)).when(shape == 1, cut(5)).otherwise(cut(8))
+    rows = docs.select("doc_id", shape.alias("shape"), pieces.alias("p"))
+    rows = rows.withColumn("p", F.when(F.col("doc_id") % 7 == 0, F.slice("p", F.lit(1), F.floor(F.size("p") / 2).cast("int"))).otherwise(F.col("p")))
+    prob = lambda i: ((i * 37 + F.col("doc_id")) % 101) / 16.0 - 6.0
+    probs = F.transform("p", lambda t, i: prob(i))
+    width = F.when(shape == 0, 3).when(shape == 1, 5).otherwise(8)
+    entries = F.struct(F.transform("p", lambda t, i: F.struct(t.alias("token"), prob(i).alias("logprob"))).alias("content"))
+    flat = F.struct(F.col("p").alias("tokens"), probs.alias("token_logprobs"), F.transform("p", lambda t, i: i * width).alias("text_offset"))
+    bare = F.struct(F.col("p").alias("tokens"), probs.alias("token_logprobs"))
+    reply = lambda probs: F.to_json(F.struct(F.array(F.struct(probs.alias("logprobs"))).alias("choices")))
+    raw = F.when(F.col("doc_id") % 11 == 0, F.lit('{"choices":[]}')).when(shape == 0, reply(entries)).when(shape == 1, reply(flat)).otherwise(reply(bare))
+    return rows.select("doc_id", raw.alias("raw"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.config import PROFILES, QuenchConfig
 from tamarisk.functions import text as T
-from tamarisk.operators import boltzmann, chat, dedup, energy, fidelity, memory, quench
+from tamarisk.operators import align, boltzmann, chat, dedup, energy, fidelity, memory, quench
 from tamarisk.plans import bodies
 from tamarisk.sources import requests
 from tamarisk.streaming import keyed
@@ -325,6 +325,33 @@ def logprob_energy(spark, d):
     return read(spark, d, "embeddings").select("vec_id", reply.alias("raw")).select("vec_id", F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 6).alias("energy_sum"), F.size(e).alias("n"))
 
 
+def _answered(spark, d):
+    """Texts, and the entries of a model's replies to them."""
+    docs = _docs(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text")
+    return docs, requests.logprob_entries(bodies.model_replies(docs), KEY)
+
+
+def token_places(spark, d):
+    """Where each token lies in its text."""
+    spans = align.token_spans(_docs(spark, d), KEY)
+    width = F.col("stop") - F.col("start")
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start").alias("starts"), F.sum(width).alias("widths"), F.max("stop").alias("last"))
+
+
+def model_energy(spark, d):
+    """Tokens' energies by a model that cuts texts at other places."""
+    docs, entries = _answered(spark, d)
+    rows = align.model_energies(docs, entries, KEY)
+    return rows.groupBy("doc_id").agg(F.sum(F.col("by_model").cast("int")).alias("n_model"), _sum6("energy", "energy_sum"), F.round(F.max("energy"), 6).alias("energy_max"))
+
+
+def model_quench(spark, d):
+    """Texts compressed by those energies."""
+    docs, entries = _answered(spark, d)
+    q = align.model_quench(docs, entries, KEY, config=BEST)
+    return q.select("doc_id", F.md5("compressed_text").alias("text_md5"), "tokens_kept", "tokens_total", F.round("similarity_score", 6).alias("similarity_score"), "schedule_steps")
+
+
 def quench_frozen(spark, d):
     """With frozen tokens of the caller's choice: words in capitals and years."""
     q = quench.quench(_docs(spark, d), KEY, config=FROZEN)
@@ -388,7 +415,7 @@ ALL = (
     quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_output, response_quench, turn_temperature, count_overlap,
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
     memory_summary, memory_stream, memory_events, memory_state, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
-    logprob_energy, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
+    logprob_energy, token_places, model_energy, model_quench, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
     embedding_fallback, write_back, reply_quench, compress_spans_memory,
 )
 

@@ -190,6 +190,29 @@ ef AS (SELECT *, min(CASE WHEN is_store THEN doc_id END) OVER (PARTITION BY id)
 em AS (SELECT *, CASE WHEN stored <= doc_id THEN count(*) FILTER (WHERE doc_id > stored) OVER (PARTITION BY id ORDER BY doc_id) END AS met FROM ef)"""
 
 
+#: CTE zt: where each token of a document lies in it; CTE zm: its energy by a model
+#: that cuts texts into pieces of 3, 5 or 8 characters.
+PLACES = f"""
+z0 AS (SELECT doc_id, x, regexp_extract_all(x, '{TOKEN}') AS m, regexp_split_to_array(x, '{TOKEN}') AS g FROM m1),
+z1 AS (SELECT doc_id, unnest(m) AS m, unnest(g[:len(m)]) AS g, unnest(range(len(m))) AS r FROM z0),
+z2 AS (SELECT *, regexp_matches(m, '^[{WS}]') AS blank, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY r) AS stop FROM z1),
+z3 AS (SELECT *, NOT blank OR NOT coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY r), true) AS kept FROM z2),
+y0 AS (SELECT doc_id, unnest(spans) AS span, unnest(pieces[:len(spans)]) AS piece, unnest(range(len(spans))) AS k FROM m0 WHERE len(spans) > 0),
+y1 AS (SELECT *, length('__MATH_' || k || '__') AS body, sum(length(piece) + length('__MATH_' || k || '__') + 2) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM y0),
+y2 AS (SELECT doc_id, flatten(list([[stop - body - 1, -1], [stop - 1, length(span) - body], [stop, -1]])) AS shifts FROM y1 GROUP BY doc_id),
+z4 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS idx, stop - length(m) AS a, stop AS b, coalesce(shifts, []) AS shifts FROM z3 LEFT JOIN y2 USING (doc_id) WHERE kept),
+zt AS MATERIALIZED (SELECT doc_id, idx, (a + coalesce(list_sum(list_transform(list_filter(shifts, lambda s: s[1] <= a), lambda s: s[2])), 0))::BIGINT AS start, (b + coalesce(list_sum(list_transform(list_filter(shifts, lambda s: s[1] <= b), lambda s: s[2])), 0))::BIGINT AS stop FROM z4)"""
+MODEL = f"""{PLACES},
+x0 AS (SELECT doc_id, [3, 5, 8][doc_id % 3 + 1] AS w, length(text) AS chars FROM documents WHERE text IS NOT NULL),
+x1 AS (SELECT doc_id, w, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 7 = 0 THEN (chars + w - 1) // w // 2 ELSE (chars + w - 1) // w END AS n FROM x0),
+zm AS (SELECT doc_id, idx, coalesce(list_sum(list_transform(range(start // w, least(n, CASE WHEN stop > start THEN (stop - 1) // w + 1 WHEN start % w = 0 THEN start // w ELSE start // w + 1 END)),
+  lambda i: CASE WHEN ((i * 37 + doc_id) % 101) / 16.0 - 6.0 < 0 THEN 6.0 - ((i * 37 + doc_id) % 101) / 16.0 ELSE 1e-6 END)), 0.0)::DOUBLE AS model FROM zt JOIN x1 USING (doc_id) WHERE n > 0)"""
+
+
+def _modelled(config: QuenchConfig) -> str:
+    return f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')}, {energy('doc_id', config)}, {MODEL}, en2 AS (SELECT en.* REPLACE (coalesce(model, energy) AS energy), model FROM en LEFT JOIN zm USING (doc_id, idx))"
+
+
 def _twice() -> str:
     """Spans of turns that say everything twice; half of the conversations come again."""
     twice = "text || chr(10) || chr(10) || text"
@@ -245,6 +268,9 @@ def oracle_sql() -> dict[str, str]:
         "memory_found": f"WITH h AS (SELECT doc_id, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT id FROM h WHERE doc_id % 2 = 0) SELECT doc_id, s.id AS found_id FROM h LEFT JOIN s USING (id) WHERE doc_id % 2 = 1",
         "memory_get": f"WITH h AS (SELECT doc_id, text, source, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), s AS (SELECT id, arg_min(text, doc_id) AS text, count(*) - 1 AS access_count FROM h WHERE source LIKE '%1%' GROUP BY id) SELECT h.doc_id, id AS block_id, md5(s.text) AS text_md5, {wc('s.text')} AS token_count, s.access_count FROM h JOIN s USING (id)",
         "memory_shared": f"WITH {SHARED} SELECT bundle AS doc_id, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(CASE WHEN tokens_original > 0 THEN memory_reduction ELSE 0.0 END, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, tokens_final::BIGINT AS tokens_final, round(CASE WHEN tokens_original > 0 THEN total_reduction ELSE 0.0 END, 6) AS total_reduction FROM mx",
+        "token_places": f"WITH {toks(DOCS, 'doc_id')}, {PLACES} SELECT doc_id, count(*) AS n_tokens, sum(start)::BIGINT AS starts, sum(stop - start)::BIGINT AS widths, max(stop) AS last FROM zt GROUP BY doc_id",
+        "model_energy": _modelled(Q) + " SELECT doc_id, count(model) AS n_model, round(sum(energy), 6) AS energy_sum, round(max(energy), 6) AS energy_max FROM en2 GROUP BY doc_id",
+        "model_quench": _modelled(BEST) + f", {ranking('doc_id').replace('FROM en)', 'FROM en2)')}, {quenching('doc_id', BEST)}, {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.total IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, coalesce(qc.total, 0) AS tokens_total, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id) WHERE d.text IS NOT NULL",
         "quench_frozen": _quenched(FROZEN) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.kept IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
         "kept_similarity": _quenched(BEST) + ", a AS (SELECT doc_id, token, count(*) AS o, count(*) FILTER (WHERE kept) AS k, any_value(e_last) AS e, bool_or(frozen) AS f FROM qr GROUP BY ALL), b AS (SELECT doc_id, sum(e * o) AS al, sum(e * least(o, k)) AS sm, sum(least(o, k)) / sum(o) AS pl, bool_or(f) AS f, sum(k) AS nk FROM a GROUP BY doc_id) SELECT doc_id, round(CASE WHEN f THEN 1.0 WHEN nk = 0 THEN 0.0 WHEN al = 0 THEN pl ELSE least(1.0, sm / al) END, 6) AS similarity, round(pl, 6) AS overlap FROM b",
         "embedding_fallback": f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{WS}]+') AS ws FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM w), c AS (SELECT doc_id, t, count(*) AS o, count(*) FILTER (WHERE i % 3 <> 0) AS k FROM u GROUP BY ALL), f AS (SELECT doc_id, sum(least(o, k)) / sum(o) AS overlap FROM c GROUP BY doc_id), p AS (SELECT w.doc_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM w LEFT JOIN embeddings a ON a.vec_id = w.doc_id LEFT JOIN embeddings b ON b.vec_id = w.doc_id + 1), s AS (SELECT doc_id, list_sum(list_transform(x, lambda v, i: v * y[i])) AS dot, sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v))) AS nn FROM p) SELECT doc_id, round(CASE WHEN nn > 0 THEN dot / nn ELSE coalesce(overlap, 1.0) END, 6) AS similarity FROM s LEFT JOIN f USING (doc_id)",
