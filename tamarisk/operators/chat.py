@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tamarisk.config import QuenchConfig
 from tamarisk.functions.text import normalize, word_count
 from tamarisk.operators.dedup import dedup_text
+from tamarisk.operators.memory import ID_DIGITS
 from tamarisk.operators.quench import quench, quench_output, turn_temperature
 
 ROLES = ("user", "assistant")
@@ -49,21 +50,44 @@ def frozen_messages(messages: DataFrame, keys: list[str], min_chars: int = 80) -
     return _eligible(messages, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~open_, F.col("msg")))).alias("frozen"))
 
 
-def compress_spans(spans: DataFrame, keys: list[str], config: QuenchConfig | None = None, memory: bool = False, matching_ids: bool = False) -> DataFrame:
+def long_spans(spans: DataFrame, config: QuenchConfig | None = None) -> DataFrame:
+    """The spans that a memory keeps."""
+    return spans.filter(F.length("text") >= (config or QuenchConfig()).cross_turn_freeze_chars)
+
+
+def _marked(rows: DataFrame, keys: list[str], config: QuenchConfig, store: DataFrame | None) -> DataFrame:
+    """Adds __d (a long span's digest) and __seen: the store has it, or an earlier span.
+
+    Digests that occur once and that no store has leave before the join, which meets
+    the others' first places. Short spans have no digest; in the join each bears a key
+    of its own, so they stay spread, and a digest of many spans meets one row, which
+    lets adaptive execution split it."""
+    place = F.struct(*keys, "msg", "__b")
+    rows = rows.withColumn("__d", F.when(F.length("text") >= config.cross_turn_freeze_chars, F.sha2(normalize(F.col("text")), 256)))
+    digests = rows.filter(F.col("__d").isNotNull()).groupBy("__d").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
+    known = F.lit(False)
+    if store is not None:
+        ids = store.select(F.col("block_id").alias("__id")).distinct()
+        digests = digests.join(ids, F.substring("__d", 1, ID_DIGITS) == F.col("__id"), "left")
+        known = F.col("__id").isNotNull()
+    again = digests.select(F.col("__d").alias("__k"), "__first", known.alias("__known")).filter(F.col("__known") | (F.col("__n") > 1))
+    own = F.concat(F.lit("-"), F.hex(F.xxhash64(*keys, "msg", "__b")))
+    joined = rows.withColumn("__j", F.coalesce("__d", own)).join(again, F.col("__j") == F.col("__k"), "left")
+    seen = F.col("__k").isNotNull() & (F.col("__known") | (place != F.col("__first")))
+    return joined.withColumn("__seen", F.coalesce(seen, F.lit(False))).drop("__j", "__k", "__first", "__known")
+
+
+def compress_spans(spans: DataFrame, keys: list[str], config: QuenchConfig | None = None, memory: bool = False, matching_ids: bool = False, store: DataFrame | None = None) -> DataFrame:
     """keys, msg, block, words, new_words, new_text (null: the span stays), outcome
     (compressed, memory, kept).
 
     memory: long spans are looked up among those that came before them (by keys,
-    msg, block). The look-up uses the long form of an id and the store keeps the
+    msg, block) and in the store, a table as `operators.memory` keeps it, of what came
+    before this table. The look-up uses the long form of an id and the store keeps the
     short one, so nothing is ever found; `matching_ids` makes the two agree."""
     config = config or QuenchConfig()
     rows = spans.withColumn("__b", F.coalesce("block", F.lit(-1))).withColumn("words", word_count(F.col("text")))
-    seen = F.lit(False)
-    if memory and matching_ids:
-        digest = F.when(F.length("text") >= config.cross_turn_freeze_chars, F.sha2(normalize(F.col("text")), 256))
-        rows = rows.withColumn("__d", digest)
-        seen = F.col("__d").isNotNull() & (F.row_number().over(Window.partitionBy("__d").orderBy(*keys, "msg", "__b")) > 1)
-    rows = rows.withColumn("__seen", seen)
+    rows = _marked(rows, keys, config, store) if memory and matching_ids else rows.withColumn("__seen", F.lit(False))
     frozen = rows.filter("__seen")
     working = dedup_text(F.col("text")) if config.dedup_enabled else F.col("text")
     rows = rows.filter(~F.col("__seen")).withColumn("__w", working).withColumn("working_words", word_count(F.col("__w"))).withColumn("t0", turn_temperature(F.col("msg"), F.col("total_turns"), config))

@@ -12,7 +12,7 @@ from tamarisk.functions import text as T
 from tamarisk.operators import align, boltzmann, chat, dedup, energy, fidelity, memory, quench
 from tamarisk.plans import bodies
 from tamarisk.sources import requests
-from tamarisk.streaming import keyed
+from tamarisk.streaming import keyed, spans
 from tamarisk.streaming import memory as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,15 +392,46 @@ def reply_quench(spark, d):
     return chat.quench_responses(texts, ["conv_id", "turn", "part"]).select("conv_id", "turn", "part", F.md5("quenched_text").alias("text_md5"))
 
 
-def compress_spans_memory(spark, d):
-    """Spans that say everything twice, with dedup and a memory of earlier spans."""
+def _twice(spark, d):
+    """Turns that say everything twice, and half of the conversations again as later ones."""
     turns = _turns(spark, d).withColumn("text", F.concat("text", F.lit("\n\n"), "text"))
-    turns = turns.unionByName(turns.withColumn("conv_id", F.col("conv_id") + 1000000).filter("conv_id % 2 = 0"))
-    spans = chat.plan_spans(chat.from_turns(turns), ["conv_id"])
-    done = chat.compress_spans(spans, ["conv_id"], memory=True, matching_ids=True)
+    return turns, turns.withColumn("conv_id", F.col("conv_id") + 1000000).filter("conv_id % 2 = 0")
+
+
+def _plan(turns):
+    return chat.plan_spans(chat.from_turns(turns), ["conv_id"])
+
+
+def _outcomes(done):
     return done.select("conv_id", "msg", "words", "new_words", F.md5("new_text").alias("text_md5"), "outcome")
 
 
+def compress_spans_memory(spark, d):
+    """Spans that say everything twice, with dedup and a memory of earlier spans."""
+    first, again = _twice(spark, d)
+    return _outcomes(chat.compress_spans(_plan(first.unionByName(again)), ["conv_id"], memory=True, matching_ids=True))
+
+
+def compress_spans_batches(spark, d):
+    """The same in two batches, with the memory kept between them; the second runs twice."""
+    path = stream.place(spark)
+    batch = spans.compress_batch(path, ["conv_id"], _plan)
+    first, again = _twice(spark, d)
+    for turns, number in ((first, 0), (again, 1), (again, 1)):
+        batch(turns, number)
+    return _outcomes(spans.results(spark, path))
+
+
+def spans_store(spark, d):
+    """The memory of long spans after those batches."""
+    path = stream.place(spark)
+    first, again = _twice(spark, d)
+    batch = spans.compress_batch(path, ["conv_id"], _plan)
+    for turns, number in ((first, 0), (again, 1)):
+        batch(turns, number)
+    return stream.read(spark, f"{path}/store").select("block_id", F.md5("text").alias("text_md5"), "token_count", "access_count")
+
+
 def boltzmann_seeded(spark, d):
     return _places(boltzmann.survivors(_energies(spark, d), KEY, 0.8))
 
@@ -416,7 +447,7 @@ ALL = (
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
     memory_summary, memory_stream, memory_events, memory_state, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
     logprob_energy, token_places, model_energy, model_quench, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
-    embedding_fallback, write_back, reply_quench, compress_spans_memory,
+    embedding_fallback, write_back, reply_quench, compress_spans_memory, compress_spans_batches, spans_store,
 )
 
 

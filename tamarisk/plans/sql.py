@@ -213,14 +213,17 @@ def _modelled(config: QuenchConfig) -> str:
     return f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')}, {energy('doc_id', config)}, {MODEL}, en2 AS (SELECT en.* REPLACE (coalesce(model, energy) AS energy), model FROM en LEFT JOIN zm USING (doc_id, idx))"
 
 
-def _twice() -> str:
-    """Spans of turns that say everything twice; half of the conversations come again."""
+def _twice(stored: bool = False) -> str:
+    """Spans of turns that say everything twice; half of the conversations come again.
+    stored: the memory of them instead."""
     twice = "text || chr(10) || chr(10) || text"
     turns = f"tt AS (SELECT conv_id, turn, role, {twice} AS text, text AS one FROM conversations UNION ALL SELECT conv_id + 1000000, turn, role, {twice}, text FROM conversations WHERE conv_id % 2 = 0)"
     spans = "ss AS (SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, role, text, one, count(*) OVER (PARTITION BY conv_id) AS total FROM tt) QUALIFY role IN ('user', 'assistant') AND msg IS DISTINCT FROM max(CASE WHEN role = 'user' THEN msg END) OVER (PARTITION BY conv_id) AND length(text) >= 80)"
     seen = f"sd AS (SELECT *, sha256({norm('text')}) AS digest, length(text) >= 400 AND row_number() OVER (PARTITION BY length(text) >= 400, sha256({norm('text')}) ORDER BY conv_id, msg) > 1 AS seen FROM ss)"
     # Two blocks where each is long enough; else they are one.
     src = f"src AS (SELECT conv_id, msg, text AS whole, CASE WHEN length(one) >= 80 THEN {norm('one')} || chr(10) || chr(10) || '[↳ see block 0]' ELSE text END AS text, {TURN_TEMPERATURE} AS t0 FROM sd WHERE NOT seen)"
+    if stored:
+        return f"WITH {turns}, {spans} SELECT substr(sha256({norm('text')}), 1, 20) AS block_id, md5(arg_min(text, [conv_id, msg])) AS text_md5, arg_min({wc('text')}, [conv_id, msg]) AS token_count, count(*) - 1 AS access_count FROM ss WHERE length(text) >= 400 GROUP BY 1"
     return f"""WITH {turns}, {spans}, {seen}, {src}, {toks('src', 'conv_id, msg')}, {rows('conv_id, msg')}, {energy('conv_id, msg')},
     en2 AS (SELECT en.*, src.t0 FROM en JOIN src USING (conv_id, msg)), {ranking('conv_id, msg').replace('FROM en)', 'FROM en2)')}, {quenching('conv_id, msg', Q, 't0')}, {rebuilt('conv_id, msg')},
     sw AS (SELECT conv_id, msg, {wc('src.whole')} AS words, coalesce(rb.text, CASE WHEN q.n IS NULL THEN src.text ELSE '' END) AS new_text, {wc('src.text')} AS working FROM src LEFT JOIN rb USING (conv_id, msg) LEFT JOIN qd q USING (conv_id, msg)),
@@ -277,6 +280,8 @@ def oracle_sql() -> dict[str, str]:
         "write_back": f"WITH {MESSAGES} SELECT mb.conv_id, mb.msg, mb.role, mb.api, md5(CASE WHEN sp.msg IS NOT NULL THEN 'short: \"' || substr(mb.text, 1, 40) ELSE mb.text END) AS text_md5, CASE WHEN shape IN (0, 4) THEN 0 WHEN shape IN (2, 3) AND mb.role = 'assistant' THEN 2 ELSE 1 END AS n_blocks FROM mb LEFT JOIN sp USING (conv_id, msg)",
         "reply_quench": _turns(output_config(Q), f"role = 'assistant' AND {wc('text')} > 30") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, CASE WHEN s.turn % 2 = 0 THEN 0 ELSE 1 END AS part, md5(CASE WHEN {wc('s.text')} <= 30 OR coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
         "compress_spans_memory": _twice(),
+        "compress_spans_batches": _twice(),
+        "spans_store": _twice(stored=True),
         "detect_api": f"WITH {MESSAGES} SELECT conv_id, any_value(api) AS api, any_value(total) AS n_messages FROM mb GROUP BY conv_id",
         "signed_bodies": f"WITH {MESSAGES} SELECT conv_id, any_value(signed) AS signed, any_value(streaming) AS streaming FROM mb GROUP BY conv_id",
         "route": f"WITH {MESSAGES}, s AS (SELECT conv_id, count(*) AS k FROM sp GROUP BY conv_id) SELECT conv_id, CASE WHEN bool_or(streaming) THEN 'streaming' WHEN bool_or(signed) THEN 'passthrough' WHEN max(k) > 0 THEN 'compress' ELSE 'passthrough' END AS route FROM mb LEFT JOIN s USING (conv_id) GROUP BY conv_id",
