@@ -15,6 +15,7 @@ from tamarisk.functions.text import normalize, word_count
 from tamarisk.operators.dedup import dedup_text
 from tamarisk.operators.memory import ID_DIGITS
 from tamarisk.operators.quench import quench, quench_output, turn_temperature
+from tamarisk.sources.requests import response_texts, write_back_replies
 
 ROLES = ("user", "assistant")
 
@@ -136,3 +137,9 @@ def quench_responses(texts: DataFrame, keys: list[str], text: str = "text", conf
     return quench_output(texts.filter(many), keys, text, config).union(texts.filter(~many | F.col(text).isNull()).select(*keys, F.col(text).alias("quenched_text")))
 
 
+def quench_replies(replies: DataFrame, keys: list[str], config: QuenchConfig | None = None, least_words: int = 30, api: str = "api", raw: str = "raw") -> DataFrame:
+    """Adds new_raw: the reply with its texts over `least_words` words quenched. A reply
+    without any, or that is no JSON, stays byte for byte."""
+    texts = response_texts(replies, keys, api, raw).filter(word_count(F.col("text")) > least_words)
+    done = quench_output(texts, [*keys, "part"], config=config or QuenchConfig())
+    return write_back_replies(replies, done.withColumnRenamed("quenched_text", "text"), keys, api, raw)

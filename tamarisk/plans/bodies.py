@@ -59,3 +59,14 @@ def model_replies(docs: DataFrame) -> DataFrame:
     reply = lambda probs: F.to_json(F.struct(F.array(F.struct(probs.alias("logprobs"))).alias("choices")))
     raw = F.when(F.col("doc_id") % 11 == 0, F.lit('{"choices":[]}')).when(shape == 0, reply(entries)).when(shape == 1, reply(flat)).otherwise(reply(bare))
     return rows.select("doc_id", raw.alias("raw"))
+
+
+def full_replies(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, api, raw: the same with more fields, before and after the texts,
+    whose order and numbers a rewriting must keep."""
+    even = F.col("turn") % 2 == 0
+    text, name = json_string(F.col("text")), F.col("conv_id").cast("string")
+    usage = F.lit('"usage":{"total":12.50,"rate":1e3,"parts":[1.0,{"z":-0.10,"a":null}]}')
+    plain = F.concat(F.lit('{"id":"r-'), name, F.lit('","created":1700000000.250,"choices":[{"index":0,"finish_reason":"stop","message":{"role":"assistant","content":'), text, F.lit(',"refusal":null},"logprobs":null},{"index":1,"message":{"role":"assistant","content":null,"tool_calls":[{"id":"c1","n":2.0}]}}],'), usage, F.lit("}"))
+    blocks = F.concat(F.lit('{"type":"message","content":[{"type":"tool_use","id":"t1","input":{"b":1.10,"a":[]}},{"citations":[],"type":"text","text":'), text, F.lit("}],"), usage, F.lit(',"id":"r-'), name, F.lit('"}'))
+    return conversations.filter("role = 'assistant'").select("conv_id", "turn", F.when(even, "openai").otherwise("anthropic").alias("api"), F.when(even, plain).otherwise(blocks).alias("raw"))

@@ -377,10 +377,10 @@ def embedding_fallback(spark, d):
 
 
 def write_back(spark, d):
-    """Bodies with every planned span shortened, parsed anew."""
+    """Bodies with every planned span compressed, parsed anew."""
     given = bodies.from_conversations(_turns(spark, d))
-    spans = chat.plan_spans(_messages(spark, d), ["conv_id"])
-    new = spans.select("conv_id", "msg", "block", F.concat(F.lit('short: "'), F.substring("text", 1, 40)).alias("text"))
+    done = chat.compress_spans(chat.plan_spans(_messages(spark, d), ["conv_id"]), ["conv_id"])
+    new = done.filter(F.col("new_text").isNotNull()).select("conv_id", "msg", "block", F.col("new_text").alias("text"))
     back = requests.parse(requests.write_back(given, new, ["conv_id"]).select("conv_id", F.col("new_raw").alias("raw")))
     rows = requests.message_rows(back, ["conv_id"])
     return rows.select("conv_id", "msg", "role", "api", F.md5(F.when(F.col("kind") == "string", F.col("text")).otherwise(F.col("blocks")[0]["text"])).alias("text_md5"), F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"))
@@ -392,6 +392,12 @@ def reply_quench(spark, d):
     return chat.quench_responses(texts, ["conv_id", "turn", "part"]).select("conv_id", "turn", "part", F.md5("quenched_text").alias("text_md5"))
 
 
+def reply_write_back(spark, d):
+    """Whole replies of both APIs with their texts quenched."""
+    done = chat.quench_replies(bodies.full_replies(_turns(spark, d)), ["conv_id", "turn"])
+    return done.select("conv_id", "turn", "api", F.md5("new_raw").alias("reply_md5"), (F.col("new_raw") == F.col("raw")).alias("untouched"))
+
+
 def _twice(spark, d):
     """Turns that say everything twice, and half of the conversations again as later ones."""
     turns = _turns(spark, d).withColumn("text", F.concat("text", F.lit("\n\n"), "text"))
@@ -447,7 +453,7 @@ ALL = (
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
     memory_summary, memory_stream, memory_events, memory_state, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
     logprob_energy, token_places, model_energy, model_quench, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
-    embedding_fallback, write_back, reply_quench, compress_spans_memory, compress_spans_batches, spans_store,
+    embedding_fallback, write_back, reply_quench, reply_write_back, compress_spans_memory, compress_spans_batches, spans_store,
 )
 
 

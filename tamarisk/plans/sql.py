@@ -151,8 +151,11 @@ def _turns(config: QuenchConfig, where: str) -> str:
     return f"WITH src AS (SELECT conv_id, turn, text FROM conversations WHERE {where}), {toks('src', 'conv_id, turn')}, {rows('conv_id, turn')}, {energy('conv_id, turn', config)}, {ranking('conv_id, turn')}, {quenching('conv_id, turn', config)}, {rebuilt('conv_id, turn')}"
 
 
-def _spans() -> str:
+def _spans(bodies: bool = False) -> str:
+    """CTE so: the spans of the turns, or of the made-up bodies, compressed."""
     src = f"src AS (SELECT conv_id, msg, text, total, {TURN_TEMPERATURE} AS t0 FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, role, text, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) x QUALIFY role IN ('user', 'assistant') AND msg IS DISTINCT FROM max(CASE WHEN role = 'user' THEN msg END) OVER (PARTITION BY conv_id) AND length(text) >= 80)"
+    if bodies:
+        src = f"{MESSAGES}, src AS (SELECT conv_id, msg, text, total, {TURN_TEMPERATURE} AS t0 FROM sp)"
     # Conversations have no paragraph breaks, so no block repeats within a span.
     return f"""WITH {src}, {toks('src', 'conv_id, msg')}, {rows('conv_id, msg')}, {energy('conv_id, msg')},
     en2 AS (SELECT en.*, src.t0 FROM en JOIN src USING (conv_id, msg)), {ranking('conv_id, msg').replace('FROM en)', 'FROM en2)')}, {quenching('conv_id, msg', Q, 't0')}, {rebuilt('conv_id, msg')},
@@ -277,8 +280,14 @@ def oracle_sql() -> dict[str, str]:
         "quench_frozen": _quenched(FROZEN) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.kept IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
         "kept_similarity": _quenched(BEST) + ", a AS (SELECT doc_id, token, count(*) AS o, count(*) FILTER (WHERE kept) AS k, any_value(e_last) AS e, bool_or(frozen) AS f FROM qr GROUP BY ALL), b AS (SELECT doc_id, sum(e * o) AS al, sum(e * least(o, k)) AS sm, sum(least(o, k)) / sum(o) AS pl, bool_or(f) AS f, sum(k) AS nk FROM a GROUP BY doc_id) SELECT doc_id, round(CASE WHEN f THEN 1.0 WHEN nk = 0 THEN 0.0 WHEN al = 0 THEN pl ELSE least(1.0, sm / al) END, 6) AS similarity, round(pl, 6) AS overlap FROM b",
         "embedding_fallback": f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{WS}]+') AS ws FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM w), c AS (SELECT doc_id, t, count(*) AS o, count(*) FILTER (WHERE i % 3 <> 0) AS k FROM u GROUP BY ALL), f AS (SELECT doc_id, sum(least(o, k)) / sum(o) AS overlap FROM c GROUP BY doc_id), p AS (SELECT w.doc_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM w LEFT JOIN embeddings a ON a.vec_id = w.doc_id LEFT JOIN embeddings b ON b.vec_id = w.doc_id + 1), s AS (SELECT doc_id, list_sum(list_transform(x, lambda v, i: v * y[i])) AS dot, sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v))) AS nn FROM p) SELECT doc_id, round(CASE WHEN nn > 0 THEN dot / nn ELSE coalesce(overlap, 1.0) END, 6) AS similarity FROM s LEFT JOIN f USING (doc_id)",
-        "write_back": f"WITH {MESSAGES} SELECT mb.conv_id, mb.msg, mb.role, mb.api, md5(CASE WHEN sp.msg IS NOT NULL THEN 'short: \"' || substr(mb.text, 1, 40) ELSE mb.text END) AS text_md5, CASE WHEN shape IN (0, 4) THEN 0 WHEN shape IN (2, 3) AND mb.role = 'assistant' THEN 2 ELSE 1 END AS n_blocks FROM mb LEFT JOIN sp USING (conv_id, msg)",
+        "write_back": _spans(bodies=True) + " SELECT mb.conv_id, mb.msg, mb.role, mb.api, md5(CASE WHEN so.shorter THEN so.new_text ELSE mb.text END) AS text_md5, CASE WHEN shape IN (0, 4) THEN 0 WHEN shape IN (2, 3) AND mb.role = 'assistant' THEN 2 ELSE 1 END AS n_blocks FROM mb LEFT JOIN so USING (conv_id, msg)",
         "reply_quench": _turns(output_config(Q), f"role = 'assistant' AND {wc('text')} > 30") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, CASE WHEN s.turn % 2 = 0 THEN 0 ELSE 1 END AS part, md5(CASE WHEN {wc('s.text')} <= 30 OR coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
+        "reply_write_back": _turns(output_config(Q), f"role = 'assistant' AND {wc('text')} > 30") + f""", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl),
+    nw AS (SELECT s.conv_id, s.turn, s.text AS old, CASE WHEN {wc('s.text')} <= 30 OR coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END AS new FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)),
+    us AS (SELECT *, '"usage":{{"total":12.50,"rate":1e3,"parts":[1.0,{{"z":-0.10,"a":null}}]}}' AS usage FROM nw)
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS api, md5(CASE WHEN turn % 2 = 0
+      THEN '{{"id":"r-' || conv_id || '","created":1700000000.250,"choices":[{{"index":0,"finish_reason":"stop","message":{{"role":"assistant","content":' || to_json(new) || ',"refusal":null}},"logprobs":null}},{{"index":1,"message":{{"role":"assistant","content":null,"tool_calls":[{{"id":"c1","n":2.0}}]}}}}],' || usage || '}}'
+      ELSE '{{"type":"message","content":[{{"type":"tool_use","id":"t1","input":{{"b":1.10,"a":[]}}}},{{"citations":[],"type":"text","text":' || to_json(new) || '}}],' || usage || ',"id":"r-' || conv_id || '"}}' END) AS reply_md5, old = new AS untouched FROM us""",
         "compress_spans_memory": _twice(),
         "compress_spans_batches": _twice(),
         "spans_store": _twice(stored=True),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.functions.text import bound
 from tamarisk.operators.dedup import MIN_BLOCK_CHARS
 
 TOOL_BLOCKS = ("tool_use", "tool_result")
@@ -92,49 +93,83 @@ def json_string(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 
 
-def _given(text: Column, v: Column) -> Column:
-    """A value's JSON. text: as Spark reads it from JSON as a string, which keeps
-    objects and lists as they were given."""
-    return F.when(_kind(v).isin("OBJECT", "ARRAY"), text).otherwise(F.to_json(v))
+#: JSON's lexemes; together they are the whole text.
+LEXEME = r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:]+'''
+_FRAME = "struct<k:string,o:boolean,want:boolean>"
 
 
-def _object(text: Column, name: str, value: Column) -> Column:
-    """The JSON object with one field set anew, all in their places."""
-    fields, texts = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), F.from_json(text, "map<string,string>")
+def _path(*steps: Column | str) -> Column:
+    """Of a value: keys as JSON strings, and indices."""
+    return F.concat_ws("/", *[F.lit(f'"{x}"') if isinstance(x, str) else x.cast("string") for x in steps])
 
-    def field(key: Column) -> Column:
-        return F.concat(json_string(key), F.lit(":"), F.when(key == name, value).otherwise(_given(F.try_element_at(texts, key), F.try_element_at(fields, key))))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.json_object_keys(text), field), ","), F.lit("}"))
+def splice(raw: Column, new: Column) -> Column:
+    """The JSON text with some of its strings replaced and every other character as it
+    was. new: array of (path, text). A path without a string is passed over.
 
+    The text is cut to lexemes, and one pass over them keeps the path of each: for
+    every open object its last key, for every open array its index."""
+    lexemes = F.regexp_extract_all(raw, F.lit(LEXEME), F.lit(0))
+    frame = lambda k, o, want: F.struct(k.alias("k"), o.alias("o"), want.alias("want")).cast(_FRAME)
+    yes, no = F.lit(True), F.lit(False)
 
-def _items(text: Column, name: str) -> Column:
-    """A field's list as JSON texts, each as it was given."""
-    return F.from_json(text, f"struct<{name}:array<string>>")[name]
+    def step(state: Column, t: Column) -> Column:
+        path = state["path"]
+        below, top = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))), F.get(path, F.size(path) - 1)
+        inner = F.coalesce(top["o"], no)
+        key = inner & top["want"] & t.startswith('"')
+        moved = (
+            F.when(t == "{", F.concat(path, F.array(frame(F.lit(None).cast("string"), yes, yes))))
+            .when(t == "[", F.concat(path, F.array(frame(F.lit("0"), no, no))))
+            .when(t.isin("}", "]"), below)
+            .when((t == ",") & inner, F.concat(below, F.array(frame(top["k"], yes, yes))))
+            .when(t == ",", F.concat(below, F.array(frame((top["k"].cast("int") + 1).cast("string"), no, no))))
+            .when(key, F.concat(below, F.array(frame(t, yes, no))))
+            .otherwise(path)
+        )
+        here = F.array_join(F.transform(path, lambda f: f["k"]), "/")
+        found = F.get(F.filter(new, lambda r: r["path"] == here), F.lit(0))["text"]
+        hit = F.when(t.startswith('"') & ~key & found.isNotNull(), json_string(found))
+        hits = F.when(hit.isNotNull(), F.concat(state["hits"], F.array(F.struct(state["i"].alias("i"), hit.alias("text"))))).otherwise(state["hits"])
+        return F.struct((state["i"] + 1).alias("i"), moved.alias("path"), hits.alias("hits"))
 
+    start = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<{_FRAME}>").alias("path"), F.array().cast("array<struct<i:int,text:string>>").alias("hits"))
 
-def write_back(df: DataFrame, replacements: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """Adds new_raw: the body with texts replaced. replacements: keys, msg, block
-    (null for string content), text. A replacement that doesn't fit the content's
-    kind is passed over; a body without one stays byte for byte."""
-    listed = replacements.groupBy(*keys).agg(F.collect_list(F.struct("msg", "block", F.col("text").alias("new"))).alias("__r"))
-    joined = df.join(listed, keys, "left").withColumn("__body", F.try_parse_json(F.col(raw)))
+    def spliced(all_: Column) -> Column:
+        def joined(hits: Column) -> Column:
+            mine = lambda i: F.get(F.filter(hits, lambda h: h["i"] == i), F.lit(0))["text"]
+            return F.when(F.size(hits) == 0, raw).otherwise(F.array_join(F.transform(all_, lambda t, i: F.coalesce(mine(i), t)), ""))
 
-    def found(msg: Column, block: Column | None) -> Column:
-        mine = F.filter("__r", lambda r: (r["msg"] == msg) & (r["block"].isNull() if block is None else r["block"].eqNullSafe(block)))
-        return F.get(mine, F.lit(0))["new"]
+        return bound(F.aggregate(all_, start, step, lambda s: s["hits"]), joined)
+
+    return bound(lexemes, spliced)
+
+
+def _spliced(df: DataFrame, replacements: DataFrame, keys: list[str], path: Column, raw: str) -> DataFrame:
+    listed = replacements.filter(F.col("text").isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(path.alias("path"), "text")).alias("__r"))
+    joined = df.join(listed, keys, "left")
+    valid = F.col("__r").isNotNull() & F.try_parse_json(F.col(raw)).isNotNull()
+    return joined.withColumn("new_raw", F.when(valid, splice(F.col(raw), F.col("__r"))).otherwise(F.col(raw))).drop("__r")
+
+
+def write_back(df: DataFrame, replacements: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """Adds new_raw: the body with texts replaced, all else as it was given.
+    replacements: keys, msg, block (null for string content), text. A replacement that
+    doesn't fit the content's kind is passed over; a body without one stays byte for
+    byte."""
+    whole = _path("messages", F.col("msg"), "content")
+    path = F.when(F.col("block").isNull(), whole).otherwise(F.concat_ws("/", whole, _path(F.col("block"), "text")))
+    return _spliced(df, replacements, keys, path, raw)
 
-    def message(text: Column, m: Column, i: Column) -> Column:
-        content = _field(m, "content")
-        plain = F.when((_kind(content) == "STRING") & found(i, None).isNotNull(), _object(text, "content", json_string(found(i, None))))
-        block = lambda p, k: F.when((_kind(p["v"]) == "OBJECT") & found(i, k).isNotNull(), _object(p["t"], "text", json_string(found(i, k)))).otherwise(_given(p["t"], p["v"]))
-        blocks = F.transform(F.zip_with(_items(text, "content"), _list(content), lambda t, v: F.struct(t.alias("t"), v.alias("v"))), block)
-        some = F.exists("__r", lambda r: (r["msg"] == i) & r["block"].isNotNull())
-        return F.coalesce(plain, F.when((_kind(content) == "ARRAY") & some, _object(text, "content", F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))), text)
 
-    listed = F.zip_with(_items(F.col(raw), "messages"), _list(_field(F.col("__body"), "messages")), lambda t, v: F.struct(_given(t, v).alias("t"), v.alias("v")))
-    made = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda p, i: message(p["t"], p["v"], i)), ","), F.lit("]"))
-    return joined.withColumn("new_raw", F.when(F.col("__r").isNull(), F.col(raw)).otherwise(F.coalesce(_object(F.col(raw), "messages", made), F.col(raw)))).drop("__r", "__body")
+def write_back_replies(df: DataFrame, replacements: DataFrame, keys: list[str], api: str = "api", raw: str = "raw") -> DataFrame:
+    """Adds new_raw: the reply with texts replaced where its API keeps them, all else as
+    it was given. replacements: keys, part (as in `response_texts`), text. A part that
+    has no text in the reply is passed over; a reply without a replacement stays byte
+    for byte."""
+    own = replacements.select(*keys, "part", "text").join(df.select(*keys, F.col(api).alias("__api")), keys)
+    path = F.when(F.col("__api") == "openai", _path("choices", F.col("part"), "message", "content")).otherwise(_path("content", F.col("part"), "text"))
+    return _spliced(df, own, keys, path, raw)
 
 
 def response_texts(df: DataFrame, keys: list[str], api: str = "api", raw: str = "raw") -> DataFrame:
@@ -175,4 +210,4 @@ def logprob_entries(df: DataFrame, keys: list[str], raw: str = "raw") -> DataFra
     return out.withColumn("__after", after).select(*keys, "pos", start.alias("start"), (start + F.col("__n")).alias("stop"), "energy")
 
 
-__all__ = ["MIN_BLOCK_CHARS", "has_blocks", "json_string", "logprob_energies", "logprob_entries", "message_rows", "messages", "parse", "response_texts", "route", "write_back"]
+__all__ = ["MIN_BLOCK_CHARS", "has_blocks", "json_string", "logprob_energies", "logprob_entries", "message_rows", "messages", "parse", "response_texts", "route", "splice", "write_back", "write_back_replies"]
