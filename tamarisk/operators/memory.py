@@ -6,12 +6,15 @@ by one grouped aggregate; the first text of an id, in arrival order, stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.config import QuenchConfig
-from tamarisk.functions.text import content_hash, strip, word_count
-from tamarisk.operators.quench import quench
+from tamarisk.functions.text import content_hash, has_token, strip, word_count
+from tamarisk.operators.energy import energies
+from tamarisk.operators.quench import finish, quench
 
 ID_DIGITS = 20
 REFERENCE_COST = 0.01
@@ -76,13 +79,73 @@ def request_blocks(messages: DataFrame, request: list[str], order: str, text: st
     return cut.select(*request, F.posexplode_outer("__p").alias("pos", "block"))
 
 
-def compress(messages: DataFrame, request: list[str], order: str, text: str = "text", config: QuenchConfig | None = None, memory: DataFrame | None = None, shared: bool = False) -> DataFrame:
+#: From texts (keys, text) to token rows, as `energy.energies` makes them: keys, idx,
+#: token, n, frozen, energy.
+EnergyFn = Callable[[DataFrame, list[str], str, QuenchConfig], DataFrame]
+#: From token rows to one row for each of their keys, with tokens_kept.
+QuenchFn = Callable[[DataFrame, list[str], QuenchConfig], DataFrame]
+
+
+def estimated(texts: DataFrame, keys: list[str], text: str, config: QuenchConfig) -> DataFrame:
+    return energies(texts, keys, text, config)
+
+
+def _has(made: DataFrame, columns: list[str], what: str) -> None:
+    if missing := [c for c in columns if c not in made.columns]:
+        raise ValueError(f"{what} gave no column {', '.join(missing)}")
+
+
+def checked_energies(made: DataFrame, keys: list[str]) -> DataFrame:
+    """Token rows of an energy function. Each text must have n of them, with places 0
+    to n - 1, a number as energy and frozen set: else reading them is an error."""
+    _has(made, [*keys, "idx", "token", "n", "frozen", "energy"], "the energy function")
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.lag("idx").over(whole.orderBy("idx")), F.lit(-1))
+    rows = made.withColumns({"__rows": F.count("*").over(whole), "__step": F.col("idx") - before})
+    good = (F.col("__rows") == F.col("n")) & (F.col("__step") == 1) & F.col("energy").isNotNull() & ~F.isnan("energy") & F.col("frozen").isNotNull()
+    fault = F.raise_error(F.lit("the energy function must keep each token of a text, once, with an energy")).cast("double")
+    return rows.withColumn("energy", F.when(F.coalesce(good, F.lit(False)), F.col("energy").cast("double")).otherwise(fault)).drop("__rows", "__step")
+
+
+def checked_quench(made: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tokens_kept of a quenching function. Each text must have one row, with a
+    number, and no other key may: else reading them is an error."""
+    _has(made, [*keys, "tokens_kept"], "the quenching function")
+    own = made.groupBy(*keys).agg(F.count("*").alias("__rows"), F.max("tokens_kept").cast("long").alias("__kept"))
+    given = texts.select(*keys).withColumn("__given", F.lit(True))
+    good = (F.col("__rows") == 1) & F.col("__given") & (F.col("__kept") >= 0)
+    fault = F.raise_error(F.lit("the quenching function must give each text one row with tokens_kept")).cast("long")
+    joined = given.join(own, keys, "full_outer")
+    return joined.select(*keys, F.when(F.coalesce(good, F.lit(False)), F.col("__kept")).otherwise(fault).alias("tokens_kept"))
+
+
+def _kept(novel: DataFrame, request: list[str], config: QuenchConfig, quench_fn: QuenchFn | None, energy_fn: EnergyFn | None) -> DataFrame:
+    """request, __kept of novel texts. A text without tokens keeps none and reaches no
+    function."""
+    if quench_fn is None and energy_fn is None:
+        done = quench(novel, request, "__novel", config)
+        return done.select(*request, F.col("tokens_kept").alias("__kept"))
+    some = novel.filter(has_token(F.col("__novel")))
+    rows = (energy_fn or estimated)(some, request, "__novel", config)
+    if energy_fn is not None:
+        rows = checked_energies(rows, request)
+    if quench_fn is None:
+        return finish(rows, novel, request, "__novel", config).select(*request, F.col("tokens_kept").alias("__kept"))
+    done = checked_quench(quench_fn(rows, request, config), some, request).withColumnRenamed("tokens_kept", "__kept")
+    return done.unionByName(novel.filter(~has_token(F.col("__novel"))).select(*request, F.lit(0).cast("long").alias("__kept")))
+
+
+def compress(
+    messages: DataFrame, request: list[str], order: str, text: str = "text", config: QuenchConfig | None = None, memory: DataFrame | None = None, shared: bool = False,
+    quench_fn: QuenchFn | None = None, energy_fn: EnergyFn | None = None,
+) -> DataFrame:
     """One row per request: what memory and quenching save.
 
     A block is repeated if the store has it or an earlier block has its content:
     earlier in the same request, or with `shared` in any request before (by the
     request's columns). Novel blocks over LEAST_NOVEL words are quenched together.
-    Novel words are counted as words, what quenching keeps as tokens."""
+    Novel words are counted as words, what quenching keeps as tokens. quench_fn and
+    energy_fn take the place of the library's own; what they give is checked."""
     config = config or QuenchConfig()
     rows = request_blocks(messages, request, order, text).withColumn("block_id", block_id(F.col("block"))).withColumn("words", word_count(F.col("block")))
     if shared:  # a block that many requests hold is summed up first and met by a join
@@ -96,10 +159,16 @@ def compress(messages: DataFrame, request: list[str], order: str, text: str = "t
     novel = F.when(~F.col("__seen"), F.struct("pos", F.col("block").alias("b")))
     sums = rows.groupBy(*request).agg(F.sum("words").alias("total"), F.sum(F.when(F.col("__seen"), F.col("words")).otherwise(0)).alias("repeated"), F.array_join(F.transform(F.array_sort(F.collect_list(novel)), lambda x: x["b"]), "\n\n").alias("__novel"))
     sums = sums.withColumn("novel", F.col("total") - F.col("repeated"))
-    quenched = quench(sums.filter(F.col("novel") > LEAST_NOVEL), request, "__novel", config).select(*request, F.col("tokens_kept").alias("__kept"))
+    quenched = _kept(sums.filter(F.col("novel") > LEAST_NOVEL), request, config, quench_fn, energy_fn)
     return bounds(sums.drop("__novel").join(quenched, request, "left").withColumn("after", F.coalesce("__kept", "novel")).withColumn("r_quench", F.when(F.col("__kept").isNull(), 0.0).otherwise(1.0 - F.col("__kept") / F.col("novel"))), request)
 
 
+def remembered(messages: DataFrame, request: list[str], order: str, text: str = "text", memory: DataFrame | None = None) -> DataFrame:
+    """The store after `compress` has seen the requests one after the other: novel
+    blocks enter it, and each block found counts as an access."""
+    return store(request_blocks(messages, request, order, text).filter(F.col("block").isNotNull()), [*request, "pos"], "block", memory)
+
+
 def bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the reductions, from total, repeated, novel, after and r_quench."""
     cost = F.col("repeated") * REFERENCE_COST

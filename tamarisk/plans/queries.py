@@ -217,6 +217,41 @@ def memory_compress(spark, d):
     return _compressed(spark, d).select("bundle", "tokens_original", "tokens_repeated", "tokens_novel", F.round("memory_reduction", 6).alias("memory_reduction"), "tokens_after_quench", F.round("quench_reduction", 6).alias("quench_reduction"), "tokens_final", F.round("total_reduction", 6).alias("total_reduction"), F.round("theoretical_bound", 6).alias("theoretical_bound"))
 
 
+def _by_length(texts, keys, text, config):
+    """Energies of another kind: the square of a token's share of ten characters."""
+    rows = energy.tokens(texts, keys, text)
+    return rows.withColumns({"frozen": F.lit(False), "energy": F.pow(F.length("token") / 10.0, 2)})
+
+
+def _above(rows, keys, config):
+    """Quenching of another kind: tokens of at least a fourth of the energy that is most."""
+    return rows.groupBy(*keys).agg(F.sum(F.when(F.col("frozen") | (F.round("energy", 9) >= 0.25), 1).otherwise(0)).alias("tokens_kept"))
+
+
+def _hooked(rows):
+    return rows.select("bundle", "tokens_original", "tokens_novel", "tokens_after_quench", F.round("quench_reduction", 6).alias("quench_reduction"), "tokens_final", F.round("total_reduction", 6).alias("total_reduction"))
+
+
+def memory_energy_hook(spark, d):
+    """What memory and quenching save, by energies of the caller's."""
+    return _hooked(memory.compress(_bundled(spark, d), ["bundle"], "doc_id", energy_fn=_by_length))
+
+
+def memory_quench_hook(spark, d):
+    """The same by the caller's quenching, and by both."""
+    one = memory.compress(_bundled(spark, d), ["bundle"], "doc_id", quench_fn=_above)
+    both = memory.compress(_bundled(spark, d), ["bundle"], "doc_id", quench_fn=_above, energy_fn=_by_length)
+    return _hooked(one).withColumn("hooks", F.lit(1)).union(_hooked(both).withColumn("hooks", F.lit(2)))
+
+
+def memory_remembered(spark, d):
+    """The store after requests, on one that was there before."""
+    docs = _docs(spark, d).filter(F.col("text").isNotNull()).select("doc_id", "text")
+    before = memory.store(docs.filter("doc_id % 10 = 3"), ["doc_id"])
+    after = memory.remembered(docs, ["doc_id"], "doc_id", memory=before)
+    return after.select("block_id", F.md5("text").alias("text_md5"), "token_count", "access_count")
+
+
 def memory_bounds(spark, d):
     p = F.col("tokens_repeated") / F.col("tokens_original")
     return _compressed(spark, d).select("bundle", F.round(p, 6).alias("p"), F.round(memory.combined_reduction(p, F.col("quench_reduction")), 6).alias("combined"))
@@ -451,7 +486,7 @@ ALL = (
     token_counts, math_spans, tokens_by_class, word_counts, block_hashes, chunk_df, idf, frozen_tokens, token_energy, cutoff_half, schedule_curve,
     quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_output, response_quench, turn_temperature, count_overlap,
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
-    memory_summary, memory_stream, memory_events, memory_state, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
+    memory_summary, memory_stream, memory_events, memory_state, memory_energy_hook, memory_quench_hook, memory_remembered, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
     logprob_energy, token_places, model_energy, model_quench, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,
     embedding_fallback, write_back, reply_quench, reply_write_back, compress_spans_memory, compress_spans_batches, spans_store,
 )

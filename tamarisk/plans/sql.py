@@ -163,9 +163,14 @@ def _spans(bodies: bool = False) -> str:
     so AS (SELECT *, new_text IS NOT NULL AND new_words < words AS shorter FROM sw)"""
 
 
-def memory(key: str, seen: str) -> str:
+def memory(key: str, seen: str, kept: str | None = None, by_length: bool = False) -> str:
     """CTE mx: what memory and quenching save for each value of the key. seen: of a
-    block with columns bundle, pos and id."""
+    block with columns bundle, pos and id. kept: which rows of en (by_length: with
+    other energies) are kept, where not by the schedule."""
+    tokens = f"{toks('src', 'bundle')}, {rows('bundle')}, {energy('bundle')}"
+    if by_length:
+        tokens = tokens.replace("\nen AS (", "\neo AS (") + ", en AS (SELECT * REPLACE (pow(length(token) / 10.0::DOUBLE, 2) AS energy, false AS frozen) FROM eo)"
+    counted = f"mk AS (SELECT bundle, count(*) FILTER (WHERE {kept}) AS kept FROM en GROUP BY bundle)" if kept else f"{ranking('bundle')}, {quenching('bundle')}, mk AS (SELECT bundle, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY bundle)"
     return f"""
 mm AS (SELECT {key} AS bundle, doc_id, text FROM documents WHERE text IS NOT NULL),
 mj AS (SELECT bundle, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS j FROM mm GROUP BY bundle),
@@ -174,15 +179,16 @@ mr AS (SELECT bundle, unnest(p) AS block, unnest(range(len(p))) AS pos FROM ms),
 mi AS (SELECT *, {wc('block')} AS words, substr(sha256({norm('block')}), 1, 20) AS id FROM mr),
 mh AS (SELECT *, {seen} AS seen FROM mi),
 mt AS (SELECT bundle, sum(words) AS total, sum(CASE WHEN seen THEN words ELSE 0 END) AS repeated, string_agg(CASE WHEN NOT seen THEN block END, chr(10) || chr(10) ORDER BY pos) AS novel_text FROM mh GROUP BY bundle),
-src AS (SELECT bundle, novel_text AS text FROM mt WHERE total - repeated > 10), {toks('src', 'bundle')}, {rows('bundle')}, {energy('bundle')}, {ranking('bundle')}, {quenching('bundle')},
-mk AS (SELECT bundle, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY bundle),
+src AS (SELECT bundle, novel_text AS text FROM mt WHERE total - repeated > 10), {tokens}, {counted},
 mo AS (SELECT bundle, total AS tokens_original, repeated AS tokens_repeated, total - repeated AS tokens_novel, (repeated - repeated * 0.01::DOUBLE) / total AS memory_reduction,
          coalesce(kept, total - repeated) AS tokens_after_quench, CASE WHEN kept IS NULL THEN 0.0 ELSE 1.0 - kept / (total - repeated) END AS quench_reduction,
          floor(repeated * 0.01::DOUBLE + coalesce(kept, total - repeated)) AS tokens_final FROM mt LEFT JOIN mk USING (bundle)),
 mx AS (SELECT *, 1.0 - tokens_final / tokens_original AS total_reduction, 1.0 - (1.0 - memory_reduction) * (1.0 - quench_reduction) AS theoretical_bound FROM mo)"""
 
 
-MEMORY = memory("substr(md5(text), 1, 2) || '-' || (doc_id // 100000)", "row_number() OVER (PARTITION BY bundle, id ORDER BY pos) > 1")
+BUNDLE, AGAIN = "substr(md5(text), 1, 2) || '-' || (doc_id // 100000)", "row_number() OVER (PARTITION BY bundle, id ORDER BY pos) > 1"
+MEMORY = memory(BUNDLE, AGAIN)
+HOOKED = "SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_novel::BIGINT AS tokens_novel, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction"
 SHARED = memory("doc_id", f"(row_number() OVER (PARTITION BY id ORDER BY bundle, pos) > 1 OR id IN (SELECT substr(sha256({norm('text')}), 1, 20) FROM documents WHERE doc_id % 10 = 3 AND text IS NOT NULL))")
 
 
@@ -269,6 +275,9 @@ def oracle_sql() -> dict[str, str]:
         "memory_events": f"WITH {EVENTS} SELECT doc_id, id AS block_id, is_store, coalesce(stored < doc_id, false) AS found, met AS access_count, CASE WHEN stored <= doc_id THEN stored END AS created FROM em",
         "memory_state": f"WITH {EVENTS} SELECT id AS block_id, md5(arg_min(text, doc_id)) AS text_md5, arg_min({wc('text')}, doc_id) AS token_count, max(met) AS access_count, any_value(stored) AS created FROM em WHERE stored <= doc_id GROUP BY id",
         "memory_compress": f"WITH {MEMORY} SELECT bundle, tokens_original::BIGINT AS tokens_original, tokens_repeated::BIGINT AS tokens_repeated, tokens_novel::BIGINT AS tokens_novel, round(memory_reduction, 6) AS memory_reduction, tokens_after_quench::BIGINT AS tokens_after_quench, round(quench_reduction, 6) AS quench_reduction, tokens_final::BIGINT AS tokens_final, round(total_reduction, 6) AS total_reduction, round(theoretical_bound, 6) AS theoretical_bound FROM mx",
+        "memory_energy_hook": f"WITH {memory(BUNDLE, AGAIN, by_length=True)} {HOOKED} FROM mx",
+        "memory_quench_hook": " UNION ALL ".join(f"SELECT * FROM (WITH {memory(BUNDLE, AGAIN, 'frozen OR round(energy, 9) >= 0.25', k == 2)} {HOOKED}, {k} AS hooks FROM mx)" for k in (1, 2)),
+        "memory_remembered": f"WITH h AS (SELECT doc_id, text, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), o AS (SELECT id, arg_min(text, doc_id) AS text, count(*) AS n FROM h WHERE doc_id % 10 = 3 GROUP BY id), a AS (SELECT id, arg_min(text, doc_id) AS text, count(*) AS n FROM h GROUP BY id) SELECT id AS block_id, md5(coalesce(o.text, a.text)) AS text_md5, {wc('coalesce(o.text, a.text)')} AS token_count, a.n + coalesce(o.n, 0) - 1 AS access_count FROM a LEFT JOIN o USING (id)",
         "memory_bounds": f"WITH {MEMORY} SELECT bundle, round(tokens_repeated / tokens_original, 6) AS p, round(tokens_repeated / tokens_original * (1 - 0.01::DOUBLE) + (1 - tokens_repeated / tokens_original) * quench_reduction, 6) AS combined FROM mx",
         "memory_summary": f"WITH {MEMORY} SELECT bundle, concat_ws(chr(10), 'Memory-aware compression:', format('  Original: {{}} tokens', tokens_original::BIGINT), format('  Memory saved: {{}} tokens (R_mem = {{:.1f}}%)', tokens_repeated::BIGINT, round(memory_reduction * 100, 1)), format('  Novel content: {{}} tokens', tokens_novel::BIGINT), format('  After quenching: {{}} tokens (R_quench = {{:.1f}}%)', tokens_after_quench::BIGINT, round(quench_reduction * 100, 1)), format('  Final: {{}} tokens (R_total = {{:.1f}}%)', tokens_final::BIGINT, round(total_reduction * 100, 1)), format('  Theorem 9 bound: R_total = 1 - (1-R_mem)(1-R_quench) = {{:.1f}}%', round(theoretical_bound * 100, 1))) AS report FROM mx",
         "memory_found": f"WITH h AS (SELECT doc_id, substr(sha256({norm('text')}), 1, 20) AS id FROM documents WHERE text IS NOT NULL), s AS (SELECT DISTINCT id FROM h WHERE doc_id % 2 = 0) SELECT doc_id, s.id AS found_id FROM h LEFT JOIN s USING (id) WHERE doc_id % 2 = 1",
