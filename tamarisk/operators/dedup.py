@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarisk.functions.arrays import scan
 from tamarisk.functions.text import WS, bound, content_hash, normalize, word_count
 
 MIN_BLOCK_CHARS = 80
@@ -13,22 +14,17 @@ MIN_BLOCK_CHARS = 80
 def blocks(text: Column, min_chars: int = MIN_BLOCK_CHARS) -> Column:
     """Paragraphs; short ones are joined until they are long enough, or until a
     long one or the end follows."""
-    raw = F.split(text, rf"\n[{WS}]*\n", -1)
     none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("held"))
 
-    def fold(state: Column, block: Column) -> Column:
-        done, held = state["done"], state["held"]
+    def step(held: Column, block: Column) -> tuple[Column, Column]:
         merged = F.when(held.isNull(), block).otherwise(F.concat_ws("\n\n", held, block))
         short = F.length(block) < min_chars
-        return (
-            F.when(short & (F.length(merged) >= min_chars), F.struct(F.concat(done, F.array(merged)).alias("done"), none.alias("held")))
-            .when(short, F.struct(done.alias("done"), merged.alias("held")))
-            .when(held.isNull(), F.struct(F.concat(done, F.array(block)).alias("done"), none.alias("held")))
-            .otherwise(F.struct(F.concat(done, F.array(held, block)).alias("done"), none.alias("held")))
-        )
+        full = short & (F.length(merged) >= min_chars)
+        done = F.when(full, F.array(merged)).when(short, F.array().cast("array<string>")).when(held.isNull(), F.array(block)).otherwise(F.array(held, block))
+        return F.when(short & ~full, merged), done
 
-    return F.aggregate(raw, start, fold, lambda s: F.when(s["held"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))))
+    found = scan(F.split(text, rf"\n[{WS}]*\n", -1), none, step, "array<string>")
+    return bound(found, lambda s: F.when(s["carry"].isNull(), s["outs"]).otherwise(F.concat(s["outs"], F.array(s["carry"]))))
 
 
 def block_rows(df: DataFrame, keys: list[str], text: str = "text", min_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
@@ -46,13 +42,26 @@ def reference(first: Column) -> Column:
     return F.concat(F.lit("[↳ see block "), first.cast("string"), F.lit("]"))
 
 
+def first_places(items: Column) -> Column:
+    """For each item the place, from 0, of the first that equals it."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+    def step(carry: Column, item: Column) -> tuple[Column, Column]:
+        first = F.when(carry["x"] == item["x"], carry["i"]).otherwise(item["i"])
+        return F.struct(item["x"].alias("x"), first.alias("i")), F.array(F.struct(item["i"].alias("i"), first.alias("first")))
+
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(None).cast("int").alias("i"))
+    return F.transform(F.array_sort(scan(placed, start, step, "array<struct<i:int,first:int>>")["outs"]), lambda o: o["first"])
+
+
 def dedup_text(text: Column, min_chars: int = MIN_BLOCK_CHARS) -> Column:
     """The text with repeats referred to, as one expression: for short texts, such
     as a message's; `dedup` explodes blocks instead."""
 
     def shown(own: Column) -> Column:
-        place = lambda b: F.array_position(own, b)
-        return F.when(F.size(own) < 2, text).otherwise(F.array_join(F.transform(own, lambda b, i: F.when(place(b) == i + 1, b).otherwise(reference(place(b) - 1))), "\n\n"))
+        one = lambda first: lambda b, i: F.when(F.get(first, i) == i, b).otherwise(reference(F.get(first, i)))
+        joined = bound(first_places(own), lambda first: F.array_join(F.transform(own, one(first)), "\n\n"))
+        return F.when(F.size(own) < 2, text).otherwise(joined)
 
     return bound(F.transform(blocks(text, min_chars), lambda b: normalize(b)), shown)
 
