@@ -8,6 +8,8 @@ place (the nearest verb), then by token and place (all else).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +145,9 @@ def positional(idx: Column, n: Column) -> Column:
     return F.when(n == 1, F.lit(1.0)).otherwise(0.1 + 0.8 * (F.exp(-idx / half) - least) / (1.0 - least))
 
 
-def energies(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, tokenized: bool = False) -> DataFrame:
-    """keys, idx, token, n, frozen, e_stat, e_struct, e_pos, e_domain, energy (of
-    frozen tokens too; it counts for none of them)."""
-    config = config or QuenchConfig()
+def factors(df: DataFrame, keys: list[str], text: str = "text", tokenized: bool = False) -> DataFrame:
+    """Token rows with all that no configuration changes: keys, idx, token, n, tf_count,
+    df, chunks, idf, e_stat, e_struct, e_pos, e_domain."""
     rows = given_tokens(df, keys, text) if tokenized else tokens(df, keys, text)
     verb = F.when(F.lower("token").isin(*TASK_VERBS), F.col("idx"))
     order = Window.partitionBy(*keys).orderBy("idx")
@@ -161,6 +162,42 @@ def energies(df: DataFrame, keys: list[str], text: str = "text", config: QuenchC
     tf = (F.col("tf_count") + 1) / (F.col("n") + F.col("n_distinct"))
     rows = rows.withColumn("__stat", F.when(is_blank(F.col("token")), F.lit(0.0)).otherwise(tf * F.col("idf"))).withColumn("__struct", structural_weight(F.col("token")))
     rows = rows.withColumns({"e_stat": _scaled("__stat", keys), "e_struct": _scaled("__struct", keys), "e_pos": positional(F.col("idx"), F.col("n"))})
+    return rows.select(*keys, "idx", "token", "n", "tf_count", "df", "chunks", "idf", "e_stat", "e_struct", "e_pos", "e_domain")
+
+
+def _total(config: QuenchConfig) -> Column:
     w = config.energy_weights
     total = w.w_statistical * F.col("e_stat") + w.w_structural * F.col("e_struct") + DOMAIN_WEIGHT * F.col("e_domain") + w.w_positional * F.col("e_pos")
-    return rows.select(*keys, "idx", "token", "n", "tf_count", "df", "chunks", "idf", is_frozen(F.col("token"), config.frozen_patterns).alias("frozen"), "e_stat", "e_struct", "e_pos", "e_domain", (total * total).alias("energy"))
+    return total * total
+
+
+_COLUMNS = ("idx", "token", "n", "tf_count", "df", "chunks", "idf", "frozen", "e_stat", "e_struct", "e_pos", "e_domain", "energy")
+
+
+def energies(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None, tokenized: bool = False) -> DataFrame:
+    """keys, idx, token, n, frozen, e_stat, e_struct, e_pos, e_domain, energy (of
+    frozen tokens too; it counts for none of them)."""
+    config = config or QuenchConfig()
+    rows = factors(df, keys, text, tokenized)
+    return rows.withColumns({"frozen": is_frozen(F.col("token"), config.frozen_patterns), "energy": _total(config)}).select(*keys, *_COLUMNS)
+
+
+def by_profile(profiles: dict[str, QuenchConfig], value: Callable[[QuenchConfig], Column | float | int], profile: str = "profile") -> Column:
+    """A value of the profile that the row names; any other name is an error."""
+    out = F.when(F.col(profile).isNull(), F.raise_error(F.lit("a row names no profile")))
+    for name, config in profiles.items():
+        made = value(config)
+        out = out.when(F.col(profile) == name, made if isinstance(made, Column) else F.lit(made))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no such profile: "), F.col(profile))))
+
+
+def profiled(df: DataFrame, keys: list[str], profiles: dict[str, QuenchConfig], text: str = "text", profile: str | None = None) -> DataFrame:
+    """Token rows as `energies` gives them, for each of the profiles, with its name in
+    column profile; or, if `profile` is a column, for the one that the row names. Texts
+    are cut and their factors found once, however many profiles there are."""
+    if profile is None:
+        rows = factors(df, keys, text).withColumn("profile", F.explode(F.array(*[F.lit(name) for name in profiles])))
+    else:
+        rows = factors(df.select(*keys, F.col(profile).alias("profile"), text), [*keys, "profile"], text)
+    frozen = by_profile(profiles, lambda c: is_frozen(F.col("token"), c.frozen_patterns))
+    return rows.withColumns({"frozen": frozen, "energy": by_profile(profiles, _total)}).select(*keys, "profile", *_COLUMNS)

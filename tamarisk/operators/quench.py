@@ -9,13 +9,15 @@ step is iterated, and all windows share the exchange on the text's key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarisk.config import QuenchConfig, output_config
 from tamarisk.functions.text import bound, has_token, strip, tokenize
 from tamarisk.operators.boltzmann import STEPS, stepped
-from tamarisk.operators.energy import energies, is_blank
+from tamarisk.operators.energy import by_profile, energies, is_blank, profiled
 
 #: A response of fewer tokens stays as it is.
 LEAST_OUTPUT = 20
@@ -48,6 +50,28 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({"rank": F.when(free, F.col("rank")), "mass": F.when(free, F.col("mass"))}).drop("__e")
 
 
+@dataclass(frozen=True)
+class Schedule:
+    """What the schedule reads of a configuration, of the profile that a row names."""
+
+    similarity_threshold: Column
+    cooling_rate: Column
+    min_tokens: Column
+    temperature_initial: Column
+
+    @classmethod
+    def of(cls, profiles: dict[str, QuenchConfig]) -> Schedule:
+        if any(c.survival_mode == "boltzmann" for c in profiles.values()):
+            raise ValueError("profiles are swept in deterministic mode")
+        own = lambda name: by_profile(profiles, lambda c: F.lit(getattr(c, name)))
+        return cls(own("similarity_threshold"), own("cooling_rate"), own("min_tokens"), own("temperature_initial").cast("double"))
+
+
+def _start(config: QuenchConfig | Schedule, t0: str | None) -> Column:
+    given = config.temperature_initial
+    return F.col(t0) if t0 else given if isinstance(given, Column) else F.lit(float(given))
+
+
 def cutoff(rows: DataFrame, keys: list[str], fraction: float) -> DataFrame:
     """Survivors at one temperature, given as a fraction of the first."""
     return ranked(rows, keys).filter(F.col("frozen") | (F.col("rank") <= kept_at(F.col("m"), F.lit(float(fraction)))))
@@ -59,11 +83,11 @@ def _part() -> Column:
     return F.when(F.col("total") == 0, F.col("rank") / F.col("m")).otherwise(F.least(F.lit(1.0), F.col("mass") / F.col("total")))
 
 
-def _enough(part: Column, config: QuenchConfig) -> Column:
+def _enough(part: Column, config: QuenchConfig | Schedule) -> Column:
     return F.when(F.round(part, 12) >= config.similarity_threshold, F.col("rank"))
 
 
-def _steps(need: Column, t0: Column, config: QuenchConfig) -> Column:
+def _steps(need: Column, t0: Column, config: QuenchConfig | Schedule) -> Column:
     """The last step that keeps as many tokens as are needed. A frozen token makes
     every fidelity 1, so the schedule runs to its end; texts shorter than min_tokens
     stay as they are."""
@@ -72,16 +96,16 @@ def _steps(need: Column, t0: Column, config: QuenchConfig) -> Column:
     return F.when(F.col("n") < config.min_tokens, 0).when(F.col("m") < F.col("n"), STEPS).otherwise(last)
 
 
-def _keep(t0: Column, config: QuenchConfig) -> Column:
+def _keep(t0: Column, config: QuenchConfig | Schedule) -> Column:
     return F.when(F.col("steps") == 0, F.col("m")).otherwise(kept_at(F.col("m"), fraction_at(F.col("steps"), t0, config.cooling_rate)))
 
 
-def scheduled(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | None = None) -> DataFrame:
+def scheduled(rows: DataFrame, keys: list[str], config: QuenchConfig | Schedule, t0: str | None = None) -> DataFrame:
     """Adds steps, similarity and kept to token rows (from `energies`). t0: a
     column with the first temperature, if it isn't the configuration's."""
     rows = ranked(rows, keys)
     whole = Window.partitionBy(*keys)
-    start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
+    start = _start(config, t0)
     rows = rows.withColumn("__t0", start).withColumn("__part", _part())
     rows = rows.withColumn("__need", F.min(_enough(F.col("__part"), config)).over(whole))
     # The search runs once for each text, at its first token.
@@ -92,11 +116,11 @@ def scheduled(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str |
     return rows.withColumn("similarity", similarity).drop("__t0", "__part", "__need", "__keep", "__first", "e_last", "mass", "total")
 
 
-def _quenched(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | None) -> DataFrame:
+def _quenched(rows: DataFrame, keys: list[str], config: QuenchConfig | Schedule, t0: str | None) -> DataFrame:
     """The same decisions, one row for each text, without a row's way back to its
     tokens: keys, compressed_text, tokens_kept, tokens_total, similarity_score,
     schedule_steps."""
-    start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
+    start = _start(config, t0)
     rows = ranked(rows, keys).withColumn("__part", _part())
     piece = F.when(~is_blank(F.col("token")), F.struct("idx", F.coalesce("rank", F.lit(0)).alias("rank"), strip(F.col("token")).alias("p")))
     texts = rows.groupBy(*keys).agg(
@@ -148,11 +172,11 @@ def quench(df: DataFrame, keys: list[str], text: str = "text", config: QuenchCon
     return finish(energies(df.select(*own, text), own, text, config, tokenized), df, keys, text, config, t0, tokenized)
 
 
-def finish(rows: DataFrame, df: DataFrame, keys: list[str], text: str, config: QuenchConfig, t0: str | None = None, tokenized: bool = False) -> DataFrame:
+def finish(rows: DataFrame, df: DataFrame, keys: list[str], text: str, config: QuenchConfig | Schedule, t0: str | None = None, tokenized: bool = False) -> DataFrame:
     """The texts of `df` from their token rows, which come from `energies` or are like
     them, with energies of any other kind."""
     own = [*keys, t0] if t0 else keys
-    if config.survival_mode == "boltzmann":
+    if isinstance(config, QuenchConfig) and config.survival_mode == "boltzmann":
         result = stepped(rows, own, config, t0).withColumn("compressed_text", _joined(F.col("pieces")))
     else:
         result = _quenched(rows, own, config, t0)
@@ -169,6 +193,14 @@ def finish(rows: DataFrame, df: DataFrame, keys: list[str], text: str, config: Q
     return result.unionByName(rest)
 
 
+def quench_profiles(df: DataFrame, keys: list[str], profiles: dict[str, QuenchConfig], text: str = "text", profile: str | None = None) -> DataFrame:
+    """As `quench`, with column profile: one row for each text and profile; or, if
+    `profile` is a column, one for each text, by the profile that it names."""
+    rows = profiled(df, keys, profiles, text, profile)
+    named = df.select(*keys, text, F.explode(F.array(*[F.lit(p) for p in profiles])).alias("profile")) if profile is None else df.select(*keys, text, F.col(profile).alias("profile"))
+    return finish(rows, named, [*keys, "profile"], text, Schedule.of(profiles))
+
+
 def quench_output(df: DataFrame, keys: list[str], text: str = "text", config: QuenchConfig | None = None) -> DataFrame:
     """keys, quenched_text: a response cooled faster; under 20 tokens unchanged."""
     many = F.coalesce(token_total(F.col(text)) >= LEAST_OUTPUT, F.lit(False))

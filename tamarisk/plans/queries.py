@@ -117,13 +117,17 @@ def reconstruct(spark, d):
 
 
 def profile_sweep(spark, d):
-    out = None
-    for name, config in PROFILES.items():  # the tokens' exchange is the same for all
-        rows = quench.scheduled(_energies(spark, d, config), KEY, config)
-        texts = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("k"))
-        one = texts.agg(F.lit(name).alias("profile"), F.count("*").alias("n_texts"), F.sum("n").alias("tokens_total"), F.sum("k").alias("tokens_kept"), F.round(1.0 - F.sum("k") / F.sum("n"), 6).alias("ratio"))
-        out = one if out is None else out.union(one)
-    return out
+    rows = quench.scheduled(energy.profiled(_docs(spark, d), KEY, PROFILES), [*KEY, "profile"], quench.Schedule.of(PROFILES))
+    texts = rows.groupBy(*KEY, "profile").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("k"))
+    return texts.groupBy("profile").agg(F.count("*").alias("n_texts"), F.sum("n").alias("tokens_total"), F.sum("k").alias("tokens_kept"), F.round(1.0 - F.sum("k") / F.sum("n"), 6).alias("ratio"))
+
+
+def quench_profiles(spark, d):
+    """Each document by a profile that it names itself."""
+    names = F.array(*[F.lit(p) for p in PROFILES])
+    docs = _docs(spark, d).withColumn("chosen", F.get(names, (F.col("doc_id") % len(PROFILES)).cast("int")))
+    q = quench.quench_profiles(docs, KEY, PROFILES, profile="chosen")
+    return q.select("doc_id", "profile", F.md5("compressed_text").alias("text_md5"), "tokens_kept", "tokens_total", F.round("similarity_score", 6).alias("similarity_score"), "schedule_steps")
 
 
 def _answers(spark, d):
@@ -484,7 +488,7 @@ def boltzmann_quench(spark, d):
 
 ALL = (
     token_counts, math_spans, tokens_by_class, word_counts, block_hashes, chunk_df, idf, frozen_tokens, token_energy, cutoff_half, schedule_curve,
-    quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_output, response_quench, turn_temperature, count_overlap,
+    quench_summary, survivors, dropped_tokens, reconstruct, profile_sweep, quench_profiles, quench_output, response_quench, turn_temperature, count_overlap,
     weighted_similarity, embedding_cosine, dedup_blocks, dedup_summary, block_stats, memory_lookup, memory_stats, memory_compress, memory_bounds,
     memory_summary, memory_stream, memory_events, memory_state, memory_energy_hook, memory_quench_hook, memory_remembered, detect_api, signed_bodies, route, plan_spans, frozen_messages, compress_spans_audit, apply_compression,
     logprob_energy, token_places, model_energy, model_quench, boltzmann_seeded, boltzmann_quench, memory_found, memory_get, memory_shared, quench_frozen, kept_similarity,

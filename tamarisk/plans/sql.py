@@ -143,8 +143,8 @@ Q = QuenchConfig()
 FROZEN = QuenchConfig(frozen_patterns=(r"^[A-Z]{2,}$", r"^[0-9]{4}$"))
 
 
-def _quenched(config: QuenchConfig) -> str:
-    return f"WITH {toks(DOCS, 'doc_id')}, {rows('doc_id')}, {energy('doc_id', config)}, {ranking('doc_id')}, {quenching('doc_id', config)}"
+def _quenched(config: QuenchConfig, source: str = DOCS) -> str:
+    return f"WITH {toks(source, 'doc_id')}, {rows('doc_id')}, {energy('doc_id', config)}, {ranking('doc_id')}, {quenching('doc_id', config)}"
 
 
 def _turns(config: QuenchConfig, where: str) -> str:
@@ -260,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "quench_summary": _quenched(BEST) + f", {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, md5(CASE WHEN qc.total IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, coalesce(qc.total, 0) AS tokens_total, round(coalesce(1.0 - qc.kept / qc.total, 0.0), 6) AS compression_ratio, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id)",
         "schedule_curve": f"{FULL}, {ranking('doc_id')}, {quenching('doc_id')} SELECT tau AS step, count(*) AS n_texts, sum(keep * (m > 0)::INT + n - m)::BIGINT AS kept, round(avg(sim), 6) AS similarity FROM q3 GROUP BY tau",
         "profile_sweep": " UNION ALL ".join(f"SELECT * FROM ({_quenched(c)} SELECT '{name}' AS profile, count(DISTINCT doc_id) AS n_texts, count(*) AS tokens_total, count(*) FILTER (WHERE kept) AS tokens_kept, round(1.0 - count(*) FILTER (WHERE kept) / count(*), 6) AS ratio FROM qr)" for name, c in PROFILES.items()),
+        "quench_profiles": " UNION ALL ".join(f"SELECT * FROM ({_quenched(c, f'(SELECT * FROM documents WHERE doc_id % {len(PROFILES)} = {k})')}, {rebuilt('doc_id')}, qc AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE kept) AS kept FROM qr GROUP BY doc_id) SELECT d.doc_id, '{name}' AS profile, md5(CASE WHEN qc.total IS NULL THEN d.text ELSE coalesce(rb.text, '') END) AS text_md5, coalesce(qc.kept, 0) AS tokens_kept, coalesce(qc.total, 0) AS tokens_total, round(coalesce(sim, 1.0), 6) AS similarity_score, coalesce(steps, 0) AS schedule_steps FROM documents d LEFT JOIN qd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN qc USING (doc_id) WHERE d.doc_id % {len(PROFILES)} = {k})" for k, (name, c) in enumerate(PROFILES.items())),
         "turn_temperature": f"SELECT conv_id, turn, round({TURN_TEMPERATURE}, 6) AS temperature FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)",
         "quench_output": _turns(output_config(), "role = 'assistant'") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, md5(CASE WHEN coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM src s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
         "response_quench": _turns(output_config(Q), f"role = 'assistant' AND {wc('text')} > 30") + f", oc AS (SELECT conv_id, turn, len(tokens) AS n FROM tl) SELECT s.conv_id, s.turn, md5(CASE WHEN {wc('s.text')} <= 30 OR coalesce(oc.n, 0) < 20 THEN s.text ELSE coalesce(rb.text, '') END) AS text_md5 FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') s LEFT JOIN oc USING (conv_id, turn) LEFT JOIN rb USING (conv_id, turn)",
