@@ -37,14 +37,13 @@ def survivors(rows: DataFrame, keys: list[str], temperature: float, k: float = 1
 
 
 def numbers(spot: int, seed: int, step: int, trials: int, n: int) -> np.ndarray:
-    """In [0, 1), by trial and place. spot: a hash of the text's key."""
-    mask = (1 << 64) - 1
-    first = np.array([(spot + 0x9E3779B97F4A7C15 * (1 + (seed * STEPS + step) * trials + t)) & mask for t in range(trials)], np.uint64)
-    x = first[:, None] ^ (np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    """In [0, 1), by trial and place: 32 mixed bits. spot: the first 32 bits of the MD5
+    of the text's key."""
+    first = np.array([(spot + 0x9E3779B9 * (1 + (seed * STEPS + step) * trials + t)) & 0xFFFFFFFF for t in range(trials)], np.uint32)
+    x = first[:, None] ^ (np.arange(n, dtype=np.uint32) * np.uint32(0x85EBCA6B))
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = (x ^ x >> np.uint32(shift)) * np.uint32(factor)
+    return (x ^ x >> np.uint32(16)).astype(np.float64) / float(1 << 32)
 
 
 def schedule(tokens: list[str], energy: np.ndarray, frozen: np.ndarray, config: QuenchConfig, t0: float, spot: int, seed: int = 0) -> tuple[np.ndarray, float, int]:
@@ -93,7 +92,8 @@ def stepped(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | No
     group: the one operator that needs a grouped function. It takes the exchange of
     the texts as it is, and its memory follows the longest text."""
     start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
-    given = rows.select(*keys, F.xxhash64(*keys).alias("__spot"), start.alias("__t0"), "idx", "token", "frozen", "energy")
+    spot = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+    given = rows.select(*keys, spot.alias("__spot"), start.alias("__t0"), "idx", "token", "frozen", "energy")
     kinds = [given.schema[k] for k in keys]
     schema = T.StructType([*kinds, *T._parse_datatype_string("pieces array<string>, tokens_kept long, tokens_total long, similarity_score double, schedule_steps int").fields])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,11 @@ FROZEN = QuenchConfig(frozen_patterns=(r"^[A-Z]{2,}$", r"^[0-9]{4}$"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Also lets Python workers on this machine find the package; a cluster gets it by
+    --py-files or an installed wheel."""
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -151,6 +151,34 @@ def _turns(config: QuenchConfig, where: str) -> str:
     return f"WITH src AS (SELECT conv_id, turn, text FROM conversations WHERE {where}), {toks('src', 'conv_id, turn')}, {rows('conv_id, turn')}, {energy('conv_id, turn', config)}, {ranking('conv_id, turn')}, {quenching('conv_id, turn', config)}, {rebuilt('conv_id, turn')}"
 
 
+def _boltzmann(config: QuenchConfig) -> str:
+    """The stochastic schedule, a step at a time: a step needs to know how many tokens
+    the one before kept."""
+    word = f"{1 << 32}::UBIGINT"
+    numbers = f"list_transform(range(1, n + 1), lambda i: xor((spot + {0x9E3779B9}::UBIGINT * (1 + step * 5 + t)::UBIGINT) % {word}, ((i - 1)::UBIGINT * {0x85EBCA6B}::UBIGINT) % {word}))"
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        numbers = f"list_transform({numbers}, lambda x: (xor(x, x >> {shift}) * {factor}::UBIGINT) % {word})"
+    numbers = f"list_transform({numbers}, lambda x: xor(x, x >> 16)::DOUBLE / {1 << 32})"
+    share = lambda ids: f"CASE WHEN any_frozen THEN 1.0 WHEN total = 0 THEN len({ids}) / n ELSE least(1.0, list_sum(list_transform({ids}, lambda j: wt[j])) / total) END"
+    return f"""WITH RECURSIVE src AS (SELECT conv_id, turn, text FROM conversations), {toks('src', 'conv_id, turn')}, {rows('conv_id, turn')}, {energy('conv_id, turn', config)}, {ranking('conv_id, turn')},
+    bz AS MATERIALIZED (SELECT conv_id, turn, any_value(n) AS n, any_value(m) AS m, sum(e_last) AS total, bool_or(frozen) AS any_frozen, list(frozen ORDER BY idx) AS fr, list(energy ORDER BY idx) AS en, list(e_last ORDER BY idx) AS wt, list(coalesce(rank, 0) ORDER BY idx) AS rn,
+      ('0x' || substr(md5(conv_id || '|' || turn), 1, 8))::UBIGINT AS spot FROM rk GROUP BY conv_id, turn),
+    st AS (
+      SELECT conv_id, turn, 0 AS step, 0 AS tau, n AS kept, 1.0::DOUBLE AS sim, n >= {config.min_tokens} AS go FROM bz
+      UNION ALL
+      SELECT conv_id, turn, step, CASE WHEN ok THEN step ELSE tau END, CASE WHEN ok THEN cnt ELSE least END, CASE WHEN ok THEN s ELSE before END, ok AND step < 100 FROM (
+        SELECT conv_id, turn, step, tau, least, before, coalesce(hit.cnt, len(plain)) AS cnt, coalesce(hit.s, {share('plain')}) AS s, round(coalesce(hit.s, {share('plain')}), 12) >= {config.similarity_threshold} AS ok FROM (
+          SELECT *, list_filter(tried, lambda h: h.s = list_max(list_transform(tried, lambda g: g.s)))[1] AS hit,
+            list_filter(range(1, n + 1), lambda i: rn[i] <= CASE WHEN m = 0 THEN 0 ELSE greatest(1, ceil(m * least(1.0, heat / {config.temperature_initial}::DOUBLE))) END) AS plain FROM (
+            SELECT *, list_filter(list_transform(CASE WHEN least < n THEN range(5) ELSE [] END, lambda t: list_transform([list_transform([{numbers}], lambda u: list_filter(range(1, n + 1), lambda i: fr[i] OR exp(-en[i] / ({config.boltzmann_k}::DOUBLE * heat)) >= u[i]))[1]], lambda k: {{'cnt': len(k), 's': {share('k')}}})[1]),
+              lambda h: h.cnt > least AND h.s > 0 AND round(h.s, 12) >= {config.similarity_threshold}) AS tried
+            FROM (SELECT bz.*, st.step + 1 AS step, st.tau, st.kept AS least, st.sim AS before, {config.temperature_initial}::DOUBLE / (1.0 + {config.cooling_rate}::DOUBLE * (st.step + 1)) AS heat FROM st JOIN bz USING (conv_id, turn) WHERE go))))
+    ),
+    fi AS (SELECT conv_id, turn, arg_max(kept, step) AS kept, arg_max(sim, step) AS sim, max(tau) AS steps FROM st GROUP BY conv_id, turn)
+    SELECT s.conv_id, s.turn, coalesce(fi.kept, 0)::BIGINT AS tokens_kept, coalesce(bz.n, 0)::BIGINT AS tokens_total, round(coalesce(1.0 - fi.kept / bz.n, 0.0), 6) AS compression_ratio, round(coalesce(fi.sim, 1.0), 6) AS similarity_score, coalesce(steps, 0)::INTEGER AS schedule_steps
+    FROM src s LEFT JOIN bz USING (conv_id, turn) LEFT JOIN fi USING (conv_id, turn)"""
+
+
 def _spans(bodies: bool = False) -> str:
     """CTE so: the spans of the turns, or of the made-up bodies, compressed."""
     src = f"src AS (SELECT conv_id, msg, text, total, {TURN_TEMPERATURE} AS t0 FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, role, text, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) x QUALIFY role IN ('user', 'assistant') AND msg IS DISTINCT FROM max(CASE WHEN role = 'user' THEN msg END) OVER (PARTITION BY conv_id) AND length(text) >= 80)"
@@ -309,6 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "compress_spans_audit": _spans() + " SELECT conv_id, sum(words)::BIGINT AS tokens_original, sum(CASE WHEN shorter THEN new_words ELSE words END)::BIGINT AS tokens_kept, round(1.0 - sum(CASE WHEN shorter THEN new_words ELSE words END) / sum(words), 6) AS compression_ratio, sum(shorter::INT)::BIGINT AS spans_compressed, 0 AS spans_frozen_memory FROM so GROUP BY conv_id",
         "apply_compression": _spans() + ", am AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, text FROM conversations) SELECT am.conv_id, am.msg, md5(CASE WHEN so.shorter THEN so.new_text ELSE am.text END) AS text_md5 FROM am LEFT JOIN so USING (conv_id, msg)",
         "logprob_energy": "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x < 0 THEN -x ELSE 1e-6 END)), 6) AS energy_sum, len(embedding) AS n FROM embeddings",
+        "boltzmann_quench": _boltzmann(QuenchConfig(survival_mode="boltzmann")),
         "boltzmann_seeded": FULL + per.format("count(*) AS n_kept, sum(idx)::BIGINT AS idx_sum", "en").replace(" GROUP BY", " WHERE frozen OR exp(-energy / 0.8::DOUBLE) >= ('0x' || substr(sha256('0|' || doc_id || '|1|0|' || idx), 1, 8))::BIGINT / 4294967296 GROUP BY"),
     }
     for name in ("stat", "struct", "pos", "domain"):
