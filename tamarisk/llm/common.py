@@ -6,6 +6,7 @@ import ctypes
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -41,22 +42,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_at = path
-    for made in _PASSING:
+    for made in _PASSING.get():
         made.append(path)
     return out
 
 
-_PASSING: list[list[str]] = []
+#: Lists of the work that is going on in this thread.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Deletes what `cut` wrote inside, for work whose result is written inside too."""
-    _PASSING.append(made := [])
+    made: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), made))
     try:
         yield
     finally:
-        _PASSING.remove(made)
+        _PASSING.reset(token)
         for path in made:
             storage.delete(spark, path)
 

@@ -8,12 +8,13 @@ all of an odd number of levels), so membership is exact for every key of the
 universe, at a fraction of the list's size and without a join. Everything is
 DataFrame functions: hashing, grouping, bit operations on arrays of longs.
 
-A level is a bitmap, built in blocks by grouped bitmap aggregates and carried by the
-plan as one binary literal. Keys are dealt to as many parts, by their hash, as keep
-the levels of a part under about `MOST_BYTES`; each part has a cascade of its own,
-and the pages are read once for each part. So the driver and a task hold no more
-than a part's levels however long the list is, and some 40 million listed hosts are
-still one part.
+A level is a bitmap of 64-bit words, or-ed by a grouped aggregate and written as a
+table of one row, with the words in blocks. Keys meet it as a scalar subquery: its value
+goes to the tasks with the stage and never into the plan or its text. Keys are dealt
+to as many parts, by their hash, as keep the levels of a part under about
+`MOST_BYTES`; each part has a cascade of its own, and the pages are read once for each
+part. So the driver and a task hold no more than a part's levels however long the list
+is, and some 10 million listed hosts are still one part.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path:
 from there up to `?`, `#` or the end. A null url, or one without `://`, has an
@@ -35,10 +36,10 @@ from tamarisk.llm import common
 
 BITS_PER_KEY = 12
 HASHES = 4
-MOST_BYTES = 64 << 20
+MOST_BYTES = 16 << 20
 MOST_LEVELS = 64
-#: Bits in a block of the bitmap aggregates.
-BLOCK = 1 << 15
+#: Words of a bitmap in a block of it.
+BLOCK = 1 << 10
 ADDED = ("host", "path", "rule", "verdict", "listed")
 
 
@@ -85,39 +86,58 @@ def _spots(key: Column, level: int, bits: int) -> list[Column]:
 
 
 @dataclass
-class Cascade:
-    levels: list[bytes]
+class Level:
+    """bits: a table of one row with the blocks; words: how many it has."""
+
+    bits: DataFrame
+    words: int
+
 
-    def passes(self, key: Column, level: int) -> Column:
-        bits, test = F.lit(self.levels[level]), F.lit(True)
-        for spot in _spots(key, level, 8 * len(self.levels[level])):
-            byte = F.conv(F.hex(F.substring(bits, F.shiftright(spot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            test = test & (F.call_function("shiftright", byte, F.pmod(spot, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+@dataclass
+class Cascade:
+    levels: list[Level]
+
+    def _bits(self, df: DataFrame, levels: list[int]) -> DataFrame:
+        """With a column of each level's blocks, which is there once in a task and in no
+        row that is written or dealt."""
+        return df.withColumns({f"__bits{k}": self.levels[k].bits.scalar() for k in levels})
+
+    def _passes(self, key: Column, level: int) -> Column:
+        bits, test = F.col(f"__bits{level}"), F.lit(True)
+        for spot in _spots(key, level, 64 * self.levels[level].words):
+            block, word = F.shiftright(spot, 16).cast("int"), F.shiftright(spot, 6).bitwiseAND(F.lit(BLOCK - 1)).cast("int")
+            test = test & (F.call_function("shiftrightunsigned", F.get(F.get(bits, block), word), spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return test
 
-    def listed(self, key: Column) -> Column:
-        """Exact for keys of the universe."""
-        known = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels) - 1, -1, -1):
-            known = F.when(self.passes(key, level), known).otherwise(F.lit(level % 2 == 1))
-        return known
+    def passed(self, keys: DataFrame, level: int) -> DataFrame:
+        """The rows of `keys` (key, and others) that pass a level; written."""
+        tested = self._bits(keys, [level]).select(*keys.columns, self._passes(F.col("key"), level).alias("__passes"))
+        return common.cut(tested, "passed").filter("__passes").drop("__passes")
+
+    def marked(self, df: DataFrame, key: Column) -> DataFrame:
+        """`df` with listed, exact for keys of the universe."""
+        every = range(len(self.levels))
+        known = F.lit(len(every) % 2 == 1)
+        for level in reversed(every):
+            known = F.when(self._passes(key, level), known).otherwise(F.lit(level % 2 == 1))
+        return self._bits(df, list(every)).select(*df.columns, known.alias("listed"))
 
     @property
     def bytes(self) -> int:
-        return sum(map(len, self.levels))
+        return sum(8 * x.words for x in self.levels)
 
 
-def _level(keys: DataFrame, level: int, n: int) -> bytes:
-    """A Bloom filter of the n keys. Tasks OR their own blocks first, and a row of
-    4 KB for each block comes back."""
-    size = -(-n * BITS_PER_KEY // 64) * 8  # whole words
-    spots = F.array(*[spot + 1 for spot in _spots(F.col("key"), level, 8 * size)])  # bitmaps count from 1
-    blocks = keys.select(F.explode(spots).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    out = bytearray(-(-8 * size // BLOCK) * BLOCK // 8)
-    for r in blocks.collect():
-        at = (r.block - 1) * BLOCK // 8
-        out[at : at + len(r.bits)] = r.bits
-    return bytes(out[:size])
+def _level(keys: DataFrame, level: int, n: int) -> Level:
+    """A Bloom filter of the n keys. Tasks or their own words first; blocks meet in one
+    task, a level's bytes in all."""
+    words = -(-n * BITS_PER_KEY // 64)
+    spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, 64 * words))).alias("spot"))
+    set_ = spots.select(F.shiftright("spot", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    met = set_.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = lambda at, what: F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda x: x[what])
+    blocks = met.groupBy(F.shiftright("word", 10).alias("block")).agg(listed("word", "bits").alias("words"))
+    return Level(common.cut(blocks.agg(listed("block", "words").alias("bits")), "level"), words)
 
 
 def build(universe: DataFrame) -> Cascade:
@@ -130,7 +150,7 @@ def build(universe: DataFrame) -> Cascade:
             return Cascade(levels)
         levels.append(_level(own, len(levels), n))
         # The other side's keys that pass are the next level's; this side's pass always.
-        held = held.filter(Cascade(levels).passes(F.col("key"), len(levels) - 1))
+        held = Cascade(levels).passed(held, len(levels) - 1)
     raise RuntimeError("the cascade doesn't end")
 
 
@@ -157,7 +177,7 @@ def judge(pages: DataFrame, listed_hosts: DataFrame, rules: tuple[Rule, ...] = R
     for k in range(parts):
         cascade = build(universe if parts == 1 else universe.filter(part(F.col("key")) == k))
         own = rows if parts == 1 else rows.filter(part(F.col("host")) == k)
-        own = own.withColumn("listed", cascade.listed(F.col("host")))
+        own = cascade.marked(own, F.col("host"))
         own = own.select(*given.columns, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
         if parts > 1:
             own = common.cut(own, "judged")  # so that one part's levels are held at a time

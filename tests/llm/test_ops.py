@@ -466,12 +466,23 @@ def test_url_cascade(spark):
     universe = pages.select(url_filter.host(F.col("url")).alias("key")).distinct().join(listed.distinct().withColumn("listed", F.lit(True)), "key", "left").fillna(False)
     cascade = url_filter.build(universe)
     assert 1 < len(cascade.levels) and cascade.bytes < 3000 * url_filter.BITS_PER_KEY and url_filter.judge(pages.filter("false"), listed).count() == 0
-    assert url_filter.parts_of(1000, 2000, 600) == 3 and url_filter.parts_of(40_000_000, 10**8) == 1 and url_filter.parts_of(10**9, 10**9) == 23
+    assert url_filter.parts_of(1000, 2000, 600) == 3 and url_filter.parts_of(10_000_000, 10**8) == 1 and url_filter.parts_of(10**9, 10**9) == 91
     assert not any("Join" in x for x in url_filter.judge(pages, listed)._jdf.queryExecution().executedPlan().toString().splitlines())
     more = url_filter.judge(pages.withColumn("HOST", F.lit(1)).withColumn("verdict", F.lit(2)), listed)
     assert more.columns == ["page_id", "url", "HOST_given", "verdict_given", "host", "path", "rule", "verdict", "listed"] and {r.HOST_given for r in more.collect()} == {1}
 
 
+def test_a_full_part_of_the_cascade(spark):
+    """A level of all that a part may have: exact, and not in the plan's text."""
+    n = 8 * url_filter.MOST_BYTES // url_filter.BITS_PER_KEY - 1000
+    universe = spark.range(n + 100_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.col("id") < n).alias("listed"))
+    cascade = url_filter.build(universe)
+    assert 0.9 * url_filter.MOST_BYTES < cascade.bytes
+    judged = cascade.marked(universe.withColumnRenamed("listed", "wanted"), F.col("key"))
+    assert len(judged._jdf.queryExecution().toString()) < 1 << 20
+    assert judged.filter("wanted != listed").count() == 0
+
+
 def test_long_and_repeated_urls(spark):
     long = "https://" + "a." * 50_000 + "Net/fr/" + "x" * 200_000 + "?" + "y" * 1000
     pages = spark.createDataFrame([(1, long), (1, long), (None, "https://net/fr/")], "page_id long, url string")

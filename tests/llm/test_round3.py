@@ -248,3 +248,20 @@ def test_search_query(spark):
     got = [tuple(r) for r in Q.op12_hybrid_search(spark, SF).collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(got, key=repr) == searched(spark.read.parquet(f"{SF}/documents.parquet").collect(), items)
+
+
+def test_tables_of_other_threads_stay(spark):
+    """What another thread writes meanwhile isn't deleted with this one's."""
+    import threading
+
+    kept = []
+    with common.passing(spark):
+        own = common.cut(spark.range(3), "mine")
+        other = threading.Thread(target=lambda: kept.append(common.cut(spark.range(4), "theirs")))
+        other.start()
+        other.join()
+        with common.passing(spark):
+            inner = common.cut(spark.range(5), "inner")
+    assert kept[0].count() == 4
+    left = common.storage.folders(spark, own.cut_at.rsplit("/", 1)[0])
+    assert kept[0].cut_at.rsplit("/", 1)[1] in left and not {x.cut_at.rsplit("/", 1)[1] for x in (own, inner)} & set(left)
