@@ -15,8 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,38 +30,31 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def _memory(order: list[str]) -> StatefulProcessor:
     """Made here, so that it goes to the workers whole and they need no package."""
+    found = Row(*order, "block_id", "is_store", "found", "access_count", "created_at")
 
     class Memory(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.block = handle.getValueState("block", STATE)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            events, first, text = [], None, None
-            for frame in rows:
-                stores = frame[frame["is_store"]]
-                if len(stores):
-                    one = stores.sort_values(order, kind="stable").iloc[0]
-                    place = tuple(one[c] for c in order)
-                    if first is None or place < first:
-                        first, text = place, (one["text"], int(one["token_count"]), one["at"])
-                events.append(frame[[*order, "is_store", "at"]])
-            events = pd.concat(events).sort_values(order, kind="stable").reset_index(drop=True)
-            if self.block.exists():
-                words, count, created, accesses = self.block.get()
-                known = pd.Series(True, events.index)
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+            events, first = [], None
+            for r in rows:
+                place = tuple(r[c] for c in order)
+                if r["is_store"] and (first is None or place < first[0]):
+                    first = place, (r["text"], r["token_count"], r["at"])
+                events.append((place, r["is_store"]))
+            events.sort()
+            held = self.block.get()
+            if held is not None:
+                (*block, met), known = held, True
             else:
-                (words, count, created), accesses = text or (None, 0, None), -1  # the first store is no access
-                known = events["is_store"].cummax()
-            met = accesses + known.cumsum()
-            if len(met) and known.iloc[-1]:
-                self.block.update((words, count, int(created), int(met.iloc[-1])))
-            out = events[order].copy()
-            out["block_id"] = key[0]
-            out["is_store"] = events["is_store"]
-            out["found"] = known & (met > 0)
-            out["access_count"] = met.where(known).astype("Int64")
-            out["created_at"] = pd.Series(created, events.index, dtype="Int64").where(known)
-            yield out
+                block, met, known = first and first[1], -1, False  # the first store is no access
+            for place, is_store in events:
+                known = known or is_store
+                met += known
+                yield found(*place, key[0], is_store, met > 0, met if known else None, block[2] if known else None)
+            if known:
+                self.block.update((*block, met))
 
         def close(self) -> None:
             pass
@@ -80,9 +72,10 @@ def events(df: DataFrame, order: list[str], is_store: str = "is_store", text: st
 
 def remember(stream: DataFrame, order: list[str]) -> DataFrame:
     """order, block_id, is_store, found, access_count (after the event; null for a
-    block not in memory), created_at. stream: `events`; order tells its rows apart."""
+    block not in memory), created_at. stream: `events`; order tells its rows apart and is
+    never null."""
     places = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in order)
-    found = stream.groupBy("block_id").transformWithStateInPandas(_memory(order), f"{places}, block_id string, is_store boolean, found boolean, access_count long, created_at long", "Append", "None")
+    found = stream.groupBy("block_id").transformWithState(_memory(order), f"{places}, block_id string, is_store boolean, found boolean, access_count long, created_at long", "Append", "None")
     return found.withColumn("created_at", F.timestamp_micros("created_at"))
 
 
