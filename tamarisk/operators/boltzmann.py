@@ -36,9 +36,13 @@ def survivors(rows: DataFrame, keys: list[str], temperature: float, k: float = 1
     return rows.filter(survives(F.col("energy"), F.col("frozen"), temperature, number, k))
 
 
+def spot(keys: list[str]) -> Column:
+    """The first 32 bits of the MD5 of the key's text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+
+
 def numbers(spot: int, seed: int, step: int, trials: int, n: int) -> np.ndarray:
-    """In [0, 1), by trial and place: 32 mixed bits. spot: the first 32 bits of the MD5
-    of the text's key."""
+    """In [0, 1), by trial and place: 32 mixed bits."""
     first = np.array([(spot + 0x9E3779B9 * (1 + (seed * STEPS + step) * trials + t)) & 0xFFFFFFFF for t in range(trials)], np.uint32)
     x = first[:, None] ^ (np.arange(n, dtype=np.uint32) * np.uint32(0x85EBCA6B))
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
@@ -92,8 +96,7 @@ def stepped(rows: DataFrame, keys: list[str], config: QuenchConfig, t0: str | No
     group: the one operator that needs a grouped function. It takes the exchange of
     the texts as it is, and its memory follows the longest text."""
     start = F.col(t0) if t0 else F.lit(float(config.temperature_initial))
-    spot = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
-    given = rows.select(*keys, spot.alias("__spot"), start.alias("__t0"), "idx", "token", "frozen", "energy")
+    given = rows.select(*keys, spot(keys).alias("__spot"), start.alias("__t0"), "idx", "token", "frozen", "energy")
     kinds = [given.schema[k] for k in keys]
     schema = T.StructType([*kinds, *T._parse_datatype_string("pieces array<string>, tokens_kept long, tokens_total long, similarity_score double, schedule_steps int").fields])
 

@@ -73,7 +73,7 @@ def test_boltzmann_equals_the_loop(spark):
     for config, t0 in ((QuenchConfig(survival_mode="boltzmann"), None), (QuenchConfig(survival_mode="boltzmann", boltzmann_k=4.0, similarity_threshold=0.6, cooling_rate=0.1, min_tokens=1), "heat")):
         own = ["id", t0] if t0 else ["id"]
         by, spots, heats = {}, {}, {}
-        for r in energy.energies(df.select(*own, "text"), own, config=config).withColumn("spot", F.xxhash64(*own)).orderBy("id", "idx").collect():
+        for r in energy.energies(df.select(*own, "text"), own, config=config).withColumn("spot", boltzmann.spot(own)).orderBy("id", "idx").collect():
             by.setdefault(r.id, []).append((r.token, r.energy, r.frozen))
             spots[r.id], heats[r.id] = r.spot, (r[t0] if t0 else 1.0)
         got = quench.quench(df, ["id"], config=config, t0=t0).collect()
