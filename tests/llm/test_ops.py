@@ -284,18 +284,23 @@ def shard_key(text, doc_id):
 
 
 def check_shards(docs, shards, range_rows=sharding.RANGE_ROWS):
-    """By brute force: shards are runs of the order, slots count within them, and
-    sizes are off by an overfull range on either side, or a record, at most."""
+    """By brute force: slots follow the order within a shard, shards follow it but for
+    texts of over a range's size, each text that fits is in one shard, and sizes are off
+    by an overfull range on either side, or a record, at most."""
     texts = {(r.doc_id, zlib.crc32((r.text or "").encode())): r.text for r in docs.collect()}
     got = sharding.shard(docs, shards=shards, range_rows=range_rows).collect()
     assert len(got) == docs.count() and {r.law for r in got} <= {"bytes"} and all(r.grown_shard is None for r in got)
     assert all(r.size == len((texts[r.doc_id, r.text_crc32] or "").encode()) + 8 for r in got)
     got.sort(key=lambda r: (r.shard, r.slot))
     keys = [shard_key(texts[r.doc_id, r.text_crc32], r.doc_id) for r in got]
-    assert keys == sorted(keys)
-    sizes = Counter()
-    for r in got:
+    sizes, of_text = Counter(), Counter()
+    for r, (group, _) in zip(got, keys, strict=True):
         sizes[r.shard] += r.size
+        of_text[group] += r.size
+    due = sum(sizes.values()) / max(sharding.PER_SHARD * shards, -(-len(got) // range_rows))
+    assert all(a <= b for a, b, r, q in zip(keys, keys[1:], got, got[1:], strict=False) if r.shard == q.shard)
+    small = [k for k in keys if of_text[k[0]] <= due]
+    assert small == sorted(small)
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in sizes)
     total = sum(sizes.values())
     due = total / max(sharding.PER_SHARD * shards, -(-len(got) // range_rows))
@@ -322,6 +327,22 @@ def test_sharding_splits_hot_groups_and_keeps_small_ones(spark):
     assert all(len(of[f"small group {k}"]) == 1 for k in range(20))
 
 
+def test_sharding_keeps_a_text_whole_below_a_shard(spark):
+    """Texts of .4, .6 and .97 of a shard lie in one shard each, one of 2.5 in as few
+    as it needs, and sizes stay equal."""
+    rows, due = [(k, words(12, k)) for k in range(3000)], 40_000
+    for n, share in enumerate((0.4, 0.6, 0.97, 2.5)):
+        text = f"group {n} " + words(30, 9000 + n)
+        rows += [(10_000 * (n + 1) + k, text) for k in range(int(share * due / (len(text) + 8)))]
+    shards = round(sum(len(t) + 8 for _, t in rows) / due)
+    got, texts = check_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards)
+    of = {}
+    for r in got:
+        of.setdefault(texts[r.doc_id, r.text_crc32], set()).add(r.shard)
+    assert all(len(found) == 1 for text, found in of.items() if not text.startswith("group 3"))
+    assert [len(found) for text, found in of.items() if text.startswith("group 3")][0] in (3, 4, 5)
+
+
 def test_sharding_follows_its_splitters(docs):
     """Each record's range is the number of boundaries at or below its key, no range
     stays overfull, and other splitters give other shards."""
