@@ -10,9 +10,9 @@ below its centroid's own limit is far from all that was learned and is rejected.
 The classifier is fitted on a bounded sample: the `SAMPLE` labelled rows of each
 language that come first by a hash of id and text, equal rows counted once, so a
 language's part is bounded however often an id or a text repeats. Executors find
-them and turn them to counts: the driver gets at most `SAMPLE * DIMENSIONS` numbers
-a language whatever the texts' lengths, and holds one language's dense rows at a
-time. Prediction reads whole texts, shuffles nothing, and takes nothing but the text.
+them, turn them to counts and cluster each language in a group of its own, so a task
+holds one language's dense rows. The driver gets the model: `DIMENSIONS` document
+counts, and `CENTROIDS` centroids a language. Prediction reads whole texts, shuffles nothing, and takes nothing but the text.
 
 Null texts and texts without a letter: `und`, score 0, rejected. With no labelled
 text at all every text is `und`, and those with a letter are not rejected: they
@@ -127,38 +127,44 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     few = few.filter(F.pmod("spot", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("lang", "spot").agg(F.first("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("spot", F.lit(1 << 30)), "spot"))
     few = few.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text")
-    kind = "lang string, at binary, n binary"
+    kind = "lang string, at array<int>, n array<int>"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(lang, np.flatnonzero(c), c) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "at": pa.array([x[1].astype("<i4").tobytes() for x in found], pa.binary()), "n": pa.array([x[2][x[1]].astype("<i4").tobytes() for x in found], pa.binary())})
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([x[0] for x in found], pa.string()), "at": pa.array([x[1].astype("i4") for x in found], lists), "n": pa.array([x[2][x[1]].astype("i4") for x in found], lists)})
         common.release()
 
-    rows = few.mapInArrow(counted, kind).collect()
-    rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))  # any order of tasks gives the same model
-    by: dict[str, list] = {}
-    for r in rows:
-        by.setdefault(r.lang, []).append((np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i4")))
+    rows = common.cut(few.mapInArrow(counted, kind), "language-sample")
+    # One number for each dimension.
     seen = np.zeros(DIMENSIONS)
-    for own in by.values():
-        for at, _ in own:
-            seen[at] += 1
-    idf = (np.log((1 + sum(map(len, by.values()))) / (1 + seen)) + 1).astype(np.float32)
-    names, owner, centroids, least = sorted(by), [], [], []
-    for k, name in enumerate(names):
-        dense = np.zeros((len(by[name]), DIMENSIONS), np.float32)
-        for row, (at, n) in zip(dense, by[name], strict=True):
-            row[at] = n
+    for r in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        seen[r["at"]] = r["count"]
+    idf = (np.log((1 + rows.count()) / (1 + seen)) + 1).astype(np.float32)
+
+    def learned(own: pa.Table) -> pa.Table:
+        """One language's centroids and their limits."""
+        ats, ns = ([x.values.to_numpy() for x in own[name].combine_chunks()] for name in ("at", "n"))
+        order = sorted(range(len(ats)), key=lambda k: (ats[k].tobytes(), ns[k].tobytes()))  # any order of rows gives the same model
+        dense = np.zeros((len(ats), DIMENSIONS), np.float32)
+        for row, k in zip(dense, order, strict=True):
+            row[ats[k]] = ns[k]
         dense = _vectors(dense, idf)
         found = _clusters(dense, min(CENTROIDS, len(dense)))
         cosines = dense @ found.T
-        for c in range(len(found)):
-            own = cosines[cosines.argmax(1) == c, c]
-            owner.append(k)
-            centroids.append(found[c])
-            least.append(FAR * float(np.quantile(own, 0.01)) if len(own) else 0.0)
-    return Model(names, np.array(owner), idf, np.stack(centroids, 1), np.array(least))
+        nearest = [cosines[cosines.argmax(1) == c, c] for c in range(len(found))]
+        least = [FAR * float(np.quantile(x, 0.01)) if len(x) else 0.0 for x in nearest]
+        lang = own["lang"][0].as_py()
+        return pa.table({"lang": [lang] * len(found), "c": pa.array(range(len(found)), pa.int32()), "centroid": pa.array([x.astype("<f4").tobytes() for x in found], pa.binary()), "least": least})
+
+    found = rows.groupBy("lang").applyInArrow(learned, "lang string, c int, centroid binary, least double").collect()
+    common.forget(rows)
+    found.sort(key=lambda r: (r.lang, r.c))
+    names = sorted({r.lang for r in found})
+    owner = {name: k for k, name in enumerate(names)}
+    centroids = np.stack([np.frombuffer(r.centroid, "<f4") for r in found], 1) if found else np.zeros((DIMENSIONS, 0), np.float32)
+    return Model(names, np.array([owner[r.lang] for r in found], int), idf, centroids, np.array([r.least for r in found]))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

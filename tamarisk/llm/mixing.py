@@ -22,7 +22,9 @@ under which the mix would be over `most_times` the corpus are an error.
 A block's number needs the bytes before a document within its source. Documents
 are dealt to `(source, part)` by a hash of id, text and place in the table, parts'
 totals are summed, and each part sums its own documents, so a source, an id or a
-repeated row with a third of all rows is spread like any.
+repeated row with a third of all rows is spread like any. The uses of a block are
+gathered `USES` at a time: where weights make a small source come round more often,
+its documents are dealt to a task for each such lot.
 
 Null sources are a source of their own. Null and empty texts count as one byte; rows
 come by a hash of id and text within a part. A source without a weight, or with
@@ -54,6 +56,8 @@ SHARES = 1 << 40
 TEMPERATURE = 0.7
 #: Documents in a part, about.
 PART_ROWS = 5_000
+#: Uses of a block that are gathered in one row.
+USES = 1_000
 MOST_SOURCES = 100_000
 ADDED = ("mix_slot", "mix_epoch", "mix_block", "mix_release", "mix_deadline", "mix_place")
 
@@ -147,17 +151,24 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     # One short row for each source and part.
     firsts = rows.groupBy("name", "part").agg(F.sum("size").alias("bytes")).select("name", "part", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first"))
     # A row for each source.
-    sources = spark.createDataFrame(list(blocks.items()), "name string, t_blocks long")
+    length = (ends[-1] if stop == "all" else ends[0]) if ends else 0
+    lots = {s: int(length * slots[s] / SHARES / n / USES) + 2 for s, n in blocks.items() if n}  # one more than enough, for rounding
+    many = max(lots.values(), default=0) > 2
+    sources = spark.createDataFrame([(s, n, lots.get(s, 1)) for s, n in blocks.items()], "name string, t_blocks long, t_lots long")
+    lot = F.floor(F.col("use.mix_epoch") / USES) if many else F.lit(0).cast("long")
     uses = table.join(F.broadcast(sources), "name").select("name", (F.col("turn") % F.col("t_blocks")).alias("block"), F.struct(F.floor(F.col("turn") / F.col("t_blocks")).alias("mix_epoch"), "mix_slot", "mix_release", "mix_deadline").alias("use"))
     # The uses of each part's blocks: documents need not move to meet the schedule.
     firsts = (
         firsts.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block_bytes), F.floor((F.col("first") + F.col("bytes") - 1) / block_bytes))))
-        .join(uses, ["name", "block"])
-        .groupBy("name", "part", "first", "block").agg(F.collect_list("use").alias("uses"))
-        .groupBy("name", "part", "first").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("by_block"))
+        .join(uses.withColumn("lot", lot), ["name", "block"])
+        .groupBy("name", "part", "lot", "first", "block").agg(F.collect_list("use").alias("uses"))
+        .groupBy("name", "part", "lot", "first").agg(F.map_from_entries(F.collect_list(F.struct("block", "uses"))).alias("by_block"))
     )
     within = Window.partitionBy("name", "part").orderBy("spot", "own_spot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(firsts, ["name", "part"])
+    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    if many:  # else a document needs no lot, and stays where its part is
+        placed = placed.join(F.broadcast(sources), "name").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t_lots") - 1)))
+    placed = placed.join(firsts, ["name", "part", "lot"] if many else ["name", "part"])
     at = F.col("first") + F.col("own")
     number = F.floor(at / block_bytes)
     used = placed.select("row", at.alias("mix_place"), number.alias("mix_block"), F.explode(F.try_element_at("by_block", number)).alias("use"))

@@ -61,6 +61,19 @@ def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+#: Base 32 takes five hexadecimal digits to four of its own.
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, url FROM pages),
+d AS (SELECT *, strlen(payload)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS best,
+        array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+          lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || sha1(payload)[5 * g + 1 : 5 * g + 5])::BIGINT >> s) % 32 + 1]), '')), '') AS payload_digest
+      FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to, regexp_replace(trim(coalesce(url, '')), '\s+', ' ', 'g') AS url
+FROM d
+"""
+
+
 def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = capsim.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
@@ -173,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": OP2_SQL, "op12_hybrid_search": OP12_SQL, "op13_merkle_manifest": _merkle_sql()}
+    return {"op2_url_cascade": OP2_SQL, "op5_warc_dictionary": OP5_SQL, "op12_hybrid_search": OP12_SQL, "op13_merkle_manifest": _merkle_sql()}

@@ -1,9 +1,9 @@
 """WARC archives with a Zstandard dictionary.
 
 Each task writes archives of about `ARCHIVE_BYTES` of records. An archive begins
-with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from the
-archive's first records; each record is a frame of its own, compressed with that
-dictionary, so a reader can start at any record. Too few or too small records to
+with a skippable frame (magic 0x184D2A5D) that holds a dictionary built from pieces
+of records all over the archive; each record is a frame of its own, compressed with
+that dictionary, so a reader can start at any record. Too few or too small records to
 train on give a dictionary of their plain content instead.
 
 Of records with equal payloads that with the largest page_id is written whole, as
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ from tamarisk.sources import storage
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Bytes of an archive's first records that its dictionary is trained on.
-TRAINING_BYTES = 4 << 20
+#: Bytes that a dictionary is trained on, about: every n-th piece of the archive's
+#: records, each `PIECE` bytes or a record's rest.
+TRAINING_BYTES, PIECE = 4 << 20, 16 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: High half of the record ids that hold a page_id in the low half; and of those without.
@@ -97,12 +99,9 @@ def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
 
 def archive(records: list[bytes]) -> list[bytes]:
     """The archive's parts: the dictionary's frame, then each record's."""
-    samples, size = [], 0
-    for r in records:
-        samples.append(r)
-        size += len(r)
-        if size > TRAINING_BYTES:
-            break
+    step = max(1, sum(map(len, records)) // TRAINING_BYTES)
+    pieces = ((r, at) for r in records for at in range(0, len(r), PIECE))
+    samples = [r[at : at + PIECE] for r, at in itertools.islice(pieces, 0, None, step)]
     known = dictionary(samples)
     own = known.as_bytes()
     press = zstandard.ZstdCompressor(level=3, dict_data=known)

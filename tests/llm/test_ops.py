@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tamarisk.llm import capsim, components, lang_id, mixing, packing, quality, sharding, simhash, tokens, url_filter, warc, wavelet
@@ -528,6 +529,17 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(pages.filter("false"))).count() == 0
 
 
+def test_dictionary_sees_the_whole_archive(monkeypatch):
+    """Records late in an archive, and the ends of long ones, are trained on too."""
+    monkeypatch.setattr(warc, "TRAINING_BYTES", 200_000)
+    first, last = [words(120, k).encode() for k in range(1500)], [words(60, 7).encode() + words(60, 5000 + k).encode() for k in range(1500)]
+    parts = warc.archive(first + last)
+    known, rest = warc.dictionary(first[:300]), sum(map(len, parts[1501:]))
+    plain = zstandard.ZstdCompressor(level=3, dict_data=known)
+    assert list(warc.records(b"".join(parts))) == first + last
+    assert rest < 0.9 * sum(len(plain.compress(r)) for r in last)
+
+
 def test_pfair_schedule():
     for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 0.61, "b": 0.3, "c": 0.09}, {k: 1 + k for k in range(20)}):
         slots = mixing.slots_of(weights, 997)
@@ -565,6 +577,21 @@ def test_mix_splits_repeated_rows_and_bounds_its_length(spark, monkeypatch):
     assert mixing.mix(docs, {"a": 1.0, "b": 1e-6}, block_bytes=200, stop="first").count() > 0
 
 
+def test_mix_gathers_uses_in_lots(spark, monkeypatch):
+    """A source of one block that comes round hundreds of times: the same mix in
+    lots of 16 uses as in one, and no row of the plan's lists is longer."""
+    rows = [(1, "a small source", "a")] + [(k, words(8, k), "b") for k in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = lambda stop: Counter(map(tuple, mixing.mix(docs, {"a": 0.9, "b": 0.1}, block_bytes=300, stop=stop).collect()))
+    for stop in ("all", "first"):
+        monkeypatch.setattr(mixing, "USES", 10**9)
+        whole = mixed(stop)
+        monkeypatch.setattr(mixing, "USES", 16)
+        assert mixed(stop) == whole and set(whole.values()) == {1}
+        if stop == "all":
+            assert sum(r[0] == 1 for r in whole) > 200
+
+
 def test_mix_keeps_to_the_weights(docs):
     weights = {"s0": 0.61371, "s1": 0.385777, "s2": 0.0005, None: 0.000013}
     slots, total, used = mixing.slots_of(weights, mixing.SHARES), sum(weights.values()), dict.fromkeys(weights, 0)
