@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
@@ -40,6 +40,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     compute it anew nor depend on the executors that made it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_at = path
     for made in _PASSING.get():
@@ -47,6 +51,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """`cut` of what `make` gives; the tables made on its way are deleted."""
+    path = new_path(spark, label)
+    with passing(spark):
+        df = make()
+        df.write.parquet(path)
+    return _written(df, path)
+
+
 #: Lists of the work that is going on in this thread.
 _PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 

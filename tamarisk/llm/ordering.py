@@ -45,3 +45,12 @@ def ranked_in_groups(df: DataFrame, group: str, order: list[Column], label: str
     own = runs.select(F.col("part").alias("__p"), F.col(group).alias("__g"), "first", "before", "group_rows", "group_rank")
     joined = rows.join(own, (F.col("part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
     return joined.select(*df.columns, (F.col("place") - F.col("first") + F.col("before")).alias("rank"), "group_rows", "group_rank")
+
+
+def quantile(ranked: DataFrame, part: float, group: str = "key", value: str = "value") -> DataFrame:
+    """group, value: each group's exact quantile, between two rows as numpy has it.
+    ranked: rows with rank and group_rows, in the order of the value."""
+    at = F.lit(part) * (F.col("group_rows") - 1)
+    low, high = F.min(value), F.max(value)
+    near = ranked.filter((F.col("rank") == F.floor(at)) | (F.col("rank") == F.ceil(at)))
+    return near.groupBy(group, "group_rows").agg((low + (high - low) * (at - F.floor(at))).alias(value)).drop("group_rows")

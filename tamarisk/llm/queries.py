@@ -53,7 +53,7 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
 
 
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
