@@ -35,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes `df` to the shared folder and reads it again: later steps neither
     compute it anew nor depend on the executors that made it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return _written(df, path)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ops import words
 
-from tamarisk.llm import ordering, quality
+from tamarisk.llm import lang_id, ordering, quality
 
 
 def robust(x):
@@ -90,3 +90,52 @@ def test_quantiles_are_exact(spark, part):
     rows = spark.createDataFrame([(g, v, k) for g, x in own.items() for k, v in enumerate(x)], "key string, value double, of long").repartition(6)
     got = {x.key: x.value for x in ordering.quantile(ordering.ranked_in_groups(rows, "key", [F.col("value"), F.col("of")]), part).collect()}
     assert set(got) == set(own) and all(abs(got[g] - float(np.quantile(x, part))) < 1e-12 for g, x in own.items())
+
+
+def test_language_model_from_every_row(spark, monkeypatch):
+    """More rows of a language than a sample held, against numpy over all of them;
+    any order of rows gives the same model, however few sums a task holds."""
+    r = random.Random(4)
+    alphabets = {"aa": ("abcdef", "ghijkl", "mnopqr"), "bb": ("stuvwx", "äöüßéè", "жизнью"), "cc": ("日本語学校生",)}
+    rows = []
+    for lang, groups in alphabets.items():
+        for k in range({"aa": 700, "bb": 450, "cc": 1}[lang]):
+            letters = groups[k % len(groups)]
+            rows.append((len(rows), " ".join("".join(r.choices(letters, k=r.randint(2, 6))) for _ in range(r.randint(20, 60))), lang))
+    rows += [(9000 + k, rows[5][1], "aa") for k in range(50)] + [(9100, "12 34", "aa"), (9101, None, "bb"), (9102, rows[1][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs.repartition(3))
+    own = {lang: np.stack([c for _, t, x in rows if x == lang and (c := lang_id.counts(t)) is not None]) for lang in alphabets}
+    every = np.concatenate(list(own.values()))
+    assert len(every) == 1201
+    idf = (np.log((1 + len(every)) / (1 + (every > 0).sum(0))) + 1).astype(np.float32)
+    assert (model.idf == idf).all() and model.names == list(alphabets) and model.owner.tolist() == [0, 0, 0, 1, 1, 1, 2]
+    at = 0
+    for found in own.values():
+        vectors = lang_id._vectors(found, idf)
+        want = lang_id._clusters(vectors, min(lang_id.CENTROIDS, len(vectors)))
+        cosines = vectors @ want.T
+        nearest = cosines.argmax(1)
+        k = len(want)
+        match = (want @ model.centroids[:, at : at + k]).argmax(1)
+        assert sorted(match) == list(range(k))
+        for c, m in enumerate(match):
+            assert want[c] @ model.centroids[:, at + m] > 0.9999
+            assert abs(model.least[at + m] - lang_id.FAR * np.quantile(cosines[nearest == c, c], 0.01)) < 1e-3
+        at += k
+    monkeypatch.setattr(lang_id, "HELD", 1)
+    monkeypatch.setattr(lang_id, "FAN", 2)
+    again = lang_id.fit(docs.repartition(7))
+    assert (model.centroids == again.centroids).all() and (model.idf == again.idf).all() and (model.least == again.least).all()
+
+
+def test_pipeline_learns_from_every_row(spark, monkeypatch):
+    """No stage asks for a bounded part of its rows."""
+    import corpus_pipeline as P
+
+    seen = []
+    learned = lang_id._fit
+    monkeypatch.setattr(lang_id, "_fit", lambda known: seen.append(known.count()) or learned(known))
+    docs = spark.createDataFrame([(k, words(30, k), "aa", "s", 0) for k in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.language_id(spark, docs, "").count() <= 2000
+    assert seen == [docs.filter(~lang_id.held_out(F.col("doc_id"))).count()] and seen[0] > 1400
