@@ -190,24 +190,42 @@ def logprob_energies(raw: Column) -> Column:
     return F.coalesce(F.when(F.size(by_entry) > 0, energy(by_entry)), F.when(F.size(flat) > 0, energy(flat)), F.array().cast("array<double>"))
 
 
-def logprob_entries(df: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """keys, pos, start, stop, energy: a reply's entries with their places in the text,
-    in characters. A reply lists entries (token, logprob), or tokens, token_logprobs
-    and, maybe, text_offset. Without offsets, entries follow each other from the
-    text's start. Where lists differ in length the shorter counts; numbers without
-    tokens have no place and give no row, as do empty and invalid replies."""
-    first = F.get(F.try_variant_get(F.try_parse_json(F.col(raw)), "$.choices", "array<variant>"), F.lit(0))
+def _entry_list(df: DataFrame, keys: list[str], raw: str) -> DataFrame:
+    """keys, __b: a reply's entries as an array of (token, prob, at)."""
+    df = df.select(*keys, F.get(F.try_variant_get(F.try_parse_json(F.col(raw)), "$.choices", "array<variant>"), F.lit(0)).alias("__f"))
+    first = F.col("__f")
     entry = lambda token, prob, at: F.struct(token.alias("token"), prob.alias("prob"), at.alias("at"))
     none = F.lit(None).cast("long")
     listed = F.transform(_list(_field(first, "logprobs.content")), lambda e: entry(F.coalesce(_string(e, "token"), F.lit("")), F.coalesce(F.try_variant_get(e, "$.logprob", "double"), F.lit(0.0)), none))
     flat = lambda name, kind: F.try_variant_get(first, f"$.logprobs.{name}", f"array<{kind}>")
     rows = df.select(*keys, listed.alias("__l"), flat("tokens", "string").alias("__t"), flat("token_logprobs", "double").alias("__p"), flat("text_offset", "long").alias("__o"))
     zipped = F.transform("__t", lambda t, k: entry(t, F.coalesce(F.get("__p", k), F.lit(0.0)), F.get("__o", k)))
-    both = F.when(F.size("__l") > 0, F.col("__l")).otherwise(F.slice(zipped, F.lit(1), F.least(F.size("__t"), F.size("__p"))))
-    out = rows.select(*keys, F.posexplode(both).alias("pos", "__e")).select(*keys, "pos", F.col("__e.at").alias("__at"), F.length("__e.token").cast("long").alias("__n"), F.when(F.col("__e.prob") < 0, -F.col("__e.prob")).otherwise(1e-6).alias("energy"))
+    return rows.select(*keys, F.when(F.size("__l") > 0, F.col("__l")).otherwise(F.slice(zipped, F.lit(1), F.least(F.size("__t"), F.size("__p")))).alias("__b"))
+
+
+def _entry_energy(prob: Column) -> Column:
+    return F.when(prob < 0, -prob).otherwise(1e-6)
+
+
+def logprob_entries(df: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """keys, pos, start, stop, energy: a reply's entries with their places in the text,
+    in characters. A reply lists entries (token, logprob), or tokens, token_logprobs
+    and, maybe, text_offset. Without offsets, entries follow each other from the
+    text's start. Where lists differ in length the shorter counts; numbers without
+    tokens have no place and give no row, as do empty and invalid replies."""
+    out = _entry_list(df, keys, raw).select(*keys, F.posexplode("__b").alias("pos", "__e")).select(*keys, "pos", F.col("__e.at").alias("__at"), F.length("__e.token").cast("long").alias("__n"), _entry_energy(F.col("__e.prob")).alias("energy"))
     after = F.sum("__n").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     start = F.coalesce("__at", F.col("__after") - F.col("__n"))
     return out.withColumn("__after", after).select(*keys, "pos", start.alias("start"), (start + F.col("__n")).alias("stop"), "energy")
 
 
-__all__ = ["MIN_BLOCK_CHARS", "has_blocks", "json_string", "logprob_energies", "logprob_entries", "message_rows", "messages", "parse", "response_texts", "route", "splice", "write_back", "write_back_replies"]
+def logprob_lists(df: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """The same entries as three arrays for each reply: sizes (of tokens, in characters),
+    places (null where all follow each other) and energies."""
+    return _entry_list(df, keys, raw).select(
+        *keys, F.transform("__b", lambda e: F.length(e["token"])).alias("sizes"), F.when(F.exists("__b", lambda e: e["at"].isNotNull()), F.transform("__b", lambda e: e["at"])).alias("places"),
+        F.transform("__b", lambda e: _entry_energy(e["prob"])).alias("energies"),
+    )
+
+
+__all__ = ["MIN_BLOCK_CHARS", "has_blocks", "json_string", "logprob_energies", "logprob_entries", "logprob_lists", "message_rows", "messages", "parse", "response_texts", "route", "splice", "write_back", "write_back_replies"]
