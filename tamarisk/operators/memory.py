@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tamarisk.config import QuenchConfig
 from tamarisk.functions.text import content_hash, has_token, strip, word_count
 from tamarisk.operators.energy import energies
-from tamarisk.operators.quench import finish, quench
+from tamarisk.operators.lots import quench
+from tamarisk.operators.quench import finish
 
 ID_DIGITS = 20
 REFERENCE_COST = 0.01
