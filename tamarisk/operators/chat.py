@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tamarisk.config import QuenchConfig
 from tamarisk.functions.text import normalize, word_count
 from tamarisk.operators.dedup import dedup_text
+from tamarisk.operators.lots import quench
 from tamarisk.operators.memory import ID_DIGITS
-from tamarisk.operators.quench import quench, quench_output, turn_temperature
+from tamarisk.operators.quench import quench_output, turn_temperature
 from tamarisk.sources.requests import response_texts, write_back_replies
 
 ROLES = ("user", "assistant")
